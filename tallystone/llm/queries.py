@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import bpe, html, langid, quality, toxicity, urls
+from . import bpe, contamination, html, langid, pii, quality, toxicity, urls
 from .common import fold
 
 
@@ -14,6 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pii.extract(table(spark, sf_dir, "documents"), ["doc_id"])
+    of = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
+    counts = [of(k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    return made.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("all_spans")).alias("spans"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = quality.host_quality(table(spark, sf_dir, "documents"))
     return made.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -32,6 +39,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -43,6 +54,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_html_extraction, op5_url_filters, op6_language_id, op8_bpe, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op4_html_extraction, op5_url_filters, op6_language_id, op7_decontamination, op8_bpe, op10_toxicity)}
 
 ORACLES: dict[str, str] = {}
