@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import bpe, contamination, html, langid, pii, quality, toxicity, urls
+from . import bpe, contamination, html, jaccard, langid, pii, quality, toxicity, urls
 from .common import fold
 
 
@@ -49,11 +49,15 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), ["doc_id"], public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_ids(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = toxicity.learn_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
     return made.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op4_html_extraction, op5_url_filters, op6_language_id, op7_decontamination, op8_bpe, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op4_html_extraction, op5_url_filters, op6_language_id, op7_decontamination, op8_bpe, op9_jaccard_join, op10_toxicity)}
 
 ORACLES: dict[str, str] = {}
