@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import bpe, contamination, html, jaccard, langid, pii, quality, toxicity, urls
+from . import bpe, contamination, html, jaccard, langid, pii, quality, suffixes, toxicity, urls
 from .common import fold
 
 
@@ -26,6 +26,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
 
@@ -58,6 +62,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op4_html_extraction, op5_url_filters, op6_language_id, op7_decontamination, op8_bpe, op9_jaccard_join, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_suffix_dedup, op4_html_extraction, op5_url_filters, op6_language_id, op7_decontamination, op8_bpe, op9_jaccard_join, op10_toxicity)}
 
 ORACLES: dict[str, str] = {}
