@@ -11,7 +11,9 @@ import hashlib
 import heapq
 import json
 import re
+import struct
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -49,12 +51,12 @@ class Bpe:
         self.rank = {(self.vocab[a], self.vocab[b]): (r, self.vocab[a + b]) for r, (a, b) in enumerate(map(tuple, model["merges"]))}
         self.letters = byte_letters()
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.known: dict[str, tuple[int, str, str]] = {}
+        self.known: dict[str, tuple[int, str, str, bytes]] = {}
         self.forget()
 
     def forget(self) -> None:
         self.known.clear()
-        self.known.update({t: (1, str(i), t) for t, i in self.special.items()})
+        self.known.update({t: (1, str(i), t, struct.pack("<I", i)) for t, i in self.special.items()})
 
     def split(self, text: str) -> list[str]:
         return _ascii.findall(text.lower()) if text.isascii() else _wide.findall(self.normalise(text))
@@ -118,10 +120,10 @@ class Bpe:
             self.forget()
             new = list(words - self.known.keys())
         for w, ids in zip(new, self.merge(new)):
-            self.known[w] = (len(ids), " ".join(map(str, ids)), " ".join(self.token[i] for i in ids))
+            self.known[w] = (len(ids), " ".join(map(str, ids)), " ".join(self.token[i] for i in ids), struct.pack(f"<{len(ids)}I", *ids))
 
-    def encode(self, texts: list[str]) -> list[list[tuple[int, str, str]]]:
-        """Per text, the (number of ids, ids, tokens) of its words in order."""
+    def encode(self, texts: list[str]) -> list[list[tuple[int, str, str, bytes]]]:
+        """Per text, the (number of ids, ids, tokens, ids as 32-bit numbers) of its words in order."""
         parts = [self.cut.split(t) if self.cut and "<|" in t else [t] for t in texts]
         words = [[[p] if p in self.special else self.split(p) for p in ps] for ps in parts]
         flat = [[w for ws in d for w in ws] for d in words]
@@ -155,7 +157,7 @@ def encode(docs: DataFrame, keep: list[str], path: str, text: str = "text", ids:
             [sum([w[0] for w in d]) for d in found],
             [sha(x) for x in ids_text],
             [sha(" ".join([w[2] for w in d])) for d in found],
-            *([[[int(i) for i in x.split()] for x in ids_text]] if ids else []),
+            *([[np.frombuffer(b"".join([w[3] for w in d]), "<i4") for d in found]] if ids else []),
         ]
 
     kinds = dict(docs.dtypes)

@@ -55,6 +55,12 @@ def with_row_key(df: DataFrame, id_col: str, key: str = "_row") -> DataFrame:
     return materialise(ordered.withColumn(key, F.monotonically_increasing_id()), "rows")
 
 
+def masked(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """df with its columns named _c0, _c1 and so on, which no operator's own columns clash with, and those names."""
+    names = [f"_c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), names
+
+
 def chunks(sizes: Sequence[int], budget: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose sizes add up to about budget; a row larger than that is a range of its own."""
     start = total = 0
@@ -77,10 +83,12 @@ def text_map(df: DataFrame, columns: list[str], text: str, schema: str, make, bu
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
+    names = columns if text in columns else [*columns, text]
+    place = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(len(columns)).to_pylist()
+            texts = batch.column(place).to_pylist()
             for a, b in chunks([len(t or "") + 64 for t in texts], budget):
                 rows = {c: batch.column(i).slice(a, b - a) for i, c in enumerate(columns)}
                 made = make(rows, texts[a:b])
@@ -89,4 +97,4 @@ def text_map(df: DataFrame, columns: list[str], text: str, schema: str, make, bu
                     schema=arrow,
                 )
 
-    return df.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)

@@ -13,7 +13,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, with_row_key
+from .common import masked, materialise, with_row_key
 
 #: Everything that isn't part of a word, before A-Z are lower-cased.
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -127,20 +127,34 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int, item_id:
     return both.where(F.size(F.array_except("words", near)) == 0).select("_row", "item_id", "pos").distinct()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", share: int = 20, window: int = WINDOW) -> DataFrame:
-    """keep columns, n_words, n_hit, n_items, items_sha256, contaminated of every document.
-
-    Contaminated: some word is hit, and at least one word in `share`. Null texts have no words; repeated rows and
-    repeated ids are judged row by row; without benchmark rows nothing is hit.
-    """
-    rows = with_row_key(docs, doc_id)
+def judged(rows: DataFrame, benchmark: DataFrame, keep: list[str], text: str, item_id: str, item_text: str, share: int, window: int) -> DataFrame:
+    """keep columns and those of contamination(), for rows with a unique _row."""
     hits = materialise(phrase_matches(rows, benchmark, item_id, text, item_text, window), "hits")
     words = hits.select("_row", F.explode(F.sequence("begin", "end")).alias("at")).distinct().groupBy("_row").agg(F.count("*").alias("n_hit"))
     items = hits.select("_row", "item_id").distinct().groupBy("_row").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item_id")), ",").alias("_items"))
-    base = rows.select("_row", *[F.col(f"`{c}`") for c in keep], pieces(text).alias("_words")).select("_row", *[F.col(f"`{c}`") for c in keep], word_count(F.col("_words")).cast("long").alias("n_words"))
+    base = rows.select("_row", *keep, pieces(text).alias("_words")).select("_row", *keep, word_count(F.col("_words")).cast("long").alias("n_words"))
     n_hit, n_items = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("n_items", F.lit(0).cast("long"))
     return (
         base.join(words, "_row", "left").join(items, "_row", "left")
-        .select(*[F.col(f"`{c}`") for c in keep], "n_words", n_hit.alias("n_hit"), n_items.alias("n_items"), F.sha2(F.coalesce("_items", F.lit("")), 256).alias("items_sha256"))
+        .select("_row", *keep, "n_words", n_hit.alias("n_hit"), n_items.alias("n_items"), F.sha2(F.coalesce("_items", F.lit("")), 256).alias("items_sha256"))
         .withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
     )
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", share: int = 20, window: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document.
+
+    Contaminated: some word is hit, and at least one word in `share`. Null texts have no words; repeated rows and
+    repeated ids are judged row by row; without benchmark rows nothing is hit.
+    """
+    rows = with_row_key(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "doc_id")
+    return judged(rows, benchmark, ["doc_id"], "_text", item_id, item_text, share, window).drop("_row")
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", share: int = 20, window: int = WINDOW) -> DataFrame:
+    """docs without the contaminated rows."""
+    hidden, names = masked(docs)
+    at = dict(zip(docs.columns, names))
+    rows = with_row_key(hidden, at[doc_id])
+    bad = judged(rows, benchmark, [], at[text], item_id, item_text, share, window).where("contaminated").select("_row")
+    return rows.join(bad, "_row", "left_anti").select(*names).toDF(*docs.columns)

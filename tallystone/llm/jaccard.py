@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, text_map, with_row_key
+from .common import WORD, masked, materialise, text_map, with_row_key
 from .graph import components
 
 _word = re.compile(WORD)
@@ -223,16 +223,18 @@ def similar_components(rows: DataFrame, text: str = "text", percent: int = 85, w
 
 def join_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: the least id among the rows that links reach. Null texts have the empty set."""
-    rows = with_row_key(docs, doc_id)
-    made = similar_components(rows, text, **how)
-    ids = rows.select("_row", F.col(doc_id).alias("doc_id"))
+    rows = with_row_key(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "doc_id")
+    made = similar_components(rows, "_text", **how)
+    ids = rows.select("_row", "doc_id")
     named = made.join(ids, "_row").join(ids.select(F.col("_row").alias("component"), F.col("doc_id").alias("component_id")), "component")
     return named.select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """docs with one row of each component: that of the least id."""
-    rows = with_row_key(docs, doc_id)
-    made = similar_components(rows, text, **how)
+    hidden, names = masked(docs)
+    at = dict(zip(docs.columns, names))
+    rows = with_row_key(hidden, at[doc_id])
+    made = similar_components(rows, at[text], **how)
     keep = made.where(F.col("_row") == F.col("component")).select("_row")
-    return rows.join(keep, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(keep, "_row", "left_semi").select(*names).toDF(*docs.columns)

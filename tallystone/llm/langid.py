@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, fold, text_map
+from .common import chunks, fold, masked, text_map
 
 DIM = 1024
 _letters: dict[int, np.ndarray] = {}
@@ -118,3 +118,11 @@ def learn_and_identify(docs: DataFrame, keep: list[str], doc_id: str = "doc_id",
     """Learns from the rows outside the held-out fold that have a language, then labels every row."""
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (fold(doc_id, folds) != held))
     return identify(docs, keep, train(labelled, text, lang), text)
+
+
+def in_known_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.05) -> DataFrame:
+    """docs without the rows whose text has no letter, or whose best cosine is under `least`: noise in no known language."""
+    hidden, names = masked(docs)
+    at = dict(zip(docs.columns, names))
+    made = learn_and_identify(hidden, names, at[doc_id], at[text], at[lang])
+    return made.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*names).toDF(*docs.columns)

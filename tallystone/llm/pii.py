@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, with_row_key
+from .common import masked, materialise, with_row_key
 
 KINDS = ("email", "ip", "card", "phone")
 #: The contract's patterns, written so that Java's matcher neither backtracks over nor recurses into long runs: a run
@@ -99,7 +99,7 @@ def base_spans(rows: DataFrame, keep: list[str], text: str) -> DataFrame:
 
     Spans are struct(start, k, end, hit, before), with k the kind's place in KINDS; loose ones have k -1.
     """
-    df = rows.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    df = rows.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     for kind in KINDS:
         df = found(df, f"_{kind}", "_text", PATTERNS[kind], GUARDS[kind](F.col("_text")))
     df = found(df, "_loose", "_text", CANDIDATE, F.col("_text").rlike("[0-9@]"))
@@ -113,7 +113,7 @@ def base_spans(rows: DataFrame, keep: list[str], text: str) -> DataFrame:
     lead = lambda x: F.length(F.regexp_extract(x["hit"], r"^[^0-9A-Za-z+(@]*", 0))
     core = lambda x: F.regexp_extract(x["hit"], r"^[^0-9A-Za-z+(@]*(.*?)[^0-9A-Za-z)]*$", 1)
     shorn = F.transform(trimmed, lambda x: F.struct((x["start"] + lead(x)).alias("start"), x["k"].alias("k"), (x["start"] + lead(x) + F.length(core(x))).alias("end"), core(x).alias("hit"), x["before"].alias("before")))
-    return df.select(*[F.col(f"`{c}`") for c in keep], "base", F.coalesce(F.filter(shorn, lambda x: F.length(x["hit"]) > 4), empty).alias("loose"))
+    return df.select(*keep, "base", F.coalesce(F.filter(shorn, lambda x: F.length(x["hit"]) > 4), empty).alias("loose"))
 
 
 def contexts(spans: DataFrame) -> DataFrame:
@@ -157,18 +157,23 @@ def added_spans(spans: DataFrame, patterns: DataFrame, key: str) -> DataFrame:
     return sure.groupBy(key).agg(F.collect_list(F.struct("start", "k", "end")).alias("added"))
 
 
-def extract(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """keep columns, base and all_spans: sorted arrays of struct(start, k, end), of every row.
-
-    Null texts have no spans. Positions are code points, ends exclusive. Repeated rows are searched one by one.
-    """
-    rows = with_row_key(docs, doc_id)
+def all_spans(rows: DataFrame, keep: list[str], text: str, **how) -> DataFrame:
+    """_row, keep columns, base and all_spans: sorted arrays of struct(start, k, end). rows have a unique _row."""
     spans = materialise(base_spans(rows, ["_row", *keep], text), "spans")
     added = added_spans(spans, learn(spans, **how), "_row")
     slim = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["k"].alias("k"), x["end"].alias("end")))
     joined = spans.withColumn("base", slim).join(added, "_row", "left")
     every = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast("array<struct<start:int,k:int,end:int>>"))))
-    return joined.select(*[F.col(f"`{c}`") for c in keep], "base", every.alias("all_spans"))
+    return joined.select("_row", *keep, "base", every.alias("all_spans"))
+
+
+def extract(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """doc_id, base and all_spans of every row.
+
+    Null texts have no spans. Positions are code points, ends exclusive. Repeated rows are searched one by one.
+    """
+    rows = with_row_key(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "doc_id")
+    return all_spans(rows, ["doc_id"], "_text", **how).drop("_row")
 
 
 def listed(spans: Column) -> Column:
@@ -190,8 +195,9 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """docs, with personal data in text replaced by [EMAIL], [IP], [CARD] or [PHONE]; null texts stay null."""
-    rows = with_row_key(docs, doc_id)
-    spans = extract(rows, ["_row"], "_row", text, **how).where(F.size("all_spans") > 0).select("_row", "all_spans")
-    joined = rows.join(spans, "_row", "left")
-    new = F.when(F.col("all_spans").isNotNull(), redacted(F.col(text), F.col("all_spans"))).otherwise(F.col(text))
-    return joined.withColumn(text, new).select(*[F.col(f"`{c}`") for c in docs.columns])
+    hidden, names = masked(docs)
+    at = dict(zip(docs.columns, names))
+    rows = with_row_key(hidden, at[doc_id])
+    spans = all_spans(rows, [], at[text], **how).where(F.size("all_spans") > 0).select("_row", "all_spans")
+    new = F.when(F.col("all_spans").isNotNull(), redacted(F.col(at[text]), F.col("all_spans"))).otherwise(F.col(at[text]))
+    return rows.join(spans, "_row", "left").withColumn(at[text], new).select(*names).toDF(*docs.columns)

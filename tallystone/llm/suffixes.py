@@ -232,20 +232,20 @@ def repeated_spans(rows: DataFrame, text: str = "text") -> DataFrame:
     return live.where("repeats").select("_row", F.col("at").alias("begin"), "end").unionByName(settled)
 
 
-def remove_repeats(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "text", output: bool = False) -> DataFrame:
-    """keep columns, n_bytes, n_removed, n_spans, kept_sha256 of every row, and the bytes that are left if output is set.
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", output: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and kept (the bytes that are left) if output is set.
 
     Null texts count as empty. Rows that repeat an id come in the order of with_row_key(); equal rows repeat the first.
     """
-    rows = with_row_key(docs, doc_id)
-    spans = repeated_spans(rows, text).groupBy("_row").agg(F.collect_list(F.struct("begin", "end")).alias("_spans"))
-    texts = rows.select("_row", *[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_data"))
-    joined = texts.join(spans, "_row", "left").select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "_data", "_spans")
+    rows = with_row_key(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "doc_id")
+    spans = repeated_spans(rows, "_text").groupBy("_row").agg(F.collect_list(F.struct("begin", "end")).alias("_spans"))
+    texts = rows.select("_row", "doc_id", F.coalesce(F.col("_text"), F.lit("")).cast("binary").alias("_data"))
+    joined = texts.join(spans, "_row", "left").select("doc_id", "_data", "_spans")
 
     def run(batches):
         for batch in batches:
             made = [[] for _ in range(5)]
-            for data, found in zip(batch.column(len(keep)), batch.column(len(keep) + 1)):
+            for data, found in zip(batch.column(1), batch.column(2)):
                 data, found = data.as_py(), found.as_py() or []
                 begin, end = np.array([x["begin"] for x in found], np.int64), np.array([x["end"] for x in found], np.int64)
                 _, begin, end = merged(np.zeros(len(begin), np.int64), begin, end)
@@ -259,7 +259,7 @@ def remove_repeats(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", tex
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
             n = 5 if output else 4
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(x, k) for x, k in zip(made[:n], kinds)]], names=[*keep, *names[:n]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, k) for x, k in zip(made[:n], kinds)]], names=["doc_id", *names[:n]])
 
-    kinds = dict(docs.dtypes)
-    return joined.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if output else ""))
+    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return joined.mapInArrow(run, schema + (", kept binary" if output else ""))
