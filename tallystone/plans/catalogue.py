@@ -1,6 +1,350 @@
-"""Registered queries of the evidence operators, and their SQL for DuckDB."""
+"""Registered queries of the evidence operators."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import exprs as X
+from ..operators import build, curated, enrich, evaluate, extract, insights, match, quality, report, sinks
+from ..session import ship
+from ..sources import evidence as E
+from . import config as C
+from .oracles import ORACLES, YEARS
+
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def raw(spark: SparkSession, sf: str) -> DataFrame:
+    return E.from_star(spark, sf)
+
+
+def enriched(spark: SparkSession, sf: str) -> DataFrame:
+    return enrich.enrich(raw(spark, sf), C.AS_OF, C.URL_KEYS, C.CLUSTERS, C.CLUSTER_PATTERNS, C.CLUSTER_LABELS)
+
+
+def required(spark: SparkSession) -> DataFrame:
+    return E.metrics_dim(spark, C.METRICS)
+
+
+def card(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.scorecard(enriched(spark, sf), required(spark))
+
+
+def places(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(C.PLACES, "alias string, canonical string, code string")
+
+
+@query
+def evidence_scan_tiered(spark, sf):
+    kept, _ = E.route_tiers(raw(spark, sf))
+    return kept.select("_ord", "indication", "metric", "value", "source_citation", "tier", F.col("tier_order").cast("long").alias("tier_order"))
+
+
+@query
+def tier_log(spark, sf):
+    return E.route_tiers(raw(spark, sf))[1]
+
+
+@query
+def run_rows(spark, sf):
+    rows = E.keep_informative(E.for_run(raw(spark, sf), "upload", "Everywhere"))
+    return rows.select("indication", "metric", "value", "source_citation", "geography", "population")
+
+
+@query
+def numeric_extract(spark, sf):
+    return raw(spark, sf).select("_ord", "value", X.is_stub("value").alias("is_stub"), X.first_number("value").alias("value_num"))
+
+
+@query
+def year_parsers(spark, sf):
+    y = "year_or_range"
+    return raw(spark, sf).select("_ord", y, X.loose_year(y).cast("long").alias("loose"), X.strict_year(y).cast("long").alias("strict"), X.recent_year(y).cast("long").alias("recent"))
+
+
+@query
+def confidence_score(spark, sf):
+    return enriched(spark, sf).select("_ord", "computed_confidence_score", "computed_confidence")
+
+
+@query
+def legacy_confidence(spark, sf):
+    return raw(spark, sf).groupBy(F.col("confidence").alias("given")).agg(F.count("*").alias("n_rows")).select("given", X.legacy_confidence("given").alias("confidence"), "n_rows")
+
+
+@query
+def url_resolve(spark, sf):
+    return enrich.add_urls(raw(spark, sf), C.URL_KEYS).select("_ord", "source_citation", "source_url")
+
+
+@query
+def url_coverage(spark, sf):
+    return insights.url_coverage(enriched(spark, sf))
+
+
+@query
+def cluster_assign(spark, sf):
+    return enrich.add_clusters(raw(spark, sf).groupBy("metric").agg(F.count("*").alias("n_rows")), C.CLUSTERS, C.CLUSTER_PATTERNS, C.CLUSTER_LABELS).select("metric", "cluster", "cluster_label", "n_rows")
+
+
+@query
+def cluster_summary(spark, sf):
+    return insights.cluster_summary(enriched(spark, sf))
+
+
+@query
+def kpi_scorecard(spark, sf):
+    return card(spark, sf)
+
+
+@query
+def coverage_matrix(spark, sf):
+    return evaluate.coverage(enriched(spark, sf), required(spark))
+
+
+@query
+def white_space_counts(spark, sf):
+    return evaluate.white_space_counts(evaluate.coverage(enriched(spark, sf), required(spark)))
+
+
+@query
+def conflicts(spark, sf):
+    return evaluate.conflicts(raw(spark, sf))
+
+
+@query
+def reconciliation(spark, sf):
+    return evaluate.reconciliation(enriched(spark, sf), required(spark))
+
+
+@query
+def insights_summary(spark, sf):
+    return insights.insights(raw(spark, sf), card(spark, sf))
+
+
+@query
+def tidy_table(spark, sf):
+    return build.tidy(raw(spark, sf))
+
+
+@query
+def wide_pivot(spark, sf):
+    return build.wide(build.tidy(raw(spark, sf)), YEARS)
+
+
+@query
+def one_column(spark, sf):
+    return build.one_column(build.tidy(raw(spark, sf)))
+
+
+@query
+def forecast_auto(spark, sf):
+    return build.trend(raw(spark, sf))
+
+
+@query
+def forecast_rates(spark, sf):
+    return build.trend(raw(spark, sf), rates=spark.createDataFrame(list(C.GROWTH.items()), "metric string, rate double"))
+
+
+@query
+def forecast_scenarios(spark, sf):
+    return build.scenarios(raw(spark, sf), C.SCENARIOS)
+
+
+@query
+def validation_findings(spark, sf):
+    return quality.validate_evidence(raw(spark, sf))
+
+
+@query
+def output_validation(spark, sf):
+    return quality.validate_output(enriched(spark, sf), ["metric", "value", "cluster"])
+
+
+@query
+def fill_rates(spark, sf):
+    return quality.fill_rates(raw(spark, sf), ["value", "definition", "population", "source_url", "confidence"])
+
+
+@query
+def top_sources(spark, sf):
+    return insights.top_sources(raw(spark, sf))
+
+
+@query
+def confidence_mix(spark, sf):
+    return insights.distribution(enriched(spark, sf), "computed_confidence")
+
+
+@query
+def phrasing_best(spark, sf):
+    counts = E.read(spark, sf, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
+    return insights.best_of(counts, "source", "n", "lang")
+
+
+@query
+def indicator_series(spark, sf):
+    rows = E.read(spark, sf, "events").where(F.col("value").isNotNull())
+    return rows.groupBy(F.col("event_type").alias("series")).agg(F.min_by(F.round("value", 2), "event_id").alias("first_value"), F.year(F.min("ts")).cast("long").alias("year"), F.count("*").alias("n_rows"))
+
+
+@query
+def run_summary(spark, sf):
+    return enriched(spark, sf).agg(F.countDistinct("indication").alias("n_runs"), F.countDistinct(F.when(F.col("value_num").isNotNull(), F.col("indication"))).alias("n_succeeded"))
+
+
+@query
+def synonym_match(spark, sf):
+    return match.match_synonyms(E.read(spark, sf, "part"), "p_name", C.SYNONYMS)
+
+
+@query
+def embedding_match(spark, sf):
+    vectors = E.read(ship(spark), sf, "embeddings")
+    return match.match_vectors(vectors, match.prototypes(vectors))
+
+
+@query
+def text_datapoints(spark, sf):
+    return extract.datapoints(E.read(spark, sf, "documents"), "doc_id", "text", C.CLASSES, C.ALIASES)
+
+
+@query
+def dedupe_datapoints(spark, sf):
+    return extract.summarise(text_datapoints(spark, sf))
+
+
+@query
+def page_datapoints(spark, sf):
+    return extract.page_datapoints(E.read(ship(spark), sf, "pages"), C.CLASSES, C.ALIASES)
+
+
+@query
+def abstract_relevance(spark, sf):
+    return E.read(spark, sf, "documents").select("doc_id", F.round(X.relevance("text", F.lit(C.RELEVANCE_BLOB), C.RELEVANCE_TERMS), 6).alias("relevance"))
+
+
+@query
+def alias_resolve(spark, sf):
+    return E.resolve_places(E.read(spark, sf, "nation").select(F.col("n_name").alias("place")), places(spark), "place")
+
+
+@query
+def catalogue_links(spark, sf):
+    sources = spark.createDataFrame(C.SOURCES, "id string, name string, tier string, kind string, url string, metric string, priority int, places array<string>")
+    return E.catalogue_links(sources, places(spark), "red widget & co", "Nation_0")
+
+
+@query
+def query_expansion(spark, sf):
+    texts = F.slice(F.array_distinct(F.array(F.lit("data"), F.concat(F.lit("data "), F.col("r_name")), F.concat(F.lit("data for "), F.col("r_name")), F.col("r_name"))), 1, 12)
+    return E.read(spark, sf, "region").select(F.col("r_name").alias("subject"), F.explode(texts).alias("query"))
+
+
+@query
+def curated_explode(spark, sf):
+    rows = raw(spark, sf).where(F.coalesce("year_or_range", F.lit("1999")).rlike(r"^[0-9]{4}$"))
+    entry = F.struct(F.col("value"), F.lit(None).cast("string").alias("year"), F.lit(None).cast("string").alias("geography"), F.lit(None).cast("string").alias("tier"), F.lit(None).cast("string").alias("confidence"))
+    one = rows.groupBy("indication", F.concat("metric", F.coalesce(F.concat(F.lit("_"), F.col("year_or_range")), F.lit(""))).alias("key")).agg(F.max("value").alias("value"))
+    maps = one.groupBy("indication").agg(F.map_from_entries(F.collect_list(F.struct("key", entry))).alias("entries"))
+    return E.explode_curated(maps).select("indication", "metric", "year", "value", "tier", "confidence")
+
+
+@query
+def trend_sheet(spark, sf):
+    rows = enriched(spark, sf).where(F.col("year_or_range").rlike(r"^[0-9]{4}$"))
+    return curated.trend_table(rows.withColumn("key", F.concat_ws("_", "metric", "year_or_range")), "key", "value_num", ["demand_standard", "demand_large"])
+
+
+@query
+def curated_upsert(spark, sf):
+    old = E.read(spark, sf, "customer").where(F.col("c_custkey") % 3 != 0).select(F.col("c_custkey").alias("key"), F.round("c_acctbal", 2).alias("value"))
+    new = E.read(spark, sf, "orders").where(F.col("o_custkey") % 5 != 0).groupBy(F.col("o_custkey").alias("key")).agg(F.max("o_totalprice").alias("value"))
+    return curated.upsert(old, new, "key", "value")
+
+
+@query
+def write_back(spark, sf):
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    cells = E.read(spark, sf, "part").select(
+        F.concat(F.lit("B"), k.cast("string")).alias("cell"), F.when(k % 2 == 0, F.concat(F.lit("x"), size)).alias("excel_id"), F.concat(F.lit("m"), size).alias("metric_id"), F.when(k % 5 == 0, 0.5).otherwise(F.col("p_retailprice")).alias("old")
+    )
+    values = spark.createDataFrame([(("x" if s % 2 == 0 else "m") + str(s), 10.0 * s, f"S{s}") for s in range(1, 31)], "id string, value double, source string")
+    return curated.write_back(cells, values)
+
+
+@query
+def preferred_value(spark, sf):
+    best = enriched(spark, sf).groupBy(F.col("metric").alias("metric_id")).agg(F.max("value_num").alias("value"))
+    return curated.preferred(best, ["demand_bulk", "demand_promo", "demand_large"])
+
+
+@query
+def sheet_refresh(spark, sf):
+    return curated.refresh(raw(spark, sf), {"Metric": ["metric"], "Value": ["value"], "Source": ["source_url", "source_citation"], "Owner": ["owner"]}, F.trim("indication") == "ASIA")
+
+
+@query
+def registry_rows(spark, sf):
+    k = F.col("c_custkey")
+    cells = F.array(F.concat_ws("-", "c_mktsegment", k.cast("string")), F.when(k % 2 == 0, F.concat(k.cast("string"), F.lit(" %"))).otherwise("-"), F.when(k % 3 == 0, "n/a").otherwise("7"))
+    rows = E.read(spark, sf, "customer").where(k % 3 != 0).select(cells.alias("cells"))
+    return curated.registry_rows(rows, [1, 2])
+
+
+@query
+def renamed_table(spark, sf):
+    return curated.renamed(E.read(spark, sf, "region"), {"ASIA": "Asia and Pacific"}, "r_name")
+
+
+@query
+def manifest(spark, sf):
+    return sinks.manifest({n: E.read(spark, sf, n) for n in ("region", "nation", "supplier")})
+
+
+@query
+def data_dictionary(spark, sf):
+    return sinks.data_dictionary(spark, {n: E.read(spark, sf, n) for n in ("nation", "region")})
+
+
+@query
+def run_checksums(spark, sf):
+    return sinks.checksums(E.read(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey"), "n_regionkey")
+
+
+@query
+def source_log(spark, sf):
+    failed = spark.createDataFrame([("silver", 0, "service not reachable")], "tier string, n_rows long, error string")
+    return sinks.source_log(E.route_tiers(raw(spark, sf))[1], failed)
+
+
+@query
+def stale_partitions(spark, sf):
+    nation, region = E.read(spark, sf, "nation"), E.read(spark, sf, "region")
+    have = nation.join(region, nation.n_regionkey == region.r_regionkey).select(F.col("r_name").alias("indication"), F.col("n_name").alias("geography"), "n_nationkey")
+    return sinks.stale(have, have.where(F.col("n_nationkey") % 4 != 0), ["indication", "geography"])
+
+
+@query
+def crawl_frontier(spark, sf):
+    pages = E.read(spark, sf, "pages").select("page_id", "url")
+    child = pages.select(F.col("url").alias("src"), F.explode(F.array(2 * F.col("page_id") + 1, 2 * F.col("page_id") + 2)).alias("c"))
+    links = child.join(pages, F.col("c") == F.col("page_id")).select("src", F.col("url").alias("dst"))
+    return extract.crawl(pages, links, pages.where(F.col("page_id") < 4), within=extract.SITE)
+
+
+@query
+def white_space_report(spark, sf):
+    return report.white_space(evaluate.coverage(enriched(spark, sf), required(spark)))
+
+
+@query
+def report_lines(spark, sf):
+    return report.evidence_summary(card(spark, sf), confidence_mix(spark, sf), top_sources(spark, sf))
