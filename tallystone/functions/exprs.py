@@ -45,8 +45,8 @@ def first_number(c: Column | str) -> Column:
 
 
 def plain_number(c: Column | str) -> Column:
-    """The whole text as a number, else null: `21,000` gives null."""
-    return F.trim(col(c)).try_cast("double")
+    """The whole text as a number, else null: `21,000` gives null, and so does `nan`."""
+    return F.when(~is_blank(c), F.trim(col(c)).try_cast("double"))
 
 
 def tier_rank(c: Column | str) -> Column:
