@@ -12,63 +12,61 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 
 
-def upper_median(values: DataFrame, by: str, value: str, buckets: int = 4096) -> DataFrame:
-    """by, median: exactly the value at place n div 2 of each group's sorted values.
+def upper_median(counts: DataFrame, by: list[str], value: str, n: str, buckets: int = 4096) -> DataFrame:
+    """by, median: exactly the value at place total div 2 of each group's sorted values, each value counted n times.
 
     A histogram over each group's range finds the bucket of that place; only the bucket's distinct values are sorted.
     So no task sorts a whole group, though a group may hold most rows.
     """
-    counts = values.groupBy(F.col(by).alias("_g"), F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    span = counts.groupBy("_g").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_all"))
-    share = F.when(F.col("_hi") > F.col("_lo"), (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
-    placed = counts.join(span, "_g").withColumn("_b", F.least(F.floor(share * buckets), F.lit(buckets - 1)))
-    hist = placed.groupBy("_g", "_b", "_all").agg(F.sum("_n").alias("_n"))
-    up_to = F.sum("_n").over(Window.partitionBy("_g").orderBy("_b"))
+    span = counts.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum(n).alias("_all"))
+    share = F.when(F.col("_hi") > F.col("_lo"), (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
+    placed = counts.join(span, by).withColumn("_b", F.least(F.floor(share * buckets), F.lit(buckets - 1)))
+    hist = placed.groupBy(*by, "_b", "_all").agg(F.sum(n).alias("_k"))
     want = F.floor(F.col("_all") / 2) + 1
-    target = hist.withColumn("_to", up_to).where((F.col("_to") >= want) & (F.col("_to") - F.col("_n") < want)).select("_g", "_b", (want - F.col("_to") + F.col("_n")).alias("_want"))
-    inside = placed.join(target, ["_g", "_b"])
-    within = F.sum("_n").over(Window.partitionBy("_g").orderBy("_v"))
-    return inside.withColumn("_to", within).where(F.col("_to") >= F.col("_want")).groupBy(F.col("_g").alias(by)).agg(F.min("_v").alias("median"))
+    up_to = F.sum("_k").over(Window.partitionBy(*by).orderBy("_b"))
+    target = hist.withColumn("_to", up_to).where((F.col("_to") >= want) & (F.col("_to") - F.col("_k") < want)).select(*by, "_b", (want - F.col("_to") + F.col("_k")).alias("_want"))
+    within = F.sum(n).over(Window.partitionBy(*by).orderBy(value))
+    inside = placed.join(target, [*by, "_b"]).withColumn("_to", within)
+    return inside.where(F.col("_to") >= F.col("_want")).groupBy(*by).agg(F.min(value).alias("median"))
 
 
-def agreement(values: DataFrame, by: str, value: str, pct: float) -> DataFrame:
-    """by, n, n_agree: how many values lie within pct percent of the upper median; with a median of 0 all zeros do."""
-    m = upper_median(values, by, value)
+def agreement(counts: DataFrame, by: list[str], value: str, n: str, pct: float) -> DataFrame:
+    """by, n_all, n_agree: how many values lie within pct percent of the upper median; with a median of 0 all zeros do."""
+    m = upper_median(counts, by, value, n)
     v, med = F.col(value), F.col("median")
     near = F.when(med == 0, v == 0).otherwise(F.abs(v - med) / F.when(med != 0, med) <= pct / 100)
-    return values.join(m, by).groupBy(by).agg(F.count("*").alias("n"), F.count_if(near).alias("n_agree"))
-
-
-def for_required(evidence: DataFrame, required: DataFrame) -> DataFrame:
-    """Evidence of the required metrics as metric_id: a metric's own rows, or those of its evidence ids if it has none."""
-    ids = evidence.select("metric").distinct()
-    own = required.join(ids, required["metric_id"] == ids["metric"], "left_semi").select("metric_id", F.col("metric_id").alias("metric"), F.lit(True).alias("own"))
-    rest = required.join(ids, required["metric_id"] == ids["metric"], "left_anti").select("metric_id", F.explode(F.array_distinct("evidence_ids")).alias("metric"), F.lit(False).alias("own"))
-    return evidence.join(F.broadcast(own.unionByName(rest)), "metric")
+    return counts.join(m, by).groupBy(*by).agg(F.sum(n).alias("n_all"), F.sum(F.when(near, F.col(n)).otherwise(0)).alias("n_agree"))
 
 
 def scorecard(evidence: DataFrame, required: DataFrame, agreement_pct: float = 20.0) -> DataFrame:
     """One row per required metric: best value and source, range, numbers of sources and values, agreement, status.
 
-    The best value is the largest of the best tier; ties go to the first row by _ord. Without a number the first row's
-    source is shown. Ready needs agreement, and a row of high confidence under the metric's own id or a gold value.
+    A metric's own rows count, or those of its evidence ids if it has none: both are summed, side by side, in the same
+    pass. The best value is the largest of the best tier; ties go to the first row by _ord. Without a number the first
+    row's source is shown. Ready needs agreement, and a row of high confidence under the metric's own id or a gold value.
     """
-    rows = for_required(evidence, required).select("metric_id", "own", "_ord", "source_citation", "value_num", "tier_rank", "computed_confidence")
+    by = ["metric_id", "own"]
+    own = required.select("metric_id", F.col("metric_id").alias("metric"), F.lit(True).alias("own"))
+    others = required.select("metric_id", F.explode(F.array_distinct("evidence_ids")).alias("metric"), F.lit(False).alias("own"))
+    rows = evidence.join(F.broadcast(own.unionByName(others)), "metric").select(*by, "_ord", "source_citation", "value_num", "tier_rank", "computed_confidence")
     num = F.col("value_num").isNotNull()
     rank = F.struct(F.col("tier_rank"), -F.col("value_num"), F.col("_ord"))
-    sums = rows.groupBy("metric_id").agg(
+    sums = rows.groupBy(*by).agg(
         F.countDistinct("source_citation").alias("n_sources"), F.count("value_num").alias("n_with_value"),
         F.min(F.when(num, F.struct(rank.alias("r"), "value_num", "source_citation"))).alias("best"), F.min(F.struct("_ord", "source_citation")).alias("first"),
         F.min("value_num").alias("range_min"), F.max("value_num").alias("range_max"),
         F.max(F.col("own") & (F.col("computed_confidence") == "high")).alias("high"), F.max(num & (F.col("tier_rank") == 0)).alias("gold"),
     )
-    agree = agreement(rows.where(num).select("metric_id", "value_num"), "metric_id", "value_num", agreement_pct)
-    out = F.broadcast(required).join(sums, "metric_id", "left").join(agree, "metric_id", "left")
-    single = F.col("n") < 2
-    agrees = single | (F.col("n_agree") == F.col("n"))
-    away = F.col("n") - F.col("n_agree")
-    text = F.when(single, F.concat(F.col("n").cast("string"), F.lit(" source(s)"))).otherwise(
-        F.concat(F.col("n_agree").cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit(" agree"), F.when(away > 0, F.concat(F.lit("; "), away.cast("string"), F.lit(" outlier(s)"))).otherwise(""))
+    counts = rows.where(num).groupBy(*by, "value_num").agg(F.count("*").alias("n"))
+    both = sums.join(agreement(counts, by, "value_num", "n", agreement_pct), by, "left")
+    fields = [c for c in both.columns if c not in by]
+    chosen = both.groupBy("metric_id").agg(F.max_by(F.struct(*fields), F.col("own")).alias("s")).select("metric_id", "s.*")
+    out = F.broadcast(required).join(chosen, "metric_id", "left")
+    single = F.col("n_all") < 2
+    agrees = single | (F.col("n_agree") == F.col("n_all"))
+    away = F.col("n_all") - F.col("n_agree")
+    text = F.when(single, F.concat(F.col("n_all").cast("string"), F.lit(" source(s)"))).otherwise(
+        F.concat(F.col("n_agree").cast("string"), F.lit(" of "), F.col("n_all").cast("string"), F.lit(" agree"), F.when(away > 0, F.concat(F.lit("; "), away.cast("string"), F.lit(" outlier(s)"))).otherwise(""))
     )
     flag = F.when(F.col("n_sources").isNull(), "no data").when(F.col("n_with_value") == 0, "no numeric values").otherwise(text)
     status = F.when(F.coalesce("n_sources", F.lit(0)) == 0, "No source").when((F.col("n_with_value") > 0) & agrees & (F.col("high") | F.col("gold")), "Ready").otherwise("Needs review")

@@ -11,25 +11,30 @@ def lines(df: DataFrame, section: str, order: list, line) -> DataFrame:
     return df.select(F.lit(section).alias("section"), n.alias("ord"), line.alias("line"))
 
 
+def sections(df: DataFrame, parts: list[tuple], order: str) -> DataFrame:
+    """Lines of several sections from one pass: parts are (section, whether a row belongs, its line)."""
+    every = F.array_compact(F.array(*[F.when(belongs, F.struct(F.lit(name).alias("section"), text.alias("line"))) for name, belongs, text in parts]))
+    rows = df.select(F.col(order).alias("_o"), F.inline(every))
+    return rows.select("section", F.row_number().over(Window.partitionBy("section").orderBy("_o")).cast("long").alias("ord"), "line")
+
+
 def white_space(covered: DataFrame) -> DataFrame:
     """Lines for covered, stub-only and missing metrics. The input has a row for each required metric."""
     name = F.concat(F.lit("- "), F.col("label"), F.lit(" ("), F.col("metric_id"), F.lit(")"))
-    n = F.col("n_sources").cast("string")
-    of = lambda status, text: lines(covered.where(F.col("coverage_status") == status), status, ["metric_id"], text)
-    return (
-        of("Has value", F.concat(name, F.lit(": "), n, F.lit(" source(s), "), F.col("n_with_value").cast("string"), F.lit(" with value")))
-        .unionByName(of("Stub only", F.concat(name, F.lit(": "), n, F.lit(" source(s), look up by hand"))))
-        .unionByName(of("Missing", name))
-    )
+    n, status = F.col("n_sources").cast("string"), F.col("coverage_status")
+    valued = F.concat(name, F.lit(": "), n, F.lit(" source(s), "), F.col("n_with_value").cast("string"), F.lit(" with value"))
+    parts = [("Has value", valued), ("Stub only", F.concat(name, F.lit(": "), n, F.lit(" source(s), look up by hand"))), ("Missing", name)]
+    return sections(covered, [(s, status == s, text) for s, text in parts], "metric_id")
 
 
 def evidence_summary(card: DataFrame, mix: DataFrame, top: DataFrame) -> DataFrame:
     """Key numbers, confidence mix, top sources and caveats."""
-    key = lines(card.where(F.col("best_value").isNotNull()), "key numbers", ["metric_id"], F.concat(F.col("label"), F.lit(": "), F.format_number("best_value", 2), F.lit(" ("), F.col("validation_status"), F.lit(")")))
+    key = F.concat(F.col("label"), F.lit(": "), F.format_number("best_value", 2), F.lit(" ("), F.col("validation_status"), F.lit(")"))
+    caveat = F.concat(F.col("label"), F.lit(": "), F.col("agreement_flag"))
+    of_card = sections(card, [("key numbers", F.col("best_value").isNotNull(), key), ("caveats", F.col("validation_status") != "Ready", caveat)], "metric_id")
     confidence = lines(mix.where(F.col("computed_confidence") != ""), "confidence", [F.desc("n_rows"), "computed_confidence"], F.concat(F.initcap("computed_confidence"), F.lit(": "), F.col("n_rows").cast("string"), F.lit(" row(s)")))
     sources = lines(top, "top sources", [F.desc("n_rows"), "source_citation"], F.concat(F.col("source_citation"), F.lit(": "), F.col("n_rows").cast("string"), F.lit(" row(s)")))
-    caveats = lines(card.where(F.col("validation_status") != "Ready"), "caveats", ["metric_id"], F.concat(F.col("label"), F.lit(": "), F.col("agreement_flag")))
-    return key.unionByName(confidence).unionByName(sources).unionByName(caveats)
+    return of_card.unionByName(confidence).unionByName(sources)
 
 
 def render(report: DataFrame, title: str) -> str:
