@@ -35,6 +35,11 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int, most: int) -> DataFrame:
+    """df, to be broadcast if it has no more than `most` rows; beyond that joins shuffle it."""
+    return F.broadcast(df) if rows <= most else df
+
+
 def fold(doc_id: str, buckets: int) -> Column:
     """crc32 of the id as text, modulo buckets; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % buckets

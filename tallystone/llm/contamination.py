@@ -13,7 +13,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import masked, materialise, with_row_key
+from .common import masked, materialise, small, with_row_key
 
 #: Everything that isn't part of a word, before A-Z are lower-cased.
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -37,10 +37,6 @@ def word_count(words: Column) -> Column:
     return F.size(words) - edge(1) - F.when(F.size(words) > 1, edge(-1)).otherwise(0)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= MOST_BROADCAST else df
-
-
 def item_words(items: DataFrame, item_id: str, text: str) -> DataFrame:
     """_item (a number for each row), item_id as text, words: rows without a word are left out."""
     words = F.filter(F.split(lower(F.coalesce(F.col(text), F.lit(""))), BREAK, -1), lambda w: w != "")
@@ -51,7 +47,7 @@ def item_words(items: DataFrame, item_id: str, text: str) -> DataFrame:
 def term_counts(docs: DataFrame, terms: DataFrame, n_terms: int, text: str) -> DataFrame:
     """key, n: how often each benchmark term occurs in the corpus; terms that don't occur are absent."""
     found = docs.select(F.explode(pieces(text)).alias("_w")).select(F.lower("_w").alias("key"))
-    return found.join(small(terms, n_terms), "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
+    return found.join(small(terms, n_terms, MOST_BROADCAST), "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
 
 
 def anchors(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
@@ -76,7 +72,7 @@ def anchors(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
 def postings(docs: DataFrame, keys: DataFrame, n_keys: int, text: str, reach: int) -> DataFrame:
     """The index: key, _row, pos, word, and the reach words to the left (nearest first) and right of it."""
     spread = docs.select("_row", pieces(text).alias("_words")).select("_row", "_words", F.posexplode("_words").alias("pos", "_w")).select("*", F.lower("_w").alias("key"))
-    hit = spread.join(small(keys, n_keys), "key", "left_semi")
+    hit = spread.join(small(keys, n_keys, MOST_BROADCAST), "key", "left_semi")
     left = F.reverse(F.slice("_words", F.greatest(F.col("pos") - reach, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(reach))))
     right = F.slice("_words", F.col("pos") + 2, reach)
     each = lambda ws: F.transform(ws, lower)
@@ -101,7 +97,7 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_i
     counts = materialise(term_counts(docs, terms, n_words, doc_text), "counts")
     wanted = materialise(anchors(items, counts, window), "anchors")
     index = materialise(postings(docs, wanted.select("key").distinct(), n_words, doc_text, window - 1), "postings")
-    aligned = index.join(small(wanted, n_words), "key").where(F.col("word") == F.col("iword"))
+    aligned = index.join(small(wanted, n_words, MOST_BROADCAST), "key").where(F.col("word") == F.col("iword"))
     runs = aligned.select("_row", "item_id", "pos", "need", run_length("left", "ileft").alias("l"), run_length("right", "iright").alias("r"))
     whole = runs.where(F.col("l") + F.col("r") + 1 >= F.col("need"))
     return whole.select("_row", "item_id", (F.col("pos") - F.col("l")).alias("begin"), (F.col("pos") + F.col("r")).alias("end"))
@@ -123,7 +119,7 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int, item_id:
     index = postings(docs, wanted.select("key").distinct(), n_words, doc_text, longest + slop)
     reach = F.size("words") - 1 + slop
     near = F.concat(F.slice("left", F.lit(1), reach), F.array("word"), F.slice("right", F.lit(1), reach))
-    both = index.join(small(wanted, n_words), "key").where(F.col("word") == F.col("iword"))
+    both = index.join(small(wanted, n_words, MOST_BROADCAST), "key").where(F.col("word") == F.col("iword"))
     return both.where(F.size(F.array_except("words", near)) == 0).select("_row", "item_id", "pos").distinct()
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spans import total, with_matches
 from .common import masked, materialise, with_row_key
 
 KINDS = ("email", "ip", "card", "phone")
@@ -37,23 +38,6 @@ SHAPES = {
     "card": r"^(?:[0-9][\x20.-]?){12,19}$",
     "phone": r"^[+(]?(?:[0-9][\x20().-]{0,2}){7,15}$",
 }
-BLOCK = 64
-
-
-def total(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0), lambda x, y: x + y)
-
-
-def ends(sizes: Column) -> Column:
-    """Running sums of an array, by sums over blocks, so that long arrays don't cost the square of their length."""
-    n = F.size(sizes)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: total(F.slice(sizes, b * BLOCK + 1, BLOCK)))
-    one = lambda bs: F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: total(F.slice(bs, F.lit(1), F.floor(i / BLOCK).cast("int"))) + total(F.slice(sizes, (F.floor(i / BLOCK) * BLOCK + 1).cast("int"), (i % BLOCK) + 1)),
-    )
-    # the blocks' sums are computed once: they pass through a one-element array
-    return F.when(n > 0, F.element_at(F.transform(F.array(blocks), one), 1)).otherwise(F.array().cast("array<int>"))
 
 
 def digits(m: Column) -> Column:
@@ -81,19 +65,6 @@ def valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def found(df: DataFrame, name: str, text: str, pattern: str, guard: Column) -> DataFrame:
-    """Adds array column name: struct(start, end, hit, before) of the pattern's matches; positions are code points."""
-    t, none = F.col(text), F.array().cast("array<string>")
-    cut = df.withColumn("_gaps", F.when(guard, F.split(t, pattern, -1)).otherwise(none)).withColumn("_hits", F.when(guard, F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(none))
-    sizes = F.zip_with(F.slice("_gaps", F.lit(1), F.size("_hits")), F.col("_hits"), lambda g, h: F.length(g) + F.length(h))
-    placed = cut.withColumn("_sizes", sizes).withColumn("_ends", F.when(F.size("_sizes") > 0, ends(F.col("_sizes"))).otherwise(F.array().cast("array<int>")))
-    pack = F.zip_with(
-        F.arrays_zip("_ends", "_hits"), F.slice("_gaps", F.lit(1), F.size("_hits")),
-        lambda x, g: F.struct((x["_ends"] - F.length(x["_hits"])).alias("start"), x["_ends"].alias("end"), x["_hits"].alias("hit"), F.right(g, F.lit(64)).alias("before")),
-    )
-    return placed.withColumn(name, F.when(F.size("_hits") > 0, pack)).drop("_gaps", "_hits", "_sizes", "_ends")
-
-
 def base_spans(rows: DataFrame, keep: list[str], text: str) -> DataFrame:
     """keep columns, base (spans by fixed pattern) and loose (tokens with a digit or @ that no base span touches).
 
@@ -101,8 +72,8 @@ def base_spans(rows: DataFrame, keep: list[str], text: str) -> DataFrame:
     """
     df = rows.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     for kind in KINDS:
-        df = found(df, f"_{kind}", "_text", PATTERNS[kind], GUARDS[kind](F.col("_text")))
-    df = found(df, "_loose", "_text", CANDIDATE, F.col("_text").rlike("[0-9@]"))
+        df = with_matches(df, f"_{kind}", "_text", PATTERNS[kind], GUARDS[kind](F.col("_text")))
+    df = with_matches(df, "_loose", "_text", CANDIDATE, F.col("_text").rlike("[0-9@]"))
     span = lambda k: lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("k"), x["end"].alias("end"), x["hit"].alias("hit"), x["before"].alias("before"))
     passes = lambda kind: lambda x: valid(kind, x["hit"])
     empty = F.array().cast("array<struct<start:int,k:int,end:int,hit:string,before:string>>")
