@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import chunks, fold, masked, text_map
 
-DIM = 1024
+DIM = 512
+BLOCK = 256  # texts whose 3-gram counts are multiplied at once
 _letters: dict[int, np.ndarray] = {}
 
 
@@ -38,6 +39,15 @@ def clean(text: str | None) -> str:
 _ASCII = {i: " " for i in range(128) if not chr(i).isalpha()}
 
 
+def ranks(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of x, all under size, and each element's place among them."""
+    if size > 1 << 23:
+        return np.unique(x, return_inverse=True)
+    seen = np.zeros(size, bool)
+    seen[x] = True
+    return np.flatnonzero(seen), (np.cumsum(seen, dtype=np.int32) - 1)[x]
+
+
 def bundle(texts: list[str], dim: int, groups: np.ndarray | None = None, n_groups: int = 0) -> np.ndarray:
     """Sums of 3-gram vectors, one row per text, or per group of texts where groups are given."""
     rows = np.arange(len(texts)) if groups is None else groups
@@ -46,27 +56,30 @@ def bundle(texts: list[str], dim: int, groups: np.ndarray | None = None, n_group
     n = np.fromiter(map(len, texts), np.int64, len(texts))
     if n.sum() < 3:
         return out
-    points, at = np.unique(np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), return_inverse=True)
+    points, at = ranks(np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), 0x110000)
     k = len(points)
     at = at.astype(np.int64)
-    row = np.repeat(rows, n)
     inside = np.ones(len(at), bool)  # a 3-gram may not run over a text's end
     ends = np.cumsum(n)
     for back in (1, 2):
         inside[(ends - back)[n >= back]] = False
-    start = np.flatnonzero(inside[: len(at) - 2]) if len(at) > 2 else np.zeros(0, np.int64)
+    start = np.flatnonzero(inside[: len(at) - 2])
     if not len(start):
         return out
-    grams, gram = np.unique((at[start] * k + at[start + 1]) * k + at[start + 2], return_inverse=True)
+    grams, gram = ranks((at[start] * k + at[start + 1]) * k + at[start + 2], k**3)
+    row = np.repeat(rows, n)[start]
+    if groups is not None:
+        order = np.argsort(row, kind="stable")
+        row, gram = row[order], gram[order]
     base = np.stack([letter(int(p), dim) for p in points])
     twice, once = np.roll(base, 2, axis=1), np.roll(base, 1, axis=1)
-    for a in range(0, n_rows, 128):
-        mine = (row[start] >= a) & (row[start] < a + 128)
-        used, local = np.unique(gram[mine], return_inverse=True)
+    for a in range(0, n_rows, BLOCK):
+        size = min(BLOCK, n_rows - a)
+        low, high = np.searchsorted(row, [a, a + size])
+        used, local = ranks(gram[low:high], len(grams))
         if not len(used):
             continue
-        size = min(128, n_rows - a)
-        counts = np.bincount((row[start][mine] - a) * len(used) + local, minlength=size * len(used)).reshape(size, len(used)).astype(np.float32)
+        counts = np.bincount((row[low:high] - a) * len(used) + local, minlength=size * len(used)).reshape(size, len(used)).astype(np.float32)
         g = grams[used]
         out[a : a + size] = counts @ (twice[g // (k * k)] * once[g // k % k] * base[g % k])
     return out
