@@ -9,9 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, text_map
+from .common import WORD, materialise, small, text_map
 
 SYMBOLS = "#*$%&|<>"
+#: Up to so many hosts, verdicts are broadcast, so that rows of a host that has very many stay where they are.
+MOST_BROADCAST = 200_000
 _word = re.compile(WORD)
 
 STATS = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
@@ -99,11 +101,12 @@ def judge_hosts(stats: DataFrame, host: str = "source", strict: float = 0.25, dr
     )
     judged = stats.withColumn("base_failed", base).withColumn("soft_failed", soft).withColumn("_host", F.coalesce(F.col(host).cast("string"), F.lit("")))
     hosts = judged.groupBy("_host").agg(F.count("*").alias("n"), F.sum((F.col("base_failed") | F.col("soft_failed")).cast("long")).alias("failed"))
+    hosts = materialise(hosts, "hosts")
     a, b = beta_prior(hosts)
     rate = (F.col("failed") + a) / (F.col("n") + a + b)
     verdicts = hosts.select("_host", rate.alias("host_rate"), F.when(rate >= drop, "drop").when(rate >= strict, "strict").otherwise("keep").alias("host_verdict"))
     kept = ~F.col("base_failed") & (F.col("host_verdict") != "drop") & ~((F.col("host_verdict") == "strict") & F.col("soft_failed"))
-    return judged.join(verdicts, "_host", "left").withColumn("kept", kept).drop("_host")
+    return judged.join(small(verdicts, hosts.count(), MOST_BROADCAST), "_host", "left").withColumn("kept", kept).drop("_host")
 
 
 def host_quality(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text", **limits) -> DataFrame:
