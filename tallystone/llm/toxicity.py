@@ -27,7 +27,7 @@ def marks(text: str | None) -> set[str]:
 
 
 def learn_voters(sample: DataFrame, label: str, least: int = 5, ratio: float = 4.0, most: int = 2000) -> list[tuple[str, float]]:
-    """Marks that at least `least` toxic samples have and that are `ratio` times likelier in toxic than in other samples.
+    """Marks that at least `least` toxic samples have, at least half of all that have it, and `ratio` times likelier in toxic than in other samples.
 
     sample: rows with marks and a 0/1 label. Of more than `most` voters, those in most toxic samples are taken.
     """
@@ -35,7 +35,7 @@ def learn_voters(sample: DataFrame, label: str, least: int = 5, ratio: float = 4
     n1, n0 = n1 or 0, n0 or 0
     by = sample.select(F.explode("marks").alias("mark"), label).groupBy("mark").agg(F.sum(F.col(label).cast("long")).alias("t"), F.sum(1 - F.col(label).cast("long")).alias("c"))
     lift = ((F.col("t") + 0.5) / (n1 + 1.0)) / ((F.col("c") + 0.5) / (n0 + 1.0))
-    rows = by.where((F.col("t") >= least) & (lift >= ratio)).orderBy(F.desc("t"), "mark").limit(most).collect()
+    rows = by.where((F.col("t") >= least) & (F.col("t") >= F.col("c")) & (lift >= ratio)).orderBy(F.desc("t"), "mark").limit(most).collect()
     return [(r.mark, float(np.log((r.t + 0.5) / (n1 + 1.0)) - np.log((r.c + 0.5) / (n0 + 1.0)))) for r in rows]
 
 
@@ -58,24 +58,43 @@ def label_model(votes: np.ndarray, given: np.ndarray, trust: float = 0.98, round
     return q
 
 
-def fit_linear(votes: np.ndarray, target: np.ndarray, ridge: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft targets by accelerated gradient steps. Weights stay at 0 or more: a voter votes for toxicity."""
-    n, m = votes.shape
-    w, b = np.zeros(m), 0.0
-    vw, vb = w.copy(), b
-    rate = 4.0 / (1 + (votes.sum(1).max() if m else 0))
-    share = np.where(target > 0.5, 0.5 / max(1e-9, (target > 0.5).mean()), 0.5 / max(1e-9, (target <= 0.5).mean())) / n
-    for t in range(steps):
-        p = 1 / (1 + np.exp(-(votes @ vw + vb)))
-        g = (p - target) * share
-        w2, b2 = np.maximum(0, vw - rate * (votes.T @ g + ridge * vw)), vb - rate * g.sum()
-        k = t / (t + 3)
-        vw, vb, w, b = w2 + k * (w2 - w), b2 + k * (b2 - b), w2, b2
-    return w, float(b)
-
-
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 3, held: int = 1, sample: int = 12_000) -> tuple[dict[str, float], float]:
-    """Weights by mark, and the bias. Learns from `sample` labelled rows outside the held-out fold at most.
+def distinct_columns(votes: np.ndarray, most: int) -> np.ndarray:
+    """The columns to keep, `most` at most: of voters that fire in the same samples the first."""
+    _, first = np.unique(votes.astype(bool), axis=1, return_index=True)
+    return np.sort(first)[:most]
+
+
+def fit_linear(votes: np.ndarray, target: np.ndarray, ridge: float = 1e-4, steps: int = 25) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft targets by Newton steps, both classes given the same weight."""
+    x = np.hstack([votes.astype(np.float64), np.ones((len(votes), 1))])
+    share = np.where(target > 0.5, 0.5 / max(1.0, (target > 0.5).sum()), 0.5 / max(1.0, (target <= 0.5).sum()))
+    penalty = np.full(x.shape[1], ridge)
+    penalty[-1] = 1e-9  # the bias is free
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = (x * (share * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ x + np.diag(penalty)
+        step = np.linalg.solve(h, x.T @ ((target - p) * share) - penalty * w)
+        w += step * min(1.0, 4.0 / max(1e-9, np.abs(step).max()))
+        if np.abs(step).max() < 1e-4:
+            break
+    return w[:-1], float(w[-1])
+
+
+def calibrated(logits: np.ndarray, given: np.ndarray, bias: float, cut: float) -> float:
+    """The bias with which the score `cut` is the threshold of the best F1 on the given labels, halfway between the samples beside it."""
+    order = np.argsort(-logits, kind="stable")
+    z, y = logits[order], given[order]
+    last = np.flatnonzero(np.concatenate([z[1:] != z[:-1], [True]]))  # a threshold can't part equal samples
+    hits = np.cumsum(y)[last]
+    f1 = 2 * hits / (last + 1 + y.sum())
+    best = int(np.argmax(f1))
+    below = z[last[best] + 1] if last[best] + 1 < len(z) else z[last[best]] - 2
+    return bias + float(np.log(cut / (1 - cut)) - (z[last[best]] + below) / 2)
+
+
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 3, held: int = 1, sample: int = 12_000, voters_kept: int = 500, cut: float = 0.7) -> tuple[dict[str, float], float]:
+    """Weights by mark, and the bias. Learns from `sample` labelled rows outside the held-out fold, and `voters_kept` voters, at most.
 
     Rows are drawn by the hash of their id. The drawn ids and labels (16 bytes each) are broadcast to find the texts.
     """
@@ -99,8 +118,12 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     votes, given = np.zeros((len(rows), len(names)), np.float32), np.array([r[0] for r in rows])
     for i, (_, fired) in enumerate(rows):
         votes[i, [at[v] for v in fired]] = 1
+    kept = distinct_columns(votes, voters_kept)
+    votes, names = votes[:, kept], [names[i] for i in kept]
     w, b = fit_linear(votes, label_model(votes, given))
-    return {v: float(x) for v, x in zip(names, w) if x > 0}, b
+    if given.any():
+        b = calibrated(votes @ w + b, given, b, cut)
+    return {v: float(x) for v, x in zip(names, w) if x}, b
 
 
 def score(docs: DataFrame, keep: list[str], weights: dict[str, float], bias: float, text: str = "text", cut: float = 0.7) -> DataFrame:
