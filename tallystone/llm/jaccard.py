@@ -4,7 +4,8 @@ A document is the set of its 4-word shingles. Sets of one size band, and those o
 the same partition of the feature domain: n1 groups of n2 cells. Two sets of Jaccard similarity c or more differ in k
 features at most, so with n1 * (k2 + 1) > k some group holds at most k2 of them, and the n2 - k2 other cells of that
 group agree: enumerating the subsets of n2 - k2 cells gives both sets one equal signature. Every candidate pair is
-verified on the whole sets.
+verified on the whole sets. Where a group of equal signatures holds many sets that are nearly similar, its pairs are cut
+down by the rarest shingles first.
 
 Signatures of empty cells would pair strangers. `slack` more groups make sure that some agreeing group has none empty,
 unless both sets have more than slack such groups; only those sets also get a prefix of their features as signatures.
@@ -14,20 +15,20 @@ from __future__ import annotations
 
 import itertools
 import math
-import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, masked, materialise, text_map, with_row_key
+from .common import chunks, masked, materialise, text_map, with_row_key
 from .graph import components
 
-_word = re.compile(WORD)
-_lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+BASE = 0xD1342543DE82EF97
+_byte = np.random.Generator(np.random.PCG64(1)).integers(0, 2**64, 256, dtype=np.uint64)
+_lower = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_blank = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 #: Where so many documents or fewer are candidates, their row keys (8 bytes each) are broadcast to find the texts.
 MOST_BROADCAST = 1_000_000
 
@@ -39,28 +40,51 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of BASE and of its inverse, modulo 2**64."""
+    if len(_powers[0]) < n:
+        for i, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            _powers[i] = np.cumprod(steps)
+    return _powers[0], _powers[1]
+
+
 def shingle_sets(texts: list[str | None], width: int = 4) -> list[np.ndarray]:
-    """Per text its sorted distinct shingles as 64-bit hashes; with fewer words the whole sequence is one shingle."""
-    words = [_word.findall((t or "").translate(_lower)) for t in texts]
-    coded = pa.array([w for ws in words for w in ws], type=pa.large_string()).dictionary_encode()
-    if not len(coded):
+    """Per text its sorted distinct shingles as 64-bit hashes; with fewer words the whole sequence is one shingle.
+
+    Words are hashed where they lie, by differences of a running polynomial over the bytes with a random number for
+    each byte value: no word becomes an object.
+    """
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b" " + b" ".join(raw).translate(_lower) + b" ", np.uint8)
+    blank = _blank[data]
+    begin = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
+    if not len(begin):
         return [np.zeros(0, np.uint64) for _ in texts]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    flat = hashes[coded.indices.to_numpy(zero_copy_only=False)]
+    end = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
+    up, down = powers(len(data) + 1)
+    run = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_byte[data] * up[: len(data)], out=run[1:])
+    flat = mix((run[end] - run[begin]) * down[begin])
+    size = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
+    first = np.searchsorted(begin, np.cumsum(size) - size + 1)
     n = len(flat)
     rolled = np.zeros(max(0, n - width + 1), np.uint64)
     for i in range(width):
         rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + mix(flat[i : n - width + 1 + i] + np.uint64(i))
     rolled = mix(rolled)
-    out, at = [], 0
-    for ws in words:
-        k = len(ws)
+    out = []
+    for at, to in zip(first.tolist(), [*first[1:].tolist(), n]):
+        k = to - at
         if k >= width:
-            out.append(np.unique(rolled[at : at + k - width + 1]))
+            out.append(np.unique(rolled[at : to - width + 1]))
         else:
-            short = mix(flat[at : at + k] + np.arange(k, dtype=np.uint64) + np.uint64(1000 * k))
+            short = mix(flat[at:to] + np.arange(k, dtype=np.uint64) + np.uint64(1000 * k))
             out.append(mix(short.sum(keepdims=True)) if k else np.zeros(0, np.uint64))
-        at += k
     return out
 
 
@@ -168,25 +192,54 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> Da
     def run(batches):
         last, hub = None, None
         for batch in batches:
-            a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
-            keep = []
-            for x, t, u in zip(a, ta, tb):
-                if x != last:
-                    last, hub = x, shingle_sets([t], width)[0]
-                other = shingle_sets([u], width)[0]
-                same = len(np.intersect1d(hub, other, assume_unique=True))
-                keep.append(100 * same >= percent * (len(hub) + len(other) - same))
+            a, ta, tb = (batch.column(i).to_pylist() for i in (0, 2, 3))
+            keep: list[bool] = []
+            for low, high in chunks([len(t) + 64 for t in tb], 2_000_000):
+                for i, other in zip(range(low, high), shingle_sets(tb[low:high], width)):
+                    if a[i] != last:  # pairs come sorted by a
+                        last, hub = a[i], shingle_sets([ta[i]], width)[0]
+                    same = len(np.intersect1d(hub, other, assume_unique=True))
+                    keep.append(100 * same >= percent * (len(hub) + len(other) - same))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
 
 
+def rare_pairs(nodes: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """a, b: pairs of nodes (fp, n, label) of different labels that may be similar, by prefixes in the order of rarity.
+
+    Similar sets share one of the n - ceil(c * n) + 1 rarest shingles of each. Near copies that differ from all others
+    in more than that many have only shingles of their own there, and meet nobody. A shingle that no other node has is
+    in no intersection, which bounds a pair's similarity by numbers alone.
+    """
+    mine = texts.join(nodes.select("fp"), "fp", "left_semi")
+
+    def make(rows, found):
+        sets = shingle_sets(found, width)
+        n = np.array([len(s) for s in sets])
+        return [pa.array(np.repeat(rows["fp"].to_numpy(zero_copy_only=False), n)), pa.array(np.concatenate(sets).view(np.int64))]
+
+    each = text_map(mine, ["fp"], "_text", "fp long, shingle long", make)
+    each = each.withColumn("df", F.count("*").over(Window.partitionBy("shingle")))
+    by_node = Window.partitionBy("fp")
+    ranked = each.select("fp", "shingle", "df", F.row_number().over(by_node.orderBy("df", "shingle")).alias("rank"), F.sum(F.when(F.col("df") == 1, 1).otherwise(0)).over(by_node).alias("alone"))
+    known = ranked.where(F.col("df") > 1).join(nodes.select("fp", "n", "label"), "fp")
+    prefix = known.where(F.col("rank") <= F.col("n") - F.ceil(percent * F.col("n") / 100) + 1)
+    by_shingle = Window.partitionBy("shingle")
+    mixed = prefix.withColumn("low", F.min("label").over(by_shingle)).withColumn("high", F.max("label").over(by_shingle)).where(F.col("low") < F.col("high"))
+    mixed = materialise(mixed.select("shingle", "fp", "n", "label", (F.col("n") - F.col("alone")).alias("met")), "prefixes")
+    x, y = mixed.toDF("shingle", "a", "na", "la", "ma"), mixed.toDF("shingle", "b", "nb", "lb", "mb")
+    most = F.least("ma", "mb")
+    may = 100 * most >= percent * (F.col("na") + F.col("nb") - most)
+    return x.join(y, "shingle").where((F.col("la") < F.col("lb")) & may).select("a", "b").distinct()
+
+
 def similar_components(rows: DataFrame, text: str = "text", percent: int = 85, width: int = 4, n2: int = 2, k2: int = 1) -> DataFrame:
     """_row, n_shingles, component (the least _row that links reach, itself included). rows have a unique _row.
 
     Pairs are drawn in two rounds, so that a group of near copies needs few: first every member of a signature's group
-    with the member that shares most groups; then all those of different components that share a signature and haven't
-    been tried. No link can be lost: pairs that the second round leaves out are in one component already.
+    with the member that shares most groups. Then the members of groups that still hold several components are joined
+    by rare_pairs(), which loses no similar pair among them. Pairs that neither round tries are in one component already.
     """
     base = materialise(fingerprints(rows, text, width), "prints")
     reps = base.where(F.col("fp").isNotNull()).groupBy("fp").agg(F.min("_row").alias("rep"), F.first("n_shingles").alias("n"))
@@ -210,11 +263,9 @@ def similar_components(rows: DataFrame, text: str = "text", percent: int = 85, w
     labels = components(as_rows(links))
     labelled = known.join(labels, known["rep"] == labels["node"], "left").select("sig", "fp", "n", F.coalesce("label", "rep").alias("label"))
     mixed = labelled.withColumn("low", F.min("label").over(by_sig)).withColumn("high", F.max("label").over(by_sig)).where(F.col("low") < F.col("high"))
-    mixed = materialise(mixed.select("sig", "fp", "n", "label"), "mixed")
-    x, y = mixed.toDF("sig", "a", "na", "la"), mixed.toDF("sig", "b", "nb", "lb")
-    rest = x.join(y, "sig").where((F.col("la") < F.col("lb")) & alike(F.col("na"), F.col("nb"))).select("a", "b").distinct()
+    mixed = materialise(mixed.select("fp", "n", "label").distinct(), "mixed")
     done = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = materialise(verified(rest.join(done, ["a", "b"], "left_anti"), texts, percent, width), "links")
+    more = materialise(verified(rare_pairs(mixed, texts, percent, width).join(done, ["a", "b"], "left_anti"), texts, percent, width), "links")
     if not more.isEmpty():
         labels = components(as_rows(links.unionByName(more)))
     of_print = reps.join(labels, reps["rep"] == labels["node"], "left").select("fp", F.coalesce("label", "rep").alias("component"))
