@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import chunks, masked, materialise, text_map, with_row_key
 from .graph import components
 
+PART = 1 << 20
 BASE = 0xD1342543DE82EF97
 _byte = np.random.Generator(np.random.PCG64(1)).integers(0, 2**64, 256, dtype=np.uint64)
 _lower = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -53,23 +54,30 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def shingle_sets(texts: list[str | None], width: int = 4) -> list[np.ndarray]:
-    """Per text its sorted distinct shingles as 64-bit hashes; with fewer words the whole sequence is one shingle.
-
-    Words are hashed where they lie, by differences of a running polynomial over the bytes with a random number for
-    each byte value: no word becomes an object.
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin, and their hashes: differences of a running polynomial over the bytes, with a random number for
+    each byte value. Words are hashed where they lie, about a megabyte at once; data begin and end with a blank.
     """
+    blank = np.flatnonzero(_blank[data])
+    begins, hashes, low = [], [], 0
+    while low < len(data) - 1:
+        high = blank[min(max(np.searchsorted(blank, low + PART, "right") - 1, np.searchsorted(blank, low + 1)), len(blank) - 1)]
+        part = data[low : high + 1]
+        empty = _blank[part]
+        begin, end = np.flatnonzero(empty[:-1] & ~empty[1:]) + 1, np.flatnonzero(~empty[:-1] & empty[1:]) + 1
+        up, down = powers(max(len(part), PART) + 1)
+        run = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_byte[part] * up[: len(part)], out=run[1:])
+        begins.append(begin + low)
+        hashes.append(mix((run[end] - run[begin]) * down[begin]))
+        low = int(high)
+    return (np.concatenate(begins), np.concatenate(hashes)) if begins else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
+def shingle_sets(texts: list[str | None], width: int = 4) -> list[np.ndarray]:
+    """Per text its sorted distinct shingles as 64-bit hashes; with fewer words the whole sequence is one shingle."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    data = np.frombuffer(b" " + b" ".join(raw).translate(_lower) + b" ", np.uint8)
-    blank = _blank[data]
-    begin = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
-    if not len(begin):
-        return [np.zeros(0, np.uint64) for _ in texts]
-    end = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
-    up, down = powers(len(data) + 1)
-    run = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_byte[data] * up[: len(data)], out=run[1:])
-    flat = mix((run[end] - run[begin]) * down[begin])
+    begin, flat = word_hashes(np.frombuffer(b" " + b" ".join(raw).translate(_lower) + b" ", np.uint8))
     size = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
     first = np.searchsorted(begin, np.cumsum(size) - size + 1)
     n = len(flat)
@@ -168,7 +176,7 @@ def fingerprints(rows: DataFrame, text: str, width: int) -> DataFrame:
         sets = shingle_sets(texts, width)
         return [kept["_row"], [print_of(s) if len(s) else None for s in sets], [len(s) for s in sets]]
 
-    return text_map(rows, ["_row"], text, "_row long, fp long, n_shingles long", make)
+    return text_map(rows, ["_row"], text, "_row long, fp long, n_shingles long", make, PART)
 
 
 def signature_rows(rows: DataFrame, text: str, percent: int, width: int, n2: int, k2: int) -> DataFrame:
@@ -181,7 +189,7 @@ def signature_rows(rows: DataFrame, text: str, percent: int, width: int, n2: int
         every = np.concatenate(sigs) if sigs else np.zeros(0, np.uint64)
         return [pa.array(every.view(np.int64)), pa.array(np.repeat(np.array(list(found), np.int64), n))]
 
-    return text_map(rows, [], text, "sig long, fp long", make)
+    return text_map(rows, [], text, "sig long, fp long", make, PART)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
@@ -194,7 +202,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> Da
         for batch in batches:
             a, ta, tb = (batch.column(i).to_pylist() for i in (0, 2, 3))
             keep: list[bool] = []
-            for low, high in chunks([len(t) + 64 for t in tb], 2_000_000):
+            for low, high in chunks([len(t) + 64 for t in tb], PART):
                 for i, other in zip(range(low, high), shingle_sets(tb[low:high], width)):
                     if a[i] != last:  # pairs come sorted by a
                         last, hub = a[i], shingle_sets([ta[i]], width)[0]
@@ -219,7 +227,7 @@ def rare_pairs(nodes: DataFrame, texts: DataFrame, percent: int, width: int) ->
         n = np.array([len(s) for s in sets])
         return [pa.array(np.repeat(rows["fp"].to_numpy(zero_copy_only=False), n)), pa.array(np.concatenate(sets).view(np.int64))]
 
-    each = text_map(mine, ["fp"], "_text", "fp long, shingle long", make)
+    each = text_map(mine, ["fp"], "_text", "fp long, shingle long", make, PART)
     each = each.withColumn("df", F.count("*").over(Window.partitionBy("shingle")))
     by_node = Window.partitionBy("fp")
     ranked = each.select("fp", "shingle", "df", F.row_number().over(by_node.orderBy("df", "shingle")).alias("rank"), F.sum(F.when(F.col("df") == 1, 1).otherwise(0)).over(by_node).alias("alone"))
