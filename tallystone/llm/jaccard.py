@@ -127,14 +127,25 @@ class Scheme:
     def __init__(self, band: int, percent: int, n2: int, k2: int):
         self.band, self.k = band, (100 - percent) * bands(percent)[band][1] // percent
         least = math.ceil((self.k + 1) / (k2 + 1))
-        self.slack = 1 + least // 8
+        self.slack = 1 + least // 6
         self.n1, self.n2, self.cells = least + self.slack, n2, (least + self.slack) * n2
         self.subsets = list(itertools.combinations(range(n2), n2 - k2))
         self.salt = np.uint64(0x9E3779B97F4A7C15 * (band + 1) % 2**64)
 
-    def signatures(self, s: np.ndarray, percent: int) -> np.ndarray:
+    def cells_of(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         value = mix(s ^ self.salt)
-        cell = (value % np.uint64(self.cells)).astype(np.int64)
+        return value, (value % np.uint64(self.cells)).astype(np.int64)
+
+    def needed(self, s: np.ndarray) -> int:
+        """Similar sets agree in slack + 1 groups; those of them that have an empty subset may give no signature."""
+        held = np.bincount(self.cells_of(s)[1], minlength=self.cells).reshape(self.n1, self.n2)
+        bare = np.zeros(self.n1, bool)
+        for subset in self.subsets:
+            bare |= held[:, subset].sum(1) == 0
+        return max(1, self.slack + 1 - int(bare.sum()))
+
+    def signatures(self, s: np.ndarray, percent: int) -> np.ndarray:
+        value, cell = self.cells_of(s)
         total = np.zeros(self.cells, np.uint64)
         np.add.at(total, cell, mix(value))
         held = np.bincount(cell, minlength=self.cells).reshape(self.n1, self.n2)
@@ -157,26 +168,33 @@ def scheme(band: int, percent: int, n2: int, k2: int) -> Scheme:
     return Scheme(band, percent, n2, k2)
 
 
-def signatures(s: np.ndarray, percent: int, n2: int, k2: int) -> np.ndarray:
-    """All signatures of a set. Bands in which similar sets are equal sets have none: equal sets share a fingerprint."""
+def schemes(s: np.ndarray, percent: int, n2: int, k2: int) -> list[Scheme]:
+    """Those of a set: of its band, and of the one below if similar sets may lie there."""
     if not len(s):
-        return np.zeros(0, np.uint64)
+        return []
     band = band_of(len(s), percent)
-    mine = [band]
-    if band and percent * len(s) <= 100 * bands(percent)[band - 1][1]:
-        mine.append(band - 1)
-    made = [x.signatures(s, percent) for x in (scheme(b, percent, n2, k2) for b in mine) if x.k]
+    below = [band - 1] if band and percent * len(s) <= 100 * bands(percent)[band - 1][1] else []
+    return [x for x in (scheme(b, percent, n2, k2) for b in [band, *below]) if x.k]
+
+
+def needed(s: np.ndarray, percent: int, n2: int, k2: int) -> int:
+    return min((x.needed(s) for x in schemes(s, percent, n2, k2)), default=1)
+
+
+def signatures(s: np.ndarray, percent: int, n2: int, k2: int) -> np.ndarray:
+    """All signatures of a set. Bands in which similar sets are equal sets have none: equal sets share a fingerprint."""
+    made = [x.signatures(s, percent) for x in schemes(s, percent, n2, k2)]
     return np.concatenate(made) if made else np.zeros(0, np.uint64)
 
 
-def fingerprints(rows: DataFrame, text: str, width: int) -> DataFrame:
-    """_row, fp (null for the empty set), n_shingles."""
+def fingerprints(rows: DataFrame, text: str, percent: int, width: int, n2: int, k2: int) -> DataFrame:
+    """_row, fp (null for the empty set), n_shingles, need: how many signatures it shares with any similar set, at least."""
 
     def make(kept, texts):
         sets = shingle_sets(texts, width)
-        return [kept["_row"], [print_of(s) if len(s) else None for s in sets], [len(s) for s in sets]]
+        return [kept["_row"], [print_of(s) if len(s) else None for s in sets], [len(s) for s in sets], [needed(s, percent, n2, k2) for s in sets]]
 
-    return text_map(rows, ["_row"], text, "_row long, fp long, n_shingles long", make, PART)
+    return text_map(rows, ["_row"], text, "_row long, fp long, n_shingles long, need int", make, PART)
 
 
 def signature_rows(rows: DataFrame, text: str, percent: int, width: int, n2: int, k2: int) -> DataFrame:
@@ -214,28 +232,32 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> Da
 
 
 def rare_pairs(nodes: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
-    """a, b: pairs of nodes (fp, n, label) of different labels that may be similar, by prefixes in the order of rarity.
+    """a, b: pairs of nodes (fp, rep, n, label) of different labels that may be similar, by prefixes in the order of rarity.
 
     Similar sets share one of the n - ceil(c * n) + 1 rarest shingles of each. Near copies that differ from all others
-    in more than that many have only shingles of their own there, and meet nobody. A shingle that no other node has is
-    in no intersection, which bounds a pair's similarity by numbers alone.
+    in more than that many have only shingles of their own there, and meet nobody. What two sets share lies in what each has left from
+    their first common shingle on, which bounds their similarity by numbers alone.
     """
-    mine = texts.join(nodes.select("fp"), "fp", "left_semi")
+    mine = texts.join(nodes.select("fp", "rep"), "fp").select("rep", "_text")
 
     def make(rows, found):
-        sets = shingle_sets(found, width)
+        # 40 bits of a shingle will do: shingles that share them are taken for one, which only lets more pairs through
+        sets = [np.unique(s >> np.uint64(24)) for s in shingle_sets(found, width)]
         n = np.array([len(s) for s in sets])
-        return [pa.array(np.repeat(rows["fp"].to_numpy(zero_copy_only=False), n)), pa.array(np.concatenate(sets).view(np.int64))]
+        return [pa.array(np.repeat(rows["rep"].to_numpy(zero_copy_only=False), n)), pa.array(np.concatenate(sets).view(np.int64))]
 
-    each = text_map(mine, ["fp"], "_text", "fp long, shingle long", make, PART)
+    each = text_map(mine, ["rep"], "_text", "rep long, shingle long", make, PART)
     each = each.withColumn("df", F.count("*").over(Window.partitionBy("shingle")))
-    by_node = Window.partitionBy("fp")
-    ranked = each.select("fp", "shingle", "df", F.row_number().over(by_node.orderBy("df", "shingle")).alias("rank"), F.sum(F.when(F.col("df") == 1, 1).otherwise(0)).over(by_node).alias("alone"))
-    known = ranked.where(F.col("df") > 1).join(nodes.select("fp", "n", "label"), "fp")
-    prefix = known.where(F.col("rank") <= F.col("n") - F.ceil(percent * F.col("n") / 100) + 1)
+    alone = each.where(F.col("df") == 1).groupBy("rep").agg(F.count("*").alias("alone"))
+    nth = F.row_number().over(Window.partitionBy("rep").orderBy("df", "shingle"))
+    ranked = each.where(F.col("df") > 1).withColumn("nth", nth).join(nodes.join(alone, "rep", "left"), "rep")
+    ranked = ranked.withColumn("rank", F.col("nth") + F.coalesce("alone", F.lit(0)))
+    prefix = ranked.where(F.col("rank") <= F.col("n") - F.ceil(percent * F.col("n") / 100) + 1)
     by_shingle = Window.partitionBy("shingle")
     mixed = prefix.withColumn("low", F.min("label").over(by_shingle)).withColumn("high", F.max("label").over(by_shingle)).where(F.col("low") < F.col("high"))
-    mixed = materialise(mixed.select("shingle", "fp", "n", "label", (F.col("n") - F.col("alone")).alias("met")), "prefixes")
+    # what is left of a set from this shingle on: at the first that two sets share, all that they share lies there
+    left = F.col("n") - F.col("rank") + 1
+    mixed = materialise(mixed.select("shingle", "fp", "n", "label", left.alias("met")), "prefixes")
     x, y = mixed.toDF("shingle", "a", "na", "la", "ma"), mixed.toDF("shingle", "b", "nb", "lb", "mb")
     most = F.least("ma", "mb")
     may = 100 * most >= percent * (F.col("na") + F.col("nb") - most)
@@ -249,8 +271,8 @@ def similar_components(rows: DataFrame, text: str = "text", percent: int = 85, w
     with the member that shares most groups. Then the members of groups that still hold several components are joined
     by rare_pairs(), which loses no similar pair among them. Pairs that neither round tries are in one component already.
     """
-    base = materialise(fingerprints(rows, text, width), "prints")
-    reps = base.where(F.col("fp").isNotNull()).groupBy("fp").agg(F.min("_row").alias("rep"), F.first("n_shingles").alias("n"))
+    base = materialise(fingerprints(rows, text, percent, width, n2, k2), "prints")
+    reps = base.where(F.col("fp").isNotNull()).groupBy("fp").agg(F.min("_row").alias("rep"), F.first("n_shingles").alias("n"), F.first("need").alias("need"))
     by_sig = Window.partitionBy("sig")
     sigs = signature_rows(rows, text, percent, width, n2, k2).withColumn("least", F.min("fp").over(by_sig)).withColumn("most", F.max("fp").over(by_sig))
     shared = materialise(sigs.where(F.col("least") < F.col("most")).select("sig", "fp").distinct(), "shared")
@@ -260,7 +282,7 @@ def similar_components(rows: DataFrame, text: str = "text", percent: int = 85, w
     wanted = members.select(F.col("rep").alias("_row"), "fp")
     found = rows.select("_row", F.col(text).alias("_text")).join(F.broadcast(wanted) if n <= MOST_BROADCAST else wanted, "_row")
     texts = materialise(found.select("fp", "_text"), "texts")
-    known = shared.join(members.select("fp", "degree", "n", "rep"), "fp")
+    known = shared.join(members.select("fp", "degree", "n", "rep", "need"), "fp")
     alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     hub = F.min(F.struct(-F.col("degree"), F.col("fp"), F.col("n"))).over(by_sig)
     first = known.withColumn("hub", hub).where((F.col("hub.fp") != F.col("fp")) & alike(F.col("hub.n"), F.col("n")))
@@ -269,9 +291,10 @@ def similar_components(rows: DataFrame, text: str = "text", percent: int = 85, w
     ids = members.select("fp", "rep")
     as_rows = lambda e: e.join(ids.toDF("a", "ra"), "a").join(ids.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     labels = components(as_rows(links))
-    labelled = known.join(labels, known["rep"] == labels["node"], "left").select("sig", "fp", "n", F.coalesce("label", "rep").alias("label"))
+    labelled = known.join(labels, known["rep"] == labels["node"], "left").select("sig", "fp", "rep", "n", "need", F.coalesce("label", "rep").alias("label"))
     mixed = labelled.withColumn("low", F.min("label").over(by_sig)).withColumn("high", F.max("label").over(by_sig)).where(F.col("low") < F.col("high"))
-    mixed = materialise(mixed.select("fp", "n", "label").distinct(), "mixed")
+    mixed = mixed.groupBy("fp", "rep", "n", "label").agg(F.count("*").alias("met"), F.first("need").alias("need"))
+    mixed = materialise(mixed.where(F.col("met") >= F.col("need")).select("fp", "rep", "n", "label"), "mixed")
     done = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = materialise(verified(rare_pairs(mixed, texts, percent, width).join(done, ["a", "b"], "left_anti"), texts, percent, width), "links")
     if not more.isEmpty():
