@@ -300,6 +300,7 @@ def similar_components(rows: DataFrame, text: str = "text", percent: int = 85, w
     if not more.isEmpty():
         labels = components(as_rows(links.unionByName(more)))
     of_print = reps.join(labels, reps["rep"] == labels["node"], "left").select("fp", F.coalesce("label", "rep").alias("component"))
+    of_print = materialise(of_print, "components")  # so that the join below has two shuffled sides, and a print of very many copies can be split
     return base.join(of_print, "fp", "left").select("_row", "n_shingles", F.coalesce("component", "_row").alias("component"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import ship
 from . import bpe, contamination, html, jaccard, langid, pii, quality, suffixes, toxicity, urls
 from .common import fold
+from .oracles import ORACLES  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,5 +64,3 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_suffix_dedup, op4_html_extraction, op5_url_filters, op6_language_id, op7_decontamination, op8_bpe, op9_jaccard_join, op10_toxicity)}
-
-ORACLES: dict[str, str] = {}

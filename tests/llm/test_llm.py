@@ -4,8 +4,10 @@ import binascii
 import hashlib
 import html as html_lib
 import re
-from collections import Counter, defaultdict
+from collections import Counter
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -425,6 +427,18 @@ def test_queries_run(spark, sf_dir, name):
     assert queries.QUERIES[name](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/{source}.parquet").count()
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_equal_their_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for p in Path(sf_dir).glob("*.parquet"):
+        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    found = con.execute(queries.ORACLES[name])
+    columns = [d[0] for d in found.description]
+    made = queries.QUERIES[name](spark, sf_dir)
+    assert sorted(made.columns) == sorted(columns)
+    assert Counter(tuple(r[c] for c in columns) for r in made.collect()) == Counter(map(tuple, found.fetchall()))
+
+
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     now = docs
