@@ -102,21 +102,21 @@ def white_space_counts(covered: DataFrame) -> DataFrame:
 def conflicts(evidence: DataFrame) -> DataFrame:
     """Groups of metric, year and population with different texts as values: the first two, with the first two rows' sources.
 
-    Rows without metric are left out; blank years and populations are groups too. Firsts are found by two rounds of
-    minima over partial aggregates, so a group of any size costs its tasks a few fields.
+    Rows without metric are left out; blank years and populations are groups too. Values are made distinct before they
+    are ordered, and of the rows only the first two of each group are shuffled: Spark cuts a ranked window before its
+    exchange.
     """
     keys = ["metric", "year_or_range", "population"]
     text = F.trim(F.coalesce("value", F.lit("")))
     rows = evidence.where(F.col("metric").isNotNull()).select("_ord", "source_citation", "metric", *[F.coalesce(c, F.lit("")).alias(c) for c in keys[1:]], text.alias("v")).where(F.col("v") != "")
+    group = Window.partitionBy(*keys)
     values = rows.groupBy(*keys, "v").agg(F.min("_ord").alias("at"), F.count("*").alias("n"))
-    groups = values.groupBy(*keys).agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_values"), F.min(F.struct("at", "v")).alias("one"))
-    groups = groups.where((F.col("n_rows") >= 2) & (F.col("n_values") >= 2))
-    second = values.join(groups.select(*keys, "one"), keys).where(F.col("v") != F.col("one.v")).groupBy(*keys).agg(F.min(F.struct("at", "v")).alias("two"))
-    source = rows.select(*keys, F.struct("_ord", "source_citation").alias("s"))
-    first = source.groupBy(*keys).agg(F.min("s").alias("s1"))
-    next_one = source.join(first, keys).where(F.col("s._ord") > F.col("s1._ord")).groupBy(*keys).agg(F.min("s").alias("s2"))
-    out = groups.join(second, keys).join(first, keys).join(next_one, keys, "left")
-    return out.select(*keys, F.col("one.v").alias("value_1"), F.col("two.v").alias("value_2"), F.col("s1.source_citation").alias("source_1"), F.coalesce("s2.source_citation", "s1.source_citation").alias("source_2"), "n_values")
+    ranked = values.select("*", F.row_number().over(group.orderBy("at", "v")).alias("k"), F.count("*").over(group).alias("n_values"))
+    nth = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
+    two = ranked.where((F.col("k") <= 2) & (F.col("n_values") >= 2)).groupBy(*keys).agg(nth(1, "v").alias("value_1"), nth(2, "v").alias("value_2"), F.max("n_values").alias("n_values"))
+    first = rows.select(*keys, "source_citation", F.row_number().over(group.orderBy("_ord", "source_citation")).alias("k")).where(F.col("k") <= 2)
+    sources = first.groupBy(*keys).agg(nth(1, "source_citation").alias("source_1"), nth(2, "source_citation").alias("source_2"))
+    return two.join(sources, keys).select(*keys, "value_1", "value_2", "source_1", "source_2", "n_values")
 
 
 def reconciliation(evidence: DataFrame, required: DataFrame, listed: int = 125, length: int = 1000) -> DataFrame:
