@@ -126,6 +126,18 @@ def first_class(text: Column | str, classes: list[tuple[str, list[str]]], defaul
     return F.coalesce(*[F.when(has(words), F.lit(name)) for name, words in classes], F.lit(default))
 
 
+def match_text(c: Column | str) -> Column:
+    """Trimmed lower case with every kind of dash as `-`, for keyword rules."""
+    return F.translate(key(c), "\u2010\u2011\u2012\u2013\u2014\u2212", "------")
+
+
+def candidates(text: Column | str, rules: list[tuple[list[str], str]]) -> Column:
+    """The names of all rules with a keyword in the text, in the rules' order, each once."""
+    c = match_text(text)
+    has = lambda words: reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in words])
+    return F.array_distinct(F.array_compact(F.array(*[F.when(has(words), F.lit(name)) for words, name in rules])))
+
+
 def plausible_number(c: Column | str) -> Column:
     """A number of 0.01 or more that is neither a year from 1900 to 2050 nor a version such as 2.2025."""
     text = F.regexp_replace(col(c), "[, ]", "")

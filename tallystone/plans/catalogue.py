@@ -242,6 +242,17 @@ def catalogue_links(spark, sf):
     return E.catalogue_links(sources, places(spark), "red widget & co", "Nation_0")
 
 
+@query
+def links_to_fetch(spark, sf):
+    known = raw(spark, sf).where((F.col("metric") == "demand_standard") & ~X.is_stub("value"))
+    return E.still_to_fetch(catalogue_links(spark, sf), known).select("id", "metric", "priority")
+
+
+@query
+def label_candidates(spark, sf):
+    return E.read(spark, sf, "part").select("p_name").distinct().select("p_name", F.array_join(X.candidates("p_name", C.RULES), ",").alias("candidates"))
+
+
 @query
 def query_expansion(spark, sf):
     texts = F.slice(F.array_distinct(F.array(F.lit("data"), F.concat(F.lit("data "), F.col("r_name")), F.concat(F.lit("data for "), F.col("r_name")), F.col("r_name"))), 1, 12)

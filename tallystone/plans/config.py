@@ -28,6 +28,9 @@ SYNONYMS = {
     "metric_gear": ["gear"],
 }
 
+#: Keywords, then the name that they stand for, in order of precedence.
+RULES = [(["red", "crimson"], "warm"), (["blue"], "cold"), (["ring", "gear"], "round"), (["gear", "bolt"], "metal")]
+
 RELEVANCE_BLOB = "the incidence and prevalence of the population from which that cohort was"
 RELEVANCE_TERMS = ["incidence", "prevalence", "cohort", "population", "mortality", "survival"]
 

@@ -159,6 +159,8 @@ ORACLES: dict[str, str] = {
     "abstract_relevance": "WITH w AS (SELECT doc_id, lower(text) AS t, list_distinct(regexp_extract_all(lower(text), '[a-zA-Z]{3,}')) AS a, list_distinct(regexp_extract_all('" + C.RELEVANCE_BLOB + "', '[a-zA-Z]{3,}')) AS b FROM documents) SELECT doc_id, CASE WHEN len(a) = 0 THEN 0 ELSE round(len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))) + 0.07 * least(6, " + " + ".join(f"contains(t, '{w}')::INT" for w in C.RELEVANCE_TERMS) + "), 6) END AS relevance FROM w",
     "alias_resolve": f"SELECT n_name AS place, coalesce(canon, lower(trim(n_name))) AS canonical, coalesce(c, CASE WHEN length(trim(n_name)) = 2 THEN upper(trim(n_name)) END) AS code FROM nation LEFT JOIN {values(C.PLACES, 'p(a, canon, c)')} ON lower(trim(n_name)) = a",
     "catalogue_links": "SELECT * FROM (VALUES ('s5', 'Archive', 'gold', 'demand_medium', 'https://archive.example.org/', 3::BIGINT), ('s1', 'Open ledger', 'gold', 'demand_standard', 'https://ledger.example.org/?q=red+widget+%26+co&c=Nation_0', 2), ('s2', 'Market notes', 'bronze', 'demand_large', 'https://notes.example.org/Nation_0', 99)) AS t(id, name, tier, metric, url, priority)",
+    "links_to_fetch": "SELECT * FROM (VALUES ('s5', 'demand_medium', 3::BIGINT), ('s2', 'demand_large', 99)) AS t(id, metric, priority)",
+    "label_candidates": "SELECT DISTINCT p_name, array_to_string(list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(trim(p_name)), '{w}')" for w in words) + f" THEN '{name}' END" for words, name in C.RULES) + "], lambda x: x IS NOT NULL), ',') AS candidates FROM part",
     "query_expansion": "SELECT r_name AS subject, unnest(['data', 'data ' || r_name, 'data for ' || r_name, r_name]) AS query FROM region",
     "curated_explode": f"""WITH {EV}, k AS (SELECT indication, metric || CASE WHEN year_or_range IS NULL THEN '' ELSE '_' || year_or_range END AS key, max(value) AS value FROM ev WHERE regexp_matches(coalesce(year_or_range, '1999'), '^[0-9]{{4}}$') GROUP BY 1, 2)
         SELECT indication, regexp_replace(key, '_[0-9]{{4}}$', '') AS metric, nullif(regexp_extract(key, '_([0-9]{{4}})$', 1), '') AS year, value, 'gold' AS tier, 'high' AS confidence FROM k""",

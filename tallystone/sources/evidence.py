@@ -159,3 +159,8 @@ def expand_queries(phrases: list[str], variants: list[str], most: int = 12) -> C
     """The first `most` different search texts, phrase by phrase, each alone and with every place name."""
     every = [q for p in phrases for q in (p, *[f"{p} {v}" for v in variants])]
     return F.slice(F.array_distinct(F.array(*[F.lit(q) for q in every])), 1, most)
+
+
+def still_to_fetch(links: DataFrame, known: DataFrame) -> DataFrame:
+    """The links whose metric no known row has: curated values spare the fetch."""
+    return links.join(known.select("metric").distinct(), "metric", "left_anti")
