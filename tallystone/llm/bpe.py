@@ -51,12 +51,14 @@ class Bpe:
         self.rank = {(self.vocab[a], self.vocab[b]): (r, self.vocab[a + b]) for r, (a, b) in enumerate(map(tuple, model["merges"]))}
         self.letters = byte_letters()
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.known: dict[str, tuple[int, str, str, bytes]] = {}
+        self.known: dict[str, bytes] = {}  # ids as 32-bit numbers: a word costs little memory
+        self.names = [str(i) for i in range(max(self.token) + 1)]
+        self.tokens = [self.token.get(i, "") for i in range(len(self.names))]
         self.forget()
 
     def forget(self) -> None:
         self.known.clear()
-        self.known.update({t: (1, str(i), t, struct.pack("<I", i)) for t, i in self.special.items()})
+        self.known.update({t: struct.pack("<I", i) for t, i in self.special.items()})
 
     def split(self, text: str) -> list[str]:
         return _ascii.findall(text.lower()) if text.isascii() else _wide.findall(self.normalise(text))
@@ -120,15 +122,15 @@ class Bpe:
             self.forget()
             new = list(words - self.known.keys())
         for w, ids in zip(new, self.merge(new)):
-            self.known[w] = (len(ids), " ".join(map(str, ids)), " ".join(self.token[i] for i in ids), struct.pack(f"<{len(ids)}I", *ids))
+            self.known[w] = struct.pack(f"<{len(ids)}I", *ids)
 
-    def encode(self, texts: list[str]) -> list[list[tuple[int, str, str, bytes]]]:
-        """Per text, the (number of ids, ids, tokens, ids as 32-bit numbers) of its words in order."""
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of every text."""
         parts = [self.cut.split(t) if self.cut and "<|" in t else [t] for t in texts]
-        words = [[[p] if p in self.special else self.split(p) for p in ps] for ps in parts]
-        flat = [[w for ws in d for w in ws] for d in words]
-        self.learn({w for ws in flat for w in ws})
-        return [[self.known[w] for w in ws] for ws in flat]
+        words = [[w for p in ps for w in ([p] if p in self.special else self.split(p))] for ps in parts]
+        self.learn(set().union(*words))
+        known = self.known
+        return [np.frombuffer(b"".join([known[w] for w in ws]), "<i4") for ws in words]
 
 
 def load(file: str) -> Bpe:
@@ -149,20 +151,21 @@ def encode(docs: DataFrame, keep: list[str], path: str, text: str = "text", ids:
         file = spark.sparkContext.broadcast(f.read())
 
     def make(rows, texts):
-        found = load(file.value).encode([t or "" for t in texts])
-        ids_text = [" ".join([w[1] for w in d]) for d in found]
+        tool = load(file.value)
+        name, token = tool.names.__getitem__, tool.tokens.__getitem__
         sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
-        return [
-            *[rows[c] for c in keep],
-            [sum([w[0] for w in d]) for d in found],
-            [sha(x) for x in ids_text],
-            [sha(" ".join([w[2] for w in d])) for d in found],
-            *([[np.frombuffer(b"".join([w[3] for w in d]), "<i4") for d in found]] if ids else []),
-        ]
+        found = tool.encode([t or "" for t in texts])
+        n, first, second = [], [], []
+        for d in found:
+            listed = d.tolist()
+            n.append(len(listed))
+            first.append(sha(" ".join(map(name, listed))))
+            second.append(sha(" ".join(map(token, listed))))
+        return [*[rows[c] for c in keep], n, first, second, *([found] if ids else [])]
 
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", n_tokens long, ids_sha256 string, decoded_sha256 string" + (", token_ids array<int>" if ids else "")
-    return text_map(docs, keep, text, schema, make, 2_000_000)
+    return text_map(docs, keep, text, schema, make, 1_000_000)
 
 
 def decode(rows: DataFrame, path: str, ids: str = "token_ids") -> DataFrame:

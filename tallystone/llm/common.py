@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,12 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Deletes what materialise() has written for this application, once its results are no longer read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(df: DataFrame, rows: int, most: int) -> DataFrame:
     """df, to be broadcast if it has no more than `most` rows; beyond that joins shuffle it."""
     return F.broadcast(df) if rows <= most else df
@@ -78,8 +85,8 @@ def chunks(sizes: Sequence[int], budget: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def text_map(df: DataFrame, columns: list[str], text: str, schema: str, make, budget: int = 4_000_000) -> DataFrame:
-    """Runs make(rows, texts) over whole texts in bounded chunks and returns its columns under schema.
+def text_map(df: DataFrame, columns: list[str], text: str, schema: str, make, budget: int = 2_000_000) -> DataFrame:
+    """Runs make(rows, texts) over whole texts in chunks of about `budget` bytes and returns its columns under schema.
 
     make gets a dict of pyarrow arrays (columns) and a list of str (nulls as None), and returns a list of arrays in
     the order of schema. Only columns and text leave the JVM.
@@ -93,10 +100,10 @@ def text_map(df: DataFrame, columns: list[str], text: str, schema: str, make, bu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(place).to_pylist()
-            for a, b in chunks([len(t or "") + 64 for t in texts], budget):
+            sizes = pc.binary_length(batch.column(place)).fill_null(0).to_pylist()
+            for a, b in chunks([n + 64 for n in sizes], budget):
                 rows = {c: batch.column(i).slice(a, b - a) for i, c in enumerate(columns)}
-                made = make(rows, texts[a:b])
+                made = make(rows, batch.column(place).slice(a, b - a).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [x if isinstance(x, pa.Array) and x.type == f.type else pa.array(x, type=f.type) for x, f in zip(made, arrow)],
                     schema=arrow,

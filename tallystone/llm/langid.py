@@ -92,7 +92,7 @@ def train(labelled: DataFrame, text: str, lang: str, dim: int = DIM) -> dict[str
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             texts, langs = [clean(t) for t in batch.column(0).to_pylist()], batch.column(1).to_pylist()
-            for a, b in chunks([len(t) + 64 for t in texts], 2_000_000):
+            for a, b in chunks([len(t) + 64 for t in texts], 1_000_000):
                 names, of = np.unique(np.array(langs[a:b], dtype=object).astype(str), return_inverse=True)
                 for name, v in zip(names.tolist(), bundle(texts[a:b], dim, of, len(names))):
                     sums[name] = sums.get(name, 0) + v.astype(np.float64)
@@ -124,7 +124,7 @@ def identify(docs: DataFrame, keep: list[str], prototypes: dict[str, np.ndarray]
         return [*[rows[c] for c in keep], [names[i] if k else "und" for i, k in zip(best, known)], np.where(known, score, 0.0)]
 
     kinds = dict(docs.dtypes)
-    return text_map(docs, keep, text, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", lang_pred string, score double", make, 2_000_000)
+    return text_map(docs, keep, text, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", lang_pred string, score double", make, 1_000_000)
 
 
 def learn_and_identify(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 4, held: int = 2) -> DataFrame:
