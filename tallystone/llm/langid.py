@@ -18,6 +18,7 @@ from .common import chunks, fold, masked, text_map
 
 DIM = 512
 BLOCK = 256  # texts whose 3-gram counts are multiplied at once
+PART = 1 << 20  # characters of one text that are taken at once
 _letters: dict[int, np.ndarray] = {}
 
 
@@ -53,6 +54,11 @@ def bundle(texts: list[str], dim: int, groups: np.ndarray | None = None, n_group
     rows = np.arange(len(texts)) if groups is None else groups
     n_rows = len(texts) if groups is None else n_groups
     out = np.zeros((n_rows, dim), np.float32)
+    for i, t in enumerate(texts):  # a very long text comes in parts that share no 3-gram
+        if len(t) > PART + 2:
+            for a in range(0, len(t) - 2, PART):
+                out[rows[i]] += bundle([t[a : a + PART + 2]], dim)[0]
+    texts = [t if len(t) <= PART + 2 else "" for t in texts]
     n = np.fromiter(map(len, texts), np.int64, len(texts))
     if n.sum() < 3:
         return out
@@ -81,7 +87,7 @@ def bundle(texts: list[str], dim: int, groups: np.ndarray | None = None, n_group
             continue
         counts = np.bincount((row[low:high] - a) * len(used) + local, minlength=size * len(used)).reshape(size, len(used)).astype(np.float32)
         g = grams[used]
-        out[a : a + size] = counts @ (twice[g // (k * k)] * once[g // k % k] * base[g % k])
+        out[a : a + size] += counts @ (twice[g // (k * k)] * once[g // k % k] * base[g % k])
     return out
 
 
