@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spans import total, with_matches
-from .common import masked, materialise, with_row_key
+from .common import masked, materialise, small, with_row_key
 
+#: Where so many texts or fewer hold personal data, their spans are broadcast, and texts stay where they are.
+MOST_BROADCAST = 200_000
 KINDS = ("email", "ip", "card", "phone")
 #: The contract's patterns, written so that Java's matcher neither backtracks over nor recurses into long runs: a run
 #: is entered at its start or where the last match ended, and its repetitions are possessive.
@@ -169,6 +171,7 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -
     hidden, names = masked(docs)
     at = dict(zip(docs.columns, names))
     rows = with_row_key(hidden, at[doc_id])
-    spans = all_spans(rows, [], at[text], **how).where(F.size("all_spans") > 0).select("_row", "all_spans")
+    spans = materialise(all_spans(rows, [], at[text], **how).where(F.size("all_spans") > 0).select("_row", "all_spans"), "redactions")
+    spans = small(spans, spans.count(), MOST_BROADCAST)
     new = F.when(F.col("all_spans").isNotNull(), redacted(F.col(at[text]), F.col("all_spans"))).otherwise(F.col(at[text]))
     return rows.join(spans, "_row", "left").withColumn(at[text], new).select(*names).toDF(*docs.columns)
