@@ -19,6 +19,11 @@ from .common import chunks, fold, masked, text_map
 DIM = 512
 BLOCK = 256  # texts whose 3-gram counts are multiplied at once
 PART = 1 << 20  # characters of one text that are taken at once
+SHORT = 64  # characters of clean text, with its blanks, from which a cosine is judged
+RARE = 200  # one labelled row in so many may lie under its language's limit
+SLACK = 0.85  # the limit's share of that quantile
+NOISE = 4.0  # standard deviations of a random vector's cosine that every limit lies above
+USUAL = 1e-4  # share of a language's letters from which a letter is usual
 _letters: dict[int, np.ndarray] = {}
 
 
@@ -113,8 +118,62 @@ def train(labelled: DataFrame, text: str, lang: str, dim: int = DIM) -> dict[str
     return {name: found[name] for name in sorted(found)}
 
 
-def identify(docs: DataFrame, keep: list[str], prototypes: dict[str, np.ndarray], text: str = "text") -> DataFrame:
-    """keep columns, lang_pred, score of every whole text: `und` and 0 without text, letter or prototype."""
+def calibrate(labelled: DataFrame, text: str, lang: str, prototypes: dict[str, np.ndarray]) -> tuple[dict[str, float], np.ndarray]:
+    """The least cosine by language, and the usual letters (sorted code points), from all labelled rows.
+
+    A row's cosine is taken with the sum of its language's other rows. A language's limit lies SLACK under the cosine
+    that one row in RARE stays below, and over the noise. Languages of few rows take the quantile of all languages.
+    Tasks send counts by hundredths of a cosine and by letter.
+    """
+    dim = len(next(iter(prototypes.values()))) if prototypes else DIM
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[str, bool, int], int] = {}
+        for batch in batches:
+            texts, langs = [clean(t) for t in batch.column(0).to_pylist()], batch.column(1).to_pylist()
+            for a, b in chunks([len(t) + 64 for t in texts], 1_000_000):
+                made = bundle(texts[a:b], dim).astype(np.float64)
+                names = np.array(langs[a:b], dtype=object)
+                for name in set(langs[a:b]):
+                    of = np.flatnonzero(names == name)
+                    own, rest = made[of], prototypes[name] - made[of]
+                    size = np.linalg.norm(own, axis=1) * np.linalg.norm(rest, axis=1)
+                    long = (np.array([len(texts[a + i]) for i in of]) >= SHORT) & (size > 0)
+                    bins = (np.clip((own * rest).sum(axis=1)[long] / size[long], 0, 1) * 100).astype(int)
+                    points = np.frombuffer("".join(texts[a + i] for i in of).replace(" ", "").encode("utf-32-le"), np.uint32)
+                    for is_letter, values in ((False, bins), (True, points)):
+                        for v, n in zip(*(x.tolist() for x in np.unique(values, return_counts=True))):
+                            counts[name, is_letter, v] = counts.get((name, is_letter, v), 0) + n
+        if counts:
+            names, kinds, values = zip(*counts)
+            yield pa.RecordBatch.from_pydict({"lang": list(names), "letter": list(kinds), "v": pa.array(values, pa.int32()), "n": list(counts.values())})
+
+    parts = labelled.select(F.col(text), F.col(lang).cast("string")).mapInArrow(partial, "lang string, letter boolean, v int, n long")
+    bins, letters = {name: np.zeros(101) for name in prototypes}, {name: {} for name in prototypes}
+    for name, is_letter, v, n in parts.groupBy("lang", "letter", "v").agg(F.sum("n").alias("n")).collect():  # languages times bins and letters
+        if is_letter:
+            letters[name][v] = n
+        else:
+            bins[name][v] = n
+    low = lambda h: np.searchsorted(np.cumsum(h), h.sum() / RARE, side="right") / 100 if h.sum() else 0.0
+    together = low(sum(bins.values(), np.zeros(101)))
+    limits = {name: max(NOISE / dim**0.5, SLACK * (low(h) if h.sum() >= RARE else together)) for name, h in bins.items()}
+    usual = {v for of in letters.values() for v, n in of.items() if n >= USUAL * sum(of.values())}
+    return limits, np.array(sorted(usual), np.uint32)
+
+
+def usual_text(text: str, usual: np.ndarray) -> bool:
+    """Whether at least half of a clean text's letters are usual ones."""
+    points = np.frombuffer(text.replace(" ", "").encode("utf-32-le"), np.uint32)
+    return 2 * int(np.isin(points, usual).sum()) >= len(points) > 0
+
+
+def identify(docs: DataFrame, keep: list[str], prototypes: dict[str, np.ndarray], text: str = "text", limits: tuple[dict[str, float], np.ndarray] | None = None) -> DataFrame:
+    """keep columns, lang_pred, score of every whole text: `und` and 0 without text, letter or prototype.
+
+    With what calibrate() gives also is_known: the score reaches the language's limit. Texts of fewer than SHORT letters
+    and blanks, whose clean cosines reach down to the noise, are judged by their letters instead.
+    """
     names = list(prototypes)
     dim = len(next(iter(prototypes.values()))) if names else DIM
     table = np.stack([p / (np.linalg.norm(p) or 1) for p in prototypes.values()]).astype(np.float32) if names else np.zeros((0, dim), np.float32)
@@ -127,21 +186,31 @@ def identify(docs: DataFrame, keep: list[str], prototypes: dict[str, np.ndarray]
         known = np.array([bool(r) for r in ready]) & bool(names)
         best = cosine.argmax(axis=1)
         score = np.clip(cosine.max(axis=1), 0, 1).astype(float)
-        return [*[rows[c] for c in keep], [names[i] if k else "und" for i, k in zip(best, known)], np.where(known, score, 0.0)]
+        out = [*[rows[c] for c in keep], [names[i] if k else "und" for i, k in zip(best, known)], np.where(known, score, 0.0)]
+        if limits is None:
+            return out
+        return [*out, [bool(k) and (usual_text(t, limits[1]) if len(t) < SHORT else bool(s >= limits[0][names[i]])) for t, k, i, s in zip(ready, known, best, score)]]
 
     kinds = dict(docs.dtypes)
-    return text_map(docs, keep, text, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", lang_pred string, score double", make, 1_000_000)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", lang_pred string, score double" + ("" if limits is None else ", is_known boolean")
+    return text_map(docs, keep, text, schema, make, 1_000_000)
+
+
+def labelled_rows(docs: DataFrame, doc_id: str, text: str, lang: str, folds: int, held: int) -> DataFrame:
+    """The rows outside the held-out fold that have a language and a text."""
+    return docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (fold(doc_id, folds) != held))
 
 
 def learn_and_identify(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 4, held: int = 2) -> DataFrame:
     """Learns from the rows outside the held-out fold that have a language, then labels every row."""
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (fold(doc_id, folds) != held))
-    return identify(docs, keep, train(labelled, text, lang), text)
+    return identify(docs, keep, train(labelled_rows(docs, doc_id, text, lang, folds, held), text, lang), text)
 
 
-def in_known_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.05) -> DataFrame:
-    """docs without the rows whose text has no letter, or whose best cosine is under `least`: noise in no known language."""
+def in_known_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 4, held: int = 2) -> DataFrame:
+    """docs without the rows whose text has no letter, or is noise or in no learned language by the limits of calibrate()."""
     hidden, names = masked(docs)
     at = dict(zip(docs.columns, names))
-    made = learn_and_identify(hidden, names, at[doc_id], at[text], at[lang])
-    return made.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*names).toDF(*docs.columns)
+    labelled = labelled_rows(hidden, at[doc_id], at[text], at[lang], folds, held)
+    prototypes = train(labelled, at[text], at[lang])
+    made = identify(hidden, names, prototypes, at[text], calibrate(labelled, at[text], at[lang], prototypes))
+    return made.where("is_known").select(*names).toDF(*docs.columns)

@@ -275,6 +275,26 @@ def test_language(spark, docs, sf_dir):
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
 
 
+def test_unlearned_languages_are_dropped(spark, sf_dir):
+    """Planted noise and unlearned languages in three scripts go; nothing of the learned languages goes, however short."""
+    real = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet")
+    rng = np.random.default_rng(5)
+    word = lambda letters: "".join(rng.choice(list(letters), rng.integers(3, 10)))
+    scripts = ["abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω"]
+    noise = [" ".join(word(s) for _ in range(n)) for s in scripts for n in (30, 100, 1000) for _ in range(20)] + [word(s) for s in scripts[1:] for _ in range(5)]
+    unlearned = [
+        "Wczoraj wieczorem poszliśmy do starego kina na rogu ulicy i obejrzeliśmy długi film o podróży przez góry",
+        "Eilen illalla kävelimme vanhaan elokuvateatteriin kadun kulmassa ja katsoimme pitkän elokuvan matkasta vuorten yli",
+        "Вчера вечером мы пошли в старый кинотеатр на углу улицы и посмотрели длинный фильм о путешествии через горы",
+        "Χθες το βράδυ πήγαμε στο παλιό σινεμά στη γωνία του δρόμου και είδαμε μια μεγάλη ταινία για ένα ταξίδι",
+    ]
+    planted = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(noise + unlearned)], "doc_id long, text string")
+    kept = {r.doc_id for r in langid.in_known_language(real.unionByName(planted, allowMissingColumns=True)).select("doc_id").collect()}
+    assert not {i for i in kept if i < 0}
+    lost = {r.doc_id for r in real.where("lang is not null").select("doc_id").collect()} - kept
+    assert len(lost) <= real.count() / langid.RARE
+
+
 def test_language_bundles(monkeypatch):
     texts = [" ab ", "", " abc abd ", " ab "]
     whole = langid.bundle(texts, 64)
