@@ -42,6 +42,13 @@ def test_query(spark, duck, sf_dir, name):
     assert table(rows, df.columns) == table(found.fetchall(), columns)
 
 
+def test_registry_rows_of_all_customers(spark, duck, sf_dir):
+    """Odd keys divisible by 3 have no usable cell; all others give a row."""
+    rows = duck.execute("SELECT c_mktsegment, c_custkey FROM customer").fetchall()
+    expected = {(f"{m}-{k}", float(k) if k % 2 == 0 else 7.0) for m, k in rows if k % 2 == 0 or k % 3 != 0}
+    assert {tuple(r) for r in catalogue.QUERIES["registry_rows"](spark, sf_dir).select("key", "value").collect()} == expected
+
+
 def test_every_oracle_has_a_query():
     assert set(catalogue.ORACLES) == set(catalogue.QUERIES) - ROWS_ONLY
 
