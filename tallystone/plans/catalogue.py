@@ -276,8 +276,8 @@ def trend_sheet(spark, sf):
 
 @query
 def curated_upsert(spark, sf):
-    old = E.read(spark, sf, "customer").where(F.col("c_custkey") % 3 != 0).select(F.col("c_custkey").alias("key"), F.round("c_acctbal", 2).alias("value"))
-    new = E.read(spark, sf, "orders").where(F.col("o_custkey") % 5 != 0).groupBy(F.col("o_custkey").alias("key")).agg(F.max("o_totalprice").alias("value"))
+    old = E.read(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.round("c_acctbal", 2).alias("value"))
+    new = E.read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.max("o_totalprice").alias("value"))
     return curated.upsert(old, new, "key", "value")
 
 

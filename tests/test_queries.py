@@ -49,6 +49,14 @@ def test_registry_rows_of_all_customers(spark, duck, sf_dir):
     assert {tuple(r) for r in catalogue.QUERIES["registry_rows"](spark, sf_dir).select("key", "value").collect()} == expected
 
 
+def test_upsert_of_all_orders_into_all_customers(spark, duck, sf_dir):
+    old = dict(duck.execute("SELECT c_custkey, round(c_acctbal, 2) FROM customer").fetchall())
+    new = dict(duck.execute("SELECT o_custkey, max(o_totalprice) FROM orders GROUP BY 1").fetchall())
+    change = lambda k: "added" if k not in old else "updated" if k in new and new[k] != old[k] else "kept"
+    expected = {(k, new.get(k, old.get(k)), change(k)) for k in old.keys() | new.keys()}
+    assert {tuple(r) for r in catalogue.QUERIES["curated_upsert"](spark, sf_dir).select("key", "value", "change").collect()} == expected
+
+
 def test_every_oracle_has_a_query():
     assert set(catalogue.ORACLES) == set(catalogue.QUERIES) - ROWS_ONLY
 
