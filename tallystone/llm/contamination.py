@@ -66,7 +66,9 @@ def anchors(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
     left = F.reverse(F.slice("words", F.greatest(F.col("at") - reach, F.lit(0)) + 1, F.least(F.col("at"), F.lit(reach))))
     right = F.slice("words", F.col("at") + 2, reach)
     need = F.least(F.size("words"), F.lit(window))
-    return places.join(chosen, ["_item", "item_id", "at"]).select("key", "_item", "item_id", "at", left.alias("ileft"), right.alias("iright"), F.col("_w").alias("iword"), need.alias("need"))
+    same = chosen.select(F.col("_item").alias("_i"), F.col("item_id").alias("_id"), F.col("at").alias("_at"))
+    both = places.join(same, (F.col("_item") == F.col("_i")) & (F.col("at") == F.col("_at")) & F.col("item_id").eqNullSafe(F.col("_id")))
+    return both.select("key", "_item", "item_id", "at", left.alias("ileft"), right.alias("iright"), F.col("_w").alias("iword"), need.alias("need"))
 
 
 def postings(docs: DataFrame, keys: DataFrame, n_keys: int, text: str, reach: int) -> DataFrame:
@@ -127,7 +129,7 @@ def judged(rows: DataFrame, benchmark: DataFrame, keep: list[str], text: str, it
     """keep columns and those of contamination(), for rows with a unique _row."""
     hits = materialise(phrase_matches(rows, benchmark, item_id, text, item_text, window), "hits")
     words = hits.select("_row", F.explode(F.sequence("begin", "end")).alias("at")).distinct().groupBy("_row").agg(F.count("*").alias("n_hit"))
-    items = hits.select("_row", "item_id").distinct().groupBy("_row").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item_id")), ",").alias("_items"))
+    items = hits.select("_row", "item_id").distinct().groupBy("_row").agg(F.count("item_id").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item_id")), ",").alias("_items"))
     base = rows.select("_row", *keep, pieces(text).alias("_words")).select("_row", *keep, word_count(F.col("_words")).cast("long").alias("n_words"))
     n_hit, n_items = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("n_items", F.lit(0).cast("long"))
     return (
@@ -141,7 +143,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document.
 
     Contaminated: some word is hit, and at least one word in `share`. Null texts have no words; repeated rows and
-    repeated ids are judged row by row; without benchmark rows nothing is hit.
+    repeated ids are judged row by row; without benchmark rows nothing is hit. Items of null id count for n_hit and
+    contaminated, not for n_items and items_sha256.
     """
     rows = with_row_key(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "doc_id")
     return judged(rows, benchmark, ["doc_id"], "_text", item_id, item_text, share, window).drop("_row")

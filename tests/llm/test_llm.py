@@ -334,6 +334,14 @@ def test_contamination(docs, bench, odd_ids, monkeypatch):
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {i for i, t in enumerate(TEXTS) if not contaminated(t, BENCH)[4]}
 
 
+def test_items_without_id_are_found(spark):
+    docs = spark.createDataFrame([(1, "just four words here"), (2, "say alpha beta gamma"), (3, "nothing of these")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "just four words here"), (None, "alpha beta gamma"), (7, "beta gamma")], "item_id long, text string")
+    made = {i: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for i, r in by_id(contamination.contamination(docs, items)).items()}
+    assert made == {1: (4, 0, sha(""), True), 2: (3, 1, sha("7"), True), 3: (0, 0, sha(""), False)}
+    assert [r.doc_id for r in contamination.decontaminated(docs, items).collect()] == [3]
+
+
 def test_proximity(docs, bench):
     rows = common.with_row_key(docs.select("doc_id", "text"), "doc_id")
     got = {(r._row, r.item_id) for r in contamination.proximity_matches(rows, bench, slop=3).collect()}
