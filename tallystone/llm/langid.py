@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks, fold, masked, text_map
 
-DIM = 512
+DIM = 1024
 BLOCK = 256  # texts whose 3-gram counts are multiplied at once
 PART = 1 << 20  # characters of one text that are taken at once
 SHORT = 64  # characters of clean text, with its blanks, from which a cosine is judged
