@@ -73,6 +73,11 @@ def masked(df: DataFrame) -> tuple[DataFrame, list[str]]:
     return df.toDF(*names), names
 
 
+def others(keep: Sequence[str], *made: str) -> list[str]:
+    """keep without the names of columns that an operator makes itself: its own win where names clash."""
+    return [c for c in keep if c not in made]
+
+
 def chunks(sizes: Sequence[int], budget: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose sizes add up to about budget; a row larger than that is a range of its own."""
     start = total = 0

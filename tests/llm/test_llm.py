@@ -231,6 +231,51 @@ def test_html_pages(spark, sf_dir):
         assert made[r.page_id].n_chars == len(made[r.page_id].text)
 
 
+def stripped(page):
+    """A page without the tags and names that mark its parts: only its density tells them apart."""
+    return re.sub(r"<(/?)(article|nav|footer|aside|header)\b", r"<\1div", page).replace('class="ad"', 'class="x"')
+
+
+SOUP = "<body><div><a href=1>Home</a></div><div><a href=2>News</a></div><div>Buy now</div><div class=q>" + ARTICLE + "<p>Of.</p></div><div><a href=3>Terms</a></div><div>(c) 2020</div></body>"
+
+
+def test_ratio_decides(spark, sf_dir, monkeypatch):
+    """Pages without telling tags and names: the clusters of the ratio find the article, and nothing does without them."""
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/pages.parquet").select("html").collect()]
+    share = lambda: np.mean([html.main_text(stripped(p)) == html.main_text(p) for p in pages])
+    whole = EXPECTED + " Of."
+    assert html.main_text(SOUP) == whole
+    right = share()
+    cluster = html.in_content
+    monkeypatch.setattr(html, "in_content", lambda ratio: np.ones(len(ratio), bool))
+    assert html.main_text(SOUP) != whole and share() < right - 0.2
+    monkeypatch.setattr(html, "in_content", lambda ratio: ~cluster(ratio))
+    assert html.main_text(SOUP) != whole and share() < 0.1
+    assert right > 0.8
+
+
+def test_ambiguous_names_are_judged_by_density():
+    page = "<body><nav>Menu</nav><div id=main>{}<section id='discussion'><p>We discuss what these results mean for the field at some length and in full sentences.</p></section><div class='related'><a href=1>One</a> <a href=2>Two</a></div></div></body>"
+    made = html.main_text(page.format(ARTICLE))
+    assert made == EXPECTED + " We discuss what these results mean for the field at some length and in full sentences."
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<![foo[ x ]]> <p>hello</p>", "hello"), ("<p>x</p><!-- unclosed", "x"), ("<p>x</p><!doctype", "x"), ("<p>x</p><?php y", "x"), ("<p>x</p><b class='y", "x"), ("<p>x</p></p", "x"), ("<!--> hi <p>y", "hi y"), ("<p>a</p><!-- x --!> b", "a b"), ("<![CDATA[ x ]]><p>a &amp; b", "a & b"),
+])
+def test_broken_markup(page, text):
+    assert html.main_text(page) == text
+
+
+@pytest.mark.parametrize("page", ["<b>" * 20000 + "</i>" * 20000, "<b>" * 20000 + "<p>x" * 20000, "<div>x" * 20000, "<!--" * 50000, "<a " * 50000, "</" * 50000, "<![x[" * 50000, "<table><tr><td>" * 10000])
+def test_deep_pages_take_linear_time(page):
+    import time
+
+    began = time.perf_counter()
+    html.main_text(page)
+    assert time.perf_counter() - began < 5
+
+
 def judge(url, rules):
     host = path = ""
     if url and "://" in url:
