@@ -495,10 +495,76 @@ def test_toxicity(spark, sf_dir):
     d, labels = spark.read.parquet(f"{where}/documents.parquet"), spark.read.parquet(f"{where}/labels.parquet")
     made = toxicity.learn_and_score(d, labels, ["doc_id"]).join(labels, "doc_id").where(common.fold("doc_id", 3) == 1)
     n = Counter((r.toxic, r.predicted) for r in made.select("toxic", "predicted").collect())
-    assert n[1, 1] / (n[1, 1] + n[1, 0]) > 0.85 and n[1, 1] / (n[1, 1] + n[0, 1]) > 0.9
+    assert n[1, 1] / (n[1, 1] + n[1, 0]) >= 0.87 and n[1, 1] / (n[1, 1] + n[0, 1]) >= 0.95
     assert made.where("score < 0 or score > 1").count() == 0
 
 
+def votes_of_two_languages(seed, n):
+    """Voters 0-2 go together in one language and 3-4 in another; a class shows itself in its own language alone."""
+    rng = np.random.default_rng(seed)
+    y, tongue = rng.random(n) < 0.2, rng.random(n) < 0.3
+    fire = lambda p1, p0, where: rng.random(n) < np.where(where, np.where(y, p1, p0), 0)
+    a, b = fire(0.9, 0.02, ~tongue), fire(0.9, 0.02, tongue)
+    v = np.stack([a, a & (rng.random(n) < 0.9), fire(0.5, 0.05, ~tongue), b, b & (rng.random(n) < 0.8), fire(0.3, 0.1, tongue)], 1)
+    return v.astype(np.float32), y.astype(int)
+
+
+def test_label_model():
+    """EM against loops, and posteriors that differ from the labels they were drawn from, which the model doesn't see."""
+    (known, labels), (votes, hidden) = votes_of_two_languages(1, 80), votes_of_two_languages(2, 60)
+    q, parent = toxicity.label_model(votes, known, labels, rounds=3)
+    both, n, m = np.vstack([votes, known]), len(votes), votes.shape[1]
+    share, odds, mine = 2.0 * n / len(known), np.log(labels.mean() / (1 - labels.mean())), None
+    for _ in range(3):
+        w = [[(0 if mine is None else mine[i] if c else 1 - mine[i]) for i in range(n)] + [share * float(y == c) for y in labels] for c in (0, 1)]
+        parents = toxicity.forest(both, tuple(map(np.array, w))) if mine is None else parents
+        mine = []
+        for i in range(n):
+            z = odds
+            for c, sign in ((1, 1), (0, -1)):
+                s = sum(w[c])
+                if not both[i].any():
+                    z += sign * np.log(1 - np.clip((sum(k for k, v in zip(w[c], both) if v.any()) + 1) / (s + 2), 0.001, 0.999))
+                for j in range(m):
+                    p = parents[j]
+                    on = [p >= 0 and v[p] for v in both]
+                    above, together, fires = (sum(k for k, o, v in zip(w[c], on, both) if f(o, v[j])) for f in (lambda o, x: o, lambda o, x: o and x, lambda o, x: x))
+                    pooled = (sum(x + y for x, y, o, v in zip(*w, on, both) if o and v[j]) + 0.005) / (sum(x + y for x, y, o in zip(*w, on) if o) + 0.01)
+                    given, alone = (together + 5 * pooled) / (above + 5), (fires - together + 0.5 * fires / s + 1e-3) / (s - above + 0.5)
+                    z += sign * (np.log(given if on[i] else alone) if both[i, j] else np.log1p(-given) if on[i] else 0)
+            mine.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+    assert np.allclose(q, mine, atol=1e-3) and list(parent) == list(parents)
+    (known, labels), (votes, hidden) = votes_of_two_languages(1, 400), votes_of_two_languages(2, 700)
+    full, parent = toxicity.label_model(votes, known, labels)
+    assert parent[1] == 0 or parent[0] == 1
+    assert np.mean((full > 0.5) == hidden) > 0.9 and 5 < np.sum((full > 0.5) != hidden)
+
+
+def test_posteriors_are_not_the_labels(spark, sf_dir):
+    """On the tables the classifier learns from posteriors: with the labels as targets its weights are others."""
+    where = sf_dir.replace("0.001", "0.01")
+    d, labels = spark.read.parquet(f"{where}/documents.parquet"), spark.read.parquet(f"{where}/labels.parquet")
+    seen = []
+    fit = toxicity.fit_linear
+    toxicity.fit_linear = lambda votes, target: seen.append((votes, target)) or fit(votes, target)
+    try:
+        weights, _ = toxicity.train(d, labels)
+    finally:
+        toxicity.fit_linear = fit
+    target = seen[0][1]
+    assert weights and len(target) != labels.count() and ((target > 0.01) & (target < 0.99)).any()
+
+
+def test_clashing_labels_of_one_id(spark):
+    """Toxic wins, whatever the order of rows; the fit doesn't depend on partitions."""
+    rows = [(i, f"awful{'' if i % 2 else 'ly'} word and text number n{chr(97 + i % 26)}{chr(97 + i // 26)}" if i % 3 == 0 else f"plain text of q{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(300)]
+    labels = [(i, int(i % 3 == 0)) for i, _ in rows] + [(i, 0) for i, _ in rows]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    fits = [toxicity.train(d.repartition(n), spark.createDataFrame(labels[::step], "doc_id long, toxic int").repartition(n)) for n, step in ((1, 1), (5, -1))]
+    assert fits[0][0].keys() == fits[1][0].keys() and "awfu*" in fits[0][0] or "awful*" in fits[0][0] or "awful" in fits[0][0]
+    assert all(abs(fits[0][0][k] - fits[1][0][k]) < 1e-6 for k in fits[0][0])
+
+
 def test_folds(docs):
     for r in docs.select("doc_id", common.fold("doc_id", 4).alias("f")).collect():
         assert r.f == binascii.crc32(str(r.doc_id).encode()) % 4
