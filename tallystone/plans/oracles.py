@@ -165,7 +165,7 @@ ORACLES: dict[str, str] = {
     "curated_explode": f"""WITH {EV}, k AS (SELECT indication, metric || CASE WHEN year_or_range IS NULL THEN '' ELSE '_' || year_or_range END AS key, max(value) AS value FROM ev WHERE regexp_matches(coalesce(year_or_range, '1999'), '^[0-9]{{4}}$') GROUP BY 1, 2)
         SELECT indication, regexp_replace(key, '_[0-9]{{4}}$', '') AS metric, nullif(regexp_extract(key, '_([0-9]{{4}})$', 1), '') AS year, value, 'gold' AS tier, 'high' AS confidence FROM k""",
     "trend_sheet": with_(EN, ", k AS (SELECT metric, year_or_range::BIGINT AS year, max(value_num) AS v FROM en WHERE regexp_matches(year_or_range, '^[0-9]{4}$') GROUP BY 1, 2) SELECT year, max(v) FILTER (metric = 'demand_standard') AS demand_standard, max(v) FILTER (metric = 'demand_large') AS demand_large FROM k GROUP BY 1"),
-    "curated_upsert": """WITH o AS (SELECT c_custkey AS key, round(c_acctbal, 2) AS value FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT o_custkey AS key, max(o_totalprice) AS value FROM orders WHERE o_custkey % 5 <> 0 GROUP BY 1)
+    "curated_upsert": """WITH o AS (SELECT c_custkey AS key, round(c_acctbal, 2) AS value FROM customer), n AS (SELECT o_custkey AS key, max(o_totalprice) AS value FROM orders GROUP BY 1)
         SELECT coalesce(n.key, o.key) AS key, coalesce(n.value, o.value) AS value, CASE WHEN o.key IS NULL THEN 'added' WHEN n.key IS NOT NULL AND n.value IS DISTINCT FROM o.value THEN 'updated' ELSE 'kept' END AS change FROM o FULL JOIN n ON o.key = n.key""",
     "write_back": """WITH c AS (SELECT 'B' || p_partkey AS cell, CASE WHEN p_partkey % 2 = 0 THEN 'x' || p_size END AS excel_id, 'm' || p_size AS metric_id, CASE WHEN p_partkey % 5 = 0 THEN 0.5 ELSE p_retailprice END AS old FROM part),
         v AS (SELECT CASE WHEN s % 2 = 0 THEN 'x' ELSE 'm' END || s AS id, 10.0::DOUBLE * s AS value, 'S' || s AS source FROM generate_series(1, 30) AS g(s)),
@@ -174,7 +174,7 @@ ORACLES: dict[str, str] = {
         SELECT cell, old::DOUBLE AS old, new, source FROM w WHERE new IS NOT NULL AND (old IS NULL OR abs(new - old) / greatest(abs(old), 1e-6) > 0.001)""",
     "preferred_value": "SELECT 'demand_promo' AS metric_id, max(value_num) AS value FROM (WITH " + EN + " SELECT * FROM en) WHERE metric = 'demand_promo'",
     "sheet_refresh": with_(EV, f"SELECT metric AS \"Metric\", coalesce(CASE WHEN NOT {blank('value')} THEN trim(value) END, '') AS \"Value\", coalesce(CASE WHEN NOT {blank('source_url')} THEN trim(source_url) END, trim(source_citation)) AS \"Source\", '' AS \"Owner\" FROM ev WHERE indication = 'ASIA'"),
-    "registry_rows": "SELECT c_mktsegment || '-' || c_custkey AS key, CASE WHEN c_custkey % 2 = 0 THEN c_custkey::DOUBLE ELSE 7 END AS value FROM customer WHERE c_custkey % 3 <> 0",
+    "registry_rows": "SELECT c_mktsegment || '-' || c_custkey AS key, CASE WHEN c_custkey % 2 = 0 THEN c_custkey::DOUBLE ELSE 7 END AS value FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 <> 0",
     "renamed_table": "SELECT r_regionkey, r_name, CASE r_name WHEN 'ASIA' THEN 'Asia and Pacific' ELSE r_name END AS full_name FROM region",
     "manifest": "SELECT 'region' AS table_name, count(*) AS n_rows, 2::BIGINT AS n_columns, 'r_regionkey, r_name' AS columns FROM region UNION ALL SELECT 'nation', count(*), 3, 'n_nationkey, n_name, n_regionkey' FROM nation UNION ALL SELECT 'supplier', count(*), 4, 's_suppkey, s_name, s_nationkey, s_acctbal' FROM supplier",
     "data_dictionary": "SELECT * FROM (VALUES ('nation', 0::BIGINT, 'n_nationkey', 'int'), ('nation', 1, 'n_name', 'string'), ('nation', 2, 'n_regionkey', 'int'), ('region', 0, 'r_regionkey', 'int'), ('region', 1, 'r_name', 'string')) AS t(table_name, position, column_name, data_type)",
