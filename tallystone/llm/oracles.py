@@ -20,8 +20,9 @@ WITH w AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t,
   m AS (SELECT sum(k) / sum(n) AS m FROM h),
   v AS (SELECT any_value(m) AS m, sum(n * (k / n - m) * (k / n - m)) / sum(n) AS v FROM h, m),
   p AS (SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1.0), 1e4) ELSE 1e4 END AS z FROM v),
-  j AS (SELECT host, (k + m * z) / (n + z) AS rate FROM h, p)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate < 0.8 AND NOT (rate >= 0.25 AND soft) AS kept FROM f JOIN j USING (host)
+  i AS (SELECT host, n, m, z, (k + m * z) / (n + z) AS rate FROM h, p),
+  j AS (SELECT host, rate - 0.5 > 2 * sqrt(rate * (1 - rate) / (n + z + 1)) AS dropped, rate > m AND rate - m >= 0.674 * sqrt(rate * (1 - rate) / (n + z + 1)) AS strict FROM i)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT dropped AND NOT (strict AND soft) AS kept FROM f JOIN j USING (host)
 """
 
 _rules = ", ".join(f"('{r}', '{r.split('/', 1)[0]}', '/{r.split('/', 1)[1]}', '{v}')" for r, v in urls.RULES)

@@ -83,13 +83,15 @@ def beta_prior(hosts: DataFrame, most: float = 1e4) -> tuple[float, float]:
     return m * strength, (1 - m) * strength
 
 
-def judge_hosts(stats: DataFrame, host: str = "source", strict: float = 0.25, drop: float = 0.8) -> DataFrame:
+def judge_hosts(stats: DataFrame, host: str = "source", strict: float = 0.674, drop: float = 2.0) -> DataFrame:
     """Adds base_failed, soft_failed, host_rate, host_verdict and kept to text_stats().
 
     Base rule: under 10 words, or over 20 % of the words repeated. Soft rules: a symbol for each ten words, mean word
     under 3 or over 12 characters, over 30 % repeated lines. A host's rate is the posterior mean of either failing
-    under the empirical prior. Hosts at drop or more lose all documents, hosts at strict or more those that fail a
-    soft rule. Rows without a host form a host of their own. An empty table gives an empty result.
+    under the empirical prior. Verdicts come from the posterior's tails, in standard deviations: a host is strict if its
+    rate lies `strict` of them above the corpus' rate (three chances in four that it is worse), and dropped if it lies
+    `drop` of them above one half. Strict hosts lose the documents that fail a soft rule, dropped ones all. Rows without
+    a host form a host of their own. An empty table gives an empty result.
     """
     n = F.col("n_words")
     base = (n < 10) | (100 * F.col("n_repeat_words") > 20 * n)
@@ -103,8 +105,10 @@ def judge_hosts(stats: DataFrame, host: str = "source", strict: float = 0.25, dr
     hosts = judged.groupBy("_host").agg(F.count("*").alias("n"), F.sum((F.col("base_failed") | F.col("soft_failed")).cast("long")).alias("failed"))
     hosts = materialise(hosts, "hosts")
     a, b = beta_prior(hosts)
-    rate = (F.col("failed") + a) / (F.col("n") + a + b)
-    verdicts = hosts.select("_host", rate.alias("host_rate"), F.when(rate >= drop, "drop").when(rate >= strict, "strict").otherwise("keep").alias("host_verdict"))
+    rate, mean = F.col("host_rate"), a / (a + b)
+    spread = F.sqrt(rate * (1 - rate) / (F.col("n") + a + b + 1))
+    verdict = F.when(rate - 0.5 > drop * spread, "drop").when((rate > mean) & (rate - mean >= strict * spread), "strict").otherwise("keep")
+    verdicts = hosts.withColumn("host_rate", (F.col("failed") + a) / (F.col("n") + a + b)).select("_host", "host_rate", verdict.alias("host_verdict"))
     kept = ~F.col("base_failed") & (F.col("host_verdict") != "drop") & ~((F.col("host_verdict") == "strict") & F.col("soft_failed"))
     return judged.join(small(verdicts, hosts.count(), MOST_BROADCAST), "_host", "left").withColumn("kept", kept).drop("_host")
 

@@ -157,14 +157,25 @@ def test_quality(docs, odd_ids):
 
 def test_host_verdicts(spark):
     good, bad, odd = "plain words of a normal length that fill a line of prose well enough", "too short", "# odd # but # long # enough # text # with # marks # in # it # all"
-    rows = [(i, good, "clean") for i in range(50)] + [(100 + i, bad, "junk") for i in range(50)] + [(200, good, "junk"), (201, odd, "clean"), (300, good, None)] + [(400 + i, odd if i % 2 else good, "half") for i in range(40)]
+    rows = [(i, good, f"clean{i % 3}") for i in range(300)] + [(1000 + i, bad, "junk") for i in range(50)] + [(2000, good, "junk"), (2001, odd, "clean1"), (3000, good, None)] + [(4000 + i, odd if i % 2 else good, "half") for i in range(40)]
     got = by_id(quality.host_quality(spark.createDataFrame(rows, "doc_id long, text string, source string")))
-    assert got[0].kept and got[201].kept and got[300].kept and not got[200].kept
-    assert got[200].host_verdict == "drop" and got[400].host_verdict == "strict" and got[400].kept and not got[401].kept
-    p, n = [r.host_rate for r in (got[0], got[100])]
+    assert got[0].kept and got[2001].kept and got[3000].kept and not got[2000].kept
+    assert got[0].host_verdict == got[2001].host_verdict == "keep"
+    assert got[2000].host_verdict == "drop" and got[4000].host_verdict == "strict" and got[4000].kept and not got[4001].kept
+    p, n = [r.host_rate for r in (got[0], got[1000])]
     assert 0 < p < 0.1 and 0.9 < n < 1
 
 
+def test_host_verdicts_act_on_the_tables(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet")
+    made = quality.host_quality(docs).select("source", "host_verdict", "base_failed", "soft_failed", "kept").collect()
+    hosts = {r.source: r.host_verdict for r in made}
+    assert {"keep", "strict"} <= set(hosts.values())
+    for r in made:
+        assert r.kept == (not r.base_failed and not (hosts[r.source] == "strict" and r.soft_failed) and hosts[r.source] != "drop")
+    assert any(r.kept and r.soft_failed for r in made) and any(not r.kept and not r.base_failed for r in made)
+
+
 def removed(texts):
     """doc order is list order: which bytes a 100-byte string that also starts earlier covers."""
     seen, out = set(), []
