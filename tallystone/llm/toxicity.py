@@ -213,7 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         return [kept["_y"], kept["_free"], [[at[m] for m in voters.fired(t)] for t in texts]]
 
     fired = text_map(rows, ["_y", "_free"], "_text", "_y int, _free boolean, fired array<int>", make)
-    table = fired.orderBy("_y", "_free", "fired").collect()  # at most 2 * sample rows, in an order of their own
+    table = sorted(fired.collect(), key=lambda r: (-1 if r._y is None else r._y, r._free, r.fired))  # at most 2 * sample rows
     votes = np.zeros((len(table), len(names)), np.float32)
     for i, r in enumerate(table):
         votes[i, r.fired] = 1
