@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..session import stored
 
 
 def tidy(evidence: DataFrame, scenario: str = "Base", growth: str = "") -> DataFrame:
@@ -36,9 +37,11 @@ def trend(rows: DataFrame, horizon: int = 5, rates: DataFrame | None = None, rat
 
     Rows need a strict year and a plain number. Growth is the given rate, else that between the last two rows where the
     years differ and the former value is positive, else 0. The value that grows is the first row's of the last year.
-    Two rounds of maxima find those rows, so no metric's rows are sorted or collected.
+    Two rounds of maxima find those rows, so no metric's rows are sorted or collected; the points are stored, so
+    evidence is read once.
     """
     points = rows.select("metric", "_ord", X.strict_year("year_or_range").alias("y"), X.plain_number("value").alias("v")).where(F.col("y").isNotNull() & F.col("v").isNotNull())
+    points = stored(points, "points")
     at = F.struct("y", "_ord", "v").alias("p")
     last = points.groupBy("metric").agg(F.max(at).alias("p2"), F.max("y").alias("last_year"))
     joined = points.join(last, "metric")

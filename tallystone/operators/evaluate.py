@@ -10,54 +10,61 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..session import stored
 
 
-def upper_median(counts: DataFrame, by: list[str], value: str, n: str, buckets: int = 4096) -> DataFrame:
+def upper_median(counts: DataFrame, by: list[str], value: str, n: str, buckets: int = 4096, rounds: int = 2) -> DataFrame:
     """by, median: exactly the value at place total div 2 of each group's sorted values, each value counted n times.
 
-    A histogram over each group's range finds the bucket of that place; only the bucket's distinct values are sorted.
-    So no task sorts a whole group, though a group may hold most rows.
+    A histogram over each group's range finds the bucket of that place, and the next round cuts that bucket's own range
+    again, so that an outlier can't put all values into one; only the last bucket's distinct values are sorted. So no
+    task sorts a whole group, though a group may hold most rows.
     """
-    span = counts.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum(n).alias("_all"))
+    want = counts.groupBy(*by).agg((F.floor(F.sum(n) / 2) + 1).alias("_want"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    inside = counts.select(*by, value, n)
     share = F.when(F.col("_hi") > F.col("_lo"), (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
-    placed = counts.join(span, by).withColumn("_b", F.least(F.floor(share * buckets), F.lit(buckets - 1)))
-    hist = placed.groupBy(*by, "_b", "_all").agg(F.sum(n).alias("_k"))
-    want = F.floor(F.col("_all") / 2) + 1
     up_to = F.sum("_k").over(Window.partitionBy(*by).orderBy("_b"))
-    target = hist.withColumn("_to", up_to).where((F.col("_to") >= want) & (F.col("_to") - F.col("_k") < want)).select(*by, "_b", (want - F.col("_to") + F.col("_k")).alias("_want"))
+    for _ in range(rounds):
+        placed = inside.join(F.broadcast(want), by).select(*by, value, n, "_want", F.least(F.floor(share * buckets), F.lit(buckets - 1)).alias("_b"))
+        hist = placed.groupBy(*by, "_b", "_want").agg(F.sum(n).alias("_k"), F.min(value).alias("_lo"), F.max(value).alias("_hi")).withColumn("_to", up_to)
+        want = hist.where((F.col("_to") >= F.col("_want")) & (F.col("_to") - F.col("_k") < F.col("_want"))).select(*by, (F.col("_want") - F.col("_to") + F.col("_k")).alias("_want"), "_lo", "_hi")
+        inside = inside.join(F.broadcast(want.select(*by, "_lo", "_hi")), by).where(F.col(value).between(F.col("_lo"), F.col("_hi"))).select(*by, value, n)
     within = F.sum(n).over(Window.partitionBy(*by).orderBy(value))
-    inside = placed.join(target, [*by, "_b"]).withColumn("_to", within)
-    return inside.where(F.col("_to") >= F.col("_want")).groupBy(*by).agg(F.min(value).alias("median"))
+    last = inside.withColumn("_to", within).join(F.broadcast(want.select(*by, "_want")), by)
+    return last.where(F.col("_to") >= F.col("_want")).groupBy(*by).agg(F.min(value).alias("median"))
 
 
 def agreement(counts: DataFrame, by: list[str], value: str, n: str, pct: float) -> DataFrame:
-    """by, n_all, n_agree: how many values lie within pct percent of the upper median; with a median of 0 all zeros do."""
+    """by, n_all, n_agree: how many values lie within pct percent of the upper median; with a median of 0 all zeros do.
+
+    Groups are those of the required metrics, a stated list, so their medians are broadcast.
+    """
     m = upper_median(counts, by, value, n)
     v, med = F.col(value), F.col("median")
     near = F.when(med == 0, v == 0).otherwise(F.abs(v - med) / F.when(med != 0, med) <= pct / 100)
-    return counts.join(m, by).groupBy(*by).agg(F.sum(n).alias("n_all"), F.sum(F.when(near, F.col(n)).otherwise(0)).alias("n_agree"))
+    return counts.join(F.broadcast(m), by).groupBy(*by).agg(F.sum(n).alias("n_all"), F.sum(F.when(near, F.col(n)).otherwise(0)).alias("n_agree"))
 
 
 def scorecard(evidence: DataFrame, required: DataFrame, agreement_pct: float = 20.0) -> DataFrame:
     """One row per required metric: best value and source, range, numbers of sources and values, agreement, status.
 
-    A metric's own rows count, or those of its evidence ids if it has none: both are summed, side by side, in the same
-    pass. The best value is the largest of the best tier; ties go to the first row by _ord. Without a number the first
+    A metric's own rows count, or those of its evidence ids if it has none: both are summed, side by side. Evidence is
+    read once, into cells of metric, value and source that are stored; all else comes from these. The best value is the largest of the best tier; ties go to the first row by _ord. Without a number the first
     row's source is shown. Ready needs agreement, and a row of high confidence under the metric's own id or a gold value.
     """
     by = ["metric_id", "own"]
     own = required.select("metric_id", F.col("metric_id").alias("metric"), F.lit(True).alias("own"))
     others = required.select("metric_id", F.explode(F.array_distinct("evidence_ids")).alias("metric"), F.lit(False).alias("own"))
-    rows = evidence.join(F.broadcast(own.unionByName(others)), "metric").select(*by, "_ord", "source_citation", "value_num", "tier_rank", "computed_confidence")
+    rows = evidence.join(F.broadcast(own.unionByName(others)), "metric")
     num = F.col("value_num").isNotNull()
     rank = F.struct(F.col("tier_rank"), -F.col("value_num"), F.col("_ord"))
-    sums = rows.groupBy(*by).agg(
-        F.countDistinct("source_citation").alias("n_sources"), F.count("value_num").alias("n_with_value"),
-        F.min(F.when(num, F.struct(rank.alias("r"), "value_num", "source_citation"))).alias("best"), F.min(F.struct("_ord", "source_citation")).alias("first"),
-        F.min("value_num").alias("range_min"), F.max("value_num").alias("range_max"),
-        F.max(F.col("own") & (F.col("computed_confidence") == "high")).alias("high"), F.max(num & (F.col("tier_rank") == 0)).alias("gold"),
+    high = F.max(F.col("own") & (F.col("computed_confidence") == "high")).alias("high")
+    cells = stored(rows.groupBy(*by, "value_num", "source_citation").agg(F.count("*").alias("n"), F.min(F.when(num, F.struct(rank.alias("r"), "value_num", "source_citation"))).alias("best"), F.min(F.struct("_ord", "source_citation")).alias("first"), high, F.max(num & (F.col("tier_rank") == 0)).alias("gold")), "cells")
+    sums = cells.groupBy(*by).agg(
+        F.countDistinct("source_citation").alias("n_sources"), F.coalesce(F.sum(F.when(num, F.col("n"))), F.lit(0)).alias("n_with_value"), F.min("best").alias("best"), F.min("first").alias("first"),
+        F.min("value_num").alias("range_min"), F.max("value_num").alias("range_max"), F.max("high").alias("high"), F.max("gold").alias("gold"),
     )
-    counts = rows.where(num).groupBy(*by, "value_num").agg(F.count("*").alias("n"))
+    counts = stored(cells.where(num).groupBy(*by, "value_num").agg(F.sum("n").alias("n")), "counts")
     both = sums.join(agreement(counts, by, "value_num", "n", agreement_pct), by, "left")
     fields = [c for c in both.columns if c not in by]
     chosen = both.groupBy("metric_id").agg(F.max_by(F.struct(*fields), F.col("own")).alias("s")).select("metric_id", "s.*")
@@ -104,11 +111,12 @@ def conflicts(evidence: DataFrame) -> DataFrame:
 
     Rows without metric are left out; blank years and populations are groups too. Values are made distinct before they
     are ordered, and of the rows only the first two of each group are shuffled: Spark cuts a ranked window before its
-    exchange.
+    exchange. The few columns of use are stored, so evidence is read once.
     """
     keys = ["metric", "year_or_range", "population"]
     text = F.trim(F.coalesce("value", F.lit("")))
     rows = evidence.where(F.col("metric").isNotNull()).select("_ord", "source_citation", "metric", *[F.coalesce(c, F.lit("")).alias(c) for c in keys[1:]], text.alias("v")).where(F.col("v") != "")
+    rows = stored(rows, "values")
     group = Window.partitionBy(*keys)
     values = rows.groupBy(*keys, "v").agg(F.min("_ord").alias("at"), F.count("*").alias("n"))
     ranked = values.select("*", F.row_number().over(group.orderBy("at", "v")).alias("k"), F.count("*").over(group).alias("n_values"))
@@ -123,10 +131,12 @@ def reconciliation(evidence: DataFrame, required: DataFrame, listed: int = 125,
     """Groups of a required metric, year and geography whose numbers differ by their fourth decimal: range, list, recommendation.
 
     The list shows the first rows by _ord up to `length` characters (an entry takes eight at least, so `listed` rows fill it); the recommended row is the first of the best tier.
+    The few columns of use are stored, so evidence is read once.
     """
     keys = ["metric", "year_or_range", "geography"]
     rows = evidence.where(F.col("value_num").isNotNull()).join(F.broadcast(required.select("metric_id", "label")), F.col("metric") == F.col("metric_id"))
     rows = rows.select("_ord", "label", "metric", *[F.coalesce(c, F.lit("")).alias(c) for c in keys[1:]], "source_citation", "tier_rank", "value_num")
+    rows = stored(rows, "numbers")
     best = F.min(F.struct("tier_rank", "_ord", "value_num", "source_citation"))
     sums = rows.groupBy(*keys, "label").agg(F.count("*").alias("n_rows"), F.countDistinct(F.round("value_num", 4)).alias("kinds"), F.min("value_num").alias("range_min"), F.max("value_num").alias("range_max"), best.alias("b"))
     sums = sums.where((F.col("n_rows") >= 2) & (F.col("kinds") >= 2))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions.spans import with_matches
+from ..session import stored
 
 NUMBER = r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?"
 NEAR, WIDE, CLOSE = 200, 500, 100
@@ -83,6 +84,11 @@ class Blocks(HTMLParser):
         self.heading = self.caption = ""
         self.cells: list[str] | None = None
 
+    def parse_html_declaration(self, i):
+        """Declarations and marked sections end at the next `>`, comments of every kind are skipped; one that isn't closed takes the rest."""
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else len(self.rawdata)
+
     def flush(self, tag: str = "") -> None:
         text = " ".join("".join(self.text).split())
         self.text = []
@@ -194,16 +200,24 @@ HOST = "^[a-z]+://([^/?#]*)"
 SITE = r"^[a-z]+://(?:[^/?#]*[.])?([^./?#]+[.][^./?#]+)"
 
 
+def roots(pages: DataFrame, within: str = HOST, id_col: str = "page_id") -> DataFrame:
+    """url of one page of every host, or other part of the URL: that of the least id. Where a crawl starts."""
+    return pages.groupBy(F.regexp_extract("url", within, 1).alias("site")).agg(F.min(F.struct(id_col, "url")).alias("p")).select("p.url")
+
+
 def crawl(pages: DataFrame, links: DataFrame, start: DataFrame, depth: int = 4, within: str = HOST) -> DataFrame:
     """url, depth: what start reaches over links (src, dst) within a host, or another part of the URL, each at its least depth.
 
-    One join a level; the pages seen so far are joined out, so that cycles end.
+    One join a level; the pages seen so far are joined out, so that cycles end. Every frontier is stored, so a level's
+    plan doesn't hold those before it.
     """
     host = lambda c: F.regexp_extract(c, within, 1)
     seen = frontier = start.select("url", F.lit(0).cast("long").alias("depth")).distinct()
     known = pages.select("url").distinct()
     for level in range(1, depth + 1):
         step = frontier.join(links, frontier["url"] == links["src"]).where(host("dst") == host("src")).select(F.col("dst").alias("url")).distinct()
-        frontier = step.join(seen, "url", "left_anti").join(known, "url", "left_semi").select("url", F.lit(level).cast("long").alias("depth"))
+        frontier = stored(step.join(seen, "url", "left_anti").join(known, "url", "left_semi").select("url", F.lit(level).cast("long").alias("depth")), "frontier")
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen

@@ -35,13 +35,18 @@ def url_coverage(evidence: DataFrame) -> DataFrame:
     return evidence.groupBy("indication").agg(F.count("*").alias("n_rows"), n.alias("n_without"), F.round(100 * n / F.count("*"), 1).alias("pct_without"))
 
 
-def distribution(evidence: DataFrame, column: str) -> DataFrame:
-    return evidence.groupBy(F.coalesce(X.key(column), F.lit("")).alias(column)).agg(F.count("*").alias("n_rows"))
+def _rows(n_rows: str | None):
+    return (F.sum(n_rows) if n_rows else F.count("*")).alias("n_rows")
 
 
-def top_sources(evidence: DataFrame, n: int = 5) -> DataFrame:
+def distribution(evidence: DataFrame, column: str, n_rows: str | None = None) -> DataFrame:
+    """Rows by a column's value; n_rows names the count where rows are counted already."""
+    return evidence.groupBy(F.coalesce(X.key(column), F.lit("")).alias(column)).agg(_rows(n_rows))
+
+
+def top_sources(evidence: DataFrame, n: int = 5, n_rows: str | None = None) -> DataFrame:
     """The n sources with most rows; ties by name."""
-    return evidence.where(F.col("source_citation").isNotNull()).groupBy("source_citation").agg(F.count("*").alias("n_rows")).orderBy(F.desc("n_rows"), "source_citation").limit(n)
+    return evidence.where(F.col("source_citation").isNotNull()).groupBy("source_citation").agg(_rows(n_rows)).orderBy(F.desc("n_rows"), "source_citation").limit(n)
 
 
 def best_of(df: DataFrame, by: str, count: str, label: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import build, curated, enrich, evaluate, extract, insights, match, quality, report, sinks
-from ..session import ship
+from ..session import ship, stored
 from ..sources import evidence as E
 from . import config as C
 from .oracles import ORACLES, YEARS
@@ -191,8 +191,7 @@ def phrasing_best(spark, sf):
 
 @query
 def indicator_series(spark, sf):
-    rows = E.read(spark, sf, "events").where(F.col("value").isNotNull())
-    return rows.groupBy(F.col("event_type").alias("series")).agg(F.min_by(F.round("value", 2), "event_id").alias("first_value"), F.year(F.min("ts")).cast("long").alias("year"), F.count("*").alias("n_rows"))
+    return E.indicator(E.read(spark, sf, "events"), "event_type", "value", "event_id", "ts")
 
 
 @query
@@ -255,8 +254,8 @@ def label_candidates(spark, sf):
 
 @query
 def query_expansion(spark, sf):
-    texts = F.slice(F.array_distinct(F.array(F.lit("data"), F.concat(F.lit("data "), F.col("r_name")), F.concat(F.lit("data for "), F.col("r_name")), F.col("r_name"))), 1, 12)
-    return E.read(spark, sf, "region").select(F.col("r_name").alias("subject"), F.explode(texts).alias("query"))
+    regions = E.read(spark, sf, "region")
+    return regions.select(F.col("r_name").alias("subject"), F.explode(E.expand_queries(["data", "data for"], [F.col("r_name")], alone=True)).alias("query"))
 
 
 @query
@@ -348,7 +347,7 @@ def crawl_frontier(spark, sf):
     pages = E.read(spark, sf, "pages").select("page_id", "url")
     child = pages.select(F.col("url").alias("src"), F.explode(F.array(2 * F.col("page_id") + 1, 2 * F.col("page_id") + 2)).alias("c"))
     links = child.join(pages, F.col("c") == F.col("page_id")).select("src", F.col("url").alias("dst"))
-    return extract.crawl(pages, links, pages.where(F.col("page_id") < 4), within=extract.SITE)
+    return extract.crawl(pages, links, extract.roots(pages, extract.SITE), within=extract.SITE)
 
 
 @query
@@ -358,4 +357,6 @@ def white_space_report(spark, sf):
 
 @query
 def report_lines(spark, sf):
-    return report.evidence_summary(card(spark, sf), confidence_mix(spark, sf), top_sources(spark, sf))
+    rows = enriched(spark, sf)
+    counts = stored(rows.groupBy("source_citation", "computed_confidence").agg(F.count("*").alias("n_rows")), "mix")
+    return report.evidence_summary(evaluate.scorecard(rows, required(spark)), insights.distribution(counts, "computed_confidence", "n_rows"), insights.top_sources(counts, n_rows="n_rows"))

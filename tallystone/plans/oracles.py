@@ -183,7 +183,7 @@ ORACLES: dict[str, str] = {
     "stale_partitions": "SELECT DISTINCT n_name AS geography, r_name AS indication FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 4 = 0",
     "crawl_frontier": r"""WITH RECURSIVE p AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://(?:[^/?#]*[.])?([^./?#]+[.][^./?#]+)', 1) AS site FROM pages),
         l AS (SELECT a.url AS src, b.url AS dst FROM p a JOIN p b ON b.page_id IN (2 * a.page_id + 1, 2 * a.page_id + 2) AND a.site = b.site),
-        f(url, depth) AS (SELECT url, 0 FROM p WHERE page_id < 4 UNION SELECT dst, depth + 1 FROM f JOIN l ON f.url = l.src WHERE depth < 4) SELECT url, min(depth)::BIGINT AS depth FROM f GROUP BY 1""",
+        f(url, depth) AS (SELECT arg_min(url, page_id), 0 FROM p GROUP BY site UNION SELECT dst, depth + 1 FROM f JOIN l ON f.url = l.src WHERE depth < 4) SELECT url, min(depth)::BIGINT AS depth FROM f GROUP BY 1""",
     "white_space_report": with_(COVER, "SELECT coverage_status AS section, row_number() OVER (PARTITION BY coverage_status ORDER BY metric_id) AS ord, '- ' || label || ' (' || metric_id || ')' || CASE coverage_status WHEN 'Has value' THEN ': ' || n_sources || ' source(s), ' || n_with_value || ' with value' WHEN 'Stub only' THEN ': ' || n_sources || ' source(s), look up by hand' ELSE '' END AS line FROM cover"),
     "report_lines": with_(CARD, """, mix AS (SELECT computed_confidence, count(*) AS n FROM en GROUP BY 1), tops AS (SELECT source_citation, count(*) AS n FROM ev GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5)
         SELECT 'key numbers' AS section, row_number() OVER (ORDER BY metric_id) AS ord, label || ': ' || format('{:,.2f}', best_value) || ' (' || validation_status || ')' AS line FROM card WHERE best_value IS NOT NULL

@@ -155,10 +155,20 @@ def catalogue_links(sources: DataFrame, places: DataFrame, subject: str, place:
     return links.select("id", "name", "tier", "metric", X.fill_template("url", {"subject": subject, "place": place}).alias("url"), F.coalesce("priority", F.lit(99)).cast("long").alias("priority"))
 
 
-def expand_queries(phrases: list[str], variants: list[str], most: int = 12) -> Column:
-    """The first `most` different search texts, phrase by phrase, each alone and with every place name."""
-    every = [q for p in phrases for q in (p, *[f"{p} {v}" for v in variants])]
-    return F.slice(F.array_distinct(F.array(*[F.lit(q) for q in every])), 1, most)
+def expand_queries(phrases: list[str], variants: list[str | Column], alone: bool = False, most: int = 12) -> Column:
+    """The first `most` different search texts, phrase by phrase: a phrase alone, and with every place name. With alone the names follow by themselves.
+
+    Phrases that end in a preposition only come with a name.
+    """
+    name = lambda v: v if isinstance(v, Column) else F.lit(v)
+    every = [q for p in phrases for q in ([] if p.split()[-1] in ("for", "in", "of") else [F.lit(p)]) + [F.concat(F.lit(p + " "), name(v)) for v in variants]]
+    return F.slice(F.array_distinct(F.array(*every, *([name(v) for v in variants] if alone else []))), 1, most)
+
+
+def indicator(events: DataFrame, series: str, value: str, order: str, ts: str) -> DataFrame:
+    """series, first_value, year, n_rows of every series with values: the first value by order and the first year."""
+    rows = events.where(F.col(value).isNotNull())
+    return rows.groupBy(F.col(series).alias("series")).agg(F.min_by(F.round(value, 2), order).alias("first_value"), F.year(F.min(ts)).cast("long").alias("year"), F.count("*").alias("n_rows"))
 
 
 def still_to_fetch(links: DataFrame, known: DataFrame) -> DataFrame:

@@ -70,3 +70,10 @@ def test_scalar_operators_stay_in_the_jvm(spark, sf_dir):
 def test_scan_reads_only_what_it_needs(spark, sf_dir):
     plan = catalogue.QUERIES["cluster_assign"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "l_tax" not in plan and "c_acctbal" not in plan
+
+
+@pytest.mark.parametrize("name", ["kpi_scorecard", "conflicts", "reconciliation", "forecast_auto", "report_lines", "insights_summary"])
+def test_evidence_is_read_once(spark, sf_dir, name):
+    """What these queries read several times is stored: the star join is planned once at most in the end."""
+    plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [l_orderkey") <= 1
