@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import os
 import re
 import struct
 
@@ -19,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import text_map
+from .common import others, text_map
 
 #: Splits a normalised text as the file's pre-tokenizer does; the first form is for ASCII, lower-cased by str.lower().
 _ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
@@ -51,6 +52,7 @@ class Bpe:
         self.rank = {(self.vocab[a], self.vocab[b]): (r, self.vocab[a + b]) for r, (a, b) in enumerate(map(tuple, model["merges"]))}
         self.letters = byte_letters()
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.lead = os.path.commonprefix(list(self.special))  # a text without it holds no special token
         self.known: dict[str, bytes] = {}  # ids as 32-bit numbers: a word costs little memory
         self.names = [str(i) for i in range(max(self.token) + 1)]
         self.tokens = [self.token.get(i, "") for i in range(len(self.names))]
@@ -126,7 +128,7 @@ class Bpe:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of every text."""
-        parts = [self.cut.split(t) if self.cut and "<|" in t else [t] for t in texts]
+        parts = [self.cut.split(t) if self.cut and self.lead in t else [t] for t in texts]
         words = [[w for p in ps for w in ([p] if p in self.special else self.split(p))] for ps in parts]
         self.learn(set().union(*words))
         known = self.known
@@ -141,11 +143,13 @@ def load(file: str) -> Bpe:
 
 
 def encode(docs: DataFrame, keep: list[str], path: str, text: str = "text", ids: bool = False) -> DataFrame:
-    """keep columns, n_tokens, ids_sha256, decoded_sha256 of every whole text, and the ids themselves if asked for.
+    """keep columns, n_tokens, ids_sha256, decoded_sha256 of every whole text, however long, and the ids themselves if asked for.
 
     Decoding joins the ids' tokens by blanks, as the file names no decoder. A null text counts as empty: no tokens.
-    The file (a fixed vocabulary of a few MB) is broadcast.
+    The file (a fixed vocabulary of a few MB) is broadcast. Rows are encoded one by one, so repeated ones need no rule.
+    Columns of docs that bear the new columns' names give way to them.
     """
+    keep = others(keep, "n_tokens", "ids_sha256", "decoded_sha256", *(["token_ids"] if ids else []))
     spark: SparkSession = docs.sparkSession
     with open(path, encoding="utf-8") as f:
         file = spark.sparkContext.broadcast(f.read())

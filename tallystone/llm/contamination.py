@@ -1,9 +1,9 @@
 """Benchmark decontamination by a positional inverted index, in DataFrame operations only.
 
 The corpus frequency of every benchmark term decides each 13-word window's rarest term. The index stores the
-postings (row, position) of those terms, with the words beside each position as payload, so that the lists of frequent
-terms are never written. A posting and an item's occurrence of the term fix an alignment; the lists of the other terms
-are intersected at their offsets within it, and the run of equal words around the term is the match.
+postings (row, position) of those terms, with the words beside each position as payload: within a posting's reach, that
+is what the lists of all other terms hold at their offsets, so those lists needn't be written or shuffled. A posting and
+an item's occurrence of the term fix an alignment, and the run of equal words around the term is the match.
 """
 
 from __future__ import annotations
@@ -47,7 +47,9 @@ def item_words(items: DataFrame, item_id: str, text: str) -> DataFrame:
 def term_counts(docs: DataFrame, terms: DataFrame, n_terms: int, text: str) -> DataFrame:
     """key, n: how often each benchmark term occurs in the corpus; terms that don't occur are absent."""
     found = docs.select(F.explode(pieces(text)).alias("_w")).select(F.lower("_w").alias("key"))
-    return found.join(small(terms, n_terms, MOST_BROADCAST), "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
+    if n_terms > MOST_BROADCAST:  # counted within tasks before the shuffle
+        return found.groupBy("key").agg(F.count("*").alias("n")).join(terms, "key", "left_semi")
+    return found.join(F.broadcast(terms), "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
 
 
 def anchors(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
@@ -73,8 +75,13 @@ def anchors(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
 
 def postings(docs: DataFrame, keys: DataFrame, n_keys: int, text: str, reach: int) -> DataFrame:
     """The index: key, _row, pos, word, and the reach words to the left (nearest first) and right of it."""
-    spread = docs.select("_row", pieces(text).alias("_words")).select("_row", "_words", F.posexplode("_words").alias("pos", "_w")).select("*", F.lower("_w").alias("key"))
-    hit = spread.join(small(keys, n_keys, MOST_BROADCAST), "key", "left_semi")
+    split = docs.select("_row", pieces(text).alias("_words"))
+    spread = lambda *c: split.select("_row", *c, F.posexplode("_words").alias("pos", "_w")).select("*", F.lower("_w").alias("key"))
+    if n_keys > MOST_BROADCAST:  # only single words are shuffled; the texts of rows with hits are fetched once for each row
+        at = spread().select("_row", "pos", "key").join(keys, "key", "left_semi").groupBy("_row").agg(F.collect_list(F.struct("pos", "key")).alias("_at"))
+        hit = split.join(at, "_row").select("_row", "_words", F.inline("_at")).withColumn("_w", F.element_at("_words", F.col("pos") + 1))
+    else:
+        hit = spread("_words").join(F.broadcast(keys), "key", "left_semi")
     left = F.reverse(F.slice("_words", F.greatest(F.col("pos") - reach, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(reach))))
     right = F.slice("_words", F.col("pos") + 2, reach)
     each = lambda ws: F.transform(ws, lower)
@@ -95,33 +102,33 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_i
     """
     items = materialise(item_words(benchmark, item_id, item_text), "items")
     terms = items.select(F.explode("words").alias("_w")).select(F.lower("_w").alias("key")).distinct()
-    n_words = items.agg(F.sum(F.size("words"))).first()[0] or 0
-    counts = materialise(term_counts(docs, terms, n_words, doc_text), "counts")
+    counts = materialise(term_counts(docs, terms, terms.count(), doc_text), "counts")
     wanted = materialise(anchors(items, counts, window), "anchors")
-    index = materialise(postings(docs, wanted.select("key").distinct(), n_words, doc_text, window - 1), "postings")
-    aligned = index.join(small(wanted, n_words, MOST_BROADCAST), "key").where(F.col("word") == F.col("iword"))
+    keys = wanted.select("key").distinct()
+    index = materialise(postings(docs, keys, keys.count(), doc_text, window - 1), "postings")
+    aligned = index.join(small(wanted, wanted.count(), MOST_BROADCAST), "key").where(F.col("word") == F.col("iword"))
     runs = aligned.select("_row", "item_id", "pos", "need", run_length("left", "ileft").alias("l"), run_length("right", "iright").alias("r"))
     whole = runs.where(F.col("l") + F.col("r") + 1 >= F.col("need"))
     return whole.select("_row", "item_id", (F.col("pos") - F.col("l")).alias("begin"), (F.col("pos") + F.col("r")).alias("end"))
 
 
-def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int, item_id: str = "item_id", doc_text: str = "text", item_text: str = "text", longest: int = 64) -> DataFrame:
+def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int, item_id: str = "item_id", doc_text: str = "text", item_text: str = "text") -> DataFrame:
     """_row, item_id, pos: places of an item's rarest term with all its other terms within its length plus slop words, in any order.
 
-    Items over `longest` words are cut into runs of that many, each matched on its own.
+    Postings carry as many words on both sides as the longest item has, plus slop.
     """
-    cut = item_words(benchmark, item_id, item_text).select("item_id", F.explode(F.sequence(F.lit(1), F.size("words"), F.lit(longest))).alias("_s"), "words")
-    items = materialise(cut.select("item_id", F.slice("words", F.col("_s"), longest).alias("words")), "items")
+    items = materialise(item_words(benchmark, item_id, item_text).select("item_id", "words"), "items")
     terms = items.select(F.explode("words").alias("_w")).select(F.lower("_w").alias("key")).distinct()
-    n_words = items.agg(F.sum(F.size("words"))).first()[0] or 0
-    counts = materialise(term_counts(docs, terms, n_words, doc_text), "counts")
+    longest = items.agg(F.max(F.size("words"))).first()[0] or 1
+    counts = materialise(term_counts(docs, terms, terms.count(), doc_text), "counts")
     places = items.select("item_id", "words", F.explode("words").alias("_w")).select("*", F.lower("_w").alias("key")).join(counts, "key", "left")
     rarest = places.groupBy("item_id", "words").agg(F.min(F.struct("n", "key", "_w")).alias("b"), F.max(F.col("n").isNull()).alias("lacks")).where(~F.col("lacks"))
     wanted = rarest.select("item_id", "words", F.col("b.key").alias("key"), F.col("b._w").alias("iword"))
-    index = postings(docs, wanted.select("key").distinct(), n_words, doc_text, longest + slop)
+    keys = wanted.select("key").distinct()
+    index = postings(docs, keys, keys.count(), doc_text, longest - 1 + slop)
     reach = F.size("words") - 1 + slop
     near = F.concat(F.slice("left", F.lit(1), reach), F.array("word"), F.slice("right", F.lit(1), reach))
-    both = index.join(small(wanted, n_words, MOST_BROADCAST), "key").where(F.col("word") == F.col("iword"))
+    both = index.join(small(wanted, wanted.count(), MOST_BROADCAST), "key").where(F.col("word") == F.col("iword"))
     return both.where(F.size(F.array_except("words", near)) == 0).select("_row", "item_id", "pos").distinct()
 
 

@@ -246,15 +246,17 @@ def rare_pairs(nodes: DataFrame, texts: DataFrame, percent: int, width: int) ->
         n = np.array([len(s) for s in sets])
         return [pa.array(np.repeat(rows["rep"].to_numpy(zero_copy_only=False), n)), pa.array(np.concatenate(sets).view(np.int64))]
 
-    each = text_map(mine, ["rep"], "_text", "rep long, shingle long", make, PART)
-    each = each.withColumn("df", F.count("*").over(Window.partitionBy("shingle")))
+    # counts and least labels are aggregated within tasks and joined back, so a shingle that very many sets hold is split
+    each = materialise(text_map(mine, ["rep"], "_text", "rep long, shingle long", make, PART), "shingles")
+    each = each.join(each.groupBy("shingle").agg(F.count("*").alias("df")), "shingle")
     alone = each.where(F.col("df") == 1).groupBy("rep").agg(F.count("*").alias("alone"))
     nth = F.row_number().over(Window.partitionBy("rep").orderBy("df", "shingle"))
     ranked = each.where(F.col("df") > 1).withColumn("nth", nth).join(nodes.join(alone, "rep", "left"), "rep")
     ranked = ranked.withColumn("rank", F.col("nth") + F.coalesce("alone", F.lit(0)))
     prefix = ranked.where(F.col("rank") <= F.col("n") - F.ceil(percent * F.col("n") / 100) + 1)
-    by_shingle = Window.partitionBy("shingle")
-    mixed = prefix.withColumn("low", F.min("label").over(by_shingle)).withColumn("high", F.max("label").over(by_shingle)).where(F.col("low") < F.col("high"))
+    prefix = materialise(prefix.select("shingle", "fp", "n", "label", "rank"), "ranked")
+    several = prefix.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") < F.col("high")).select("shingle")
+    mixed = prefix.join(several, "shingle")
     # what is left of a set from this shingle on: at the first that two sets share, all that they share lies there
     left = F.col("n") - F.col("rank") + 1
     mixed = materialise(mixed.select("shingle", "fp", "n", "label", left.alias("met")), "prefixes")
@@ -284,15 +286,16 @@ def similar_components(rows: DataFrame, text: str = "text", percent: int = 85, w
     texts = materialise(found.select("fp", "_text"), "texts")
     known = shared.join(members.select("fp", "degree", "n", "rep", "need"), "fp")
     alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    hub = F.min(F.struct(-F.col("degree"), F.col("fp"), F.col("n"))).over(by_sig)
-    first = known.withColumn("hub", hub).where((F.col("hub.fp") != F.col("fp")) & alike(F.col("hub.n"), F.col("n")))
+    hubs = known.groupBy("sig").agg(F.min(F.struct(-F.col("degree"), F.col("fp"), F.col("n"))).alias("hub"))
+    first = known.join(hubs, "sig").where((F.col("hub.fp") != F.col("fp")) & alike(F.col("hub.n"), F.col("n")))
     tried = materialise(first.select(F.col("hub.fp").alias("a"), F.col("fp").alias("b")).distinct(), "tried")
     links = materialise(verified(tried, texts, percent, width), "links")
     ids = members.select("fp", "rep")
     as_rows = lambda e: e.join(ids.toDF("a", "ra"), "a").join(ids.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     labels = components(as_rows(links))
     labelled = known.join(labels, known["rep"] == labels["node"], "left").select("sig", "fp", "rep", "n", "need", F.coalesce("label", "rep").alias("label"))
-    mixed = labelled.withColumn("low", F.min("label").over(by_sig)).withColumn("high", F.max("label").over(by_sig)).where(F.col("low") < F.col("high"))
+    several = labelled.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") < F.col("high")).select("sig")
+    mixed = labelled.join(several, "sig")
     mixed = mixed.groupBy("fp", "rep", "n", "label").agg(F.count("*").alias("met"), F.first("need").alias("need"))
     mixed = materialise(mixed.where(F.col("met") >= F.col("need")).select("fp", "rep", "n", "label"), "mixed")
     done = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))

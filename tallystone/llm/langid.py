@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, fold, masked, text_map
+from .common import chunks, fold, masked, others, text_map
 
 DIM = 1024
 BLOCK = 256  # texts whose 3-gram counts are multiplied at once
@@ -102,10 +102,10 @@ def train(labelled: DataFrame, text: str, lang: str, dim: int = DIM) -> dict[str
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            texts, langs = [clean(t) for t in batch.column(0).to_pylist()], batch.column(1).to_pylist()
+            texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in chunks([len(t) + 64 for t in texts], 1_000_000):
                 names, of = np.unique(np.array(langs[a:b], dtype=object).astype(str), return_inverse=True)
-                for name, v in zip(names.tolist(), bundle(texts[a:b], dim, of, len(names))):
+                for name, v in zip(names.tolist(), bundle([clean(t) for t in texts[a:b]], dim, of, len(names))):
                     sums[name] = sums.get(name, 0) + v.astype(np.float64)
         for name, v in sums.items():
             yield pa.RecordBatch.from_pydict({"lang": [name] * dim, "i": np.arange(dim, dtype=np.int32), "v": v})
@@ -171,9 +171,11 @@ def usual_text(text: str, usual: np.ndarray) -> bool:
 def identify(docs: DataFrame, keep: list[str], prototypes: dict[str, np.ndarray], text: str = "text", limits: tuple[dict[str, float], np.ndarray] | None = None) -> DataFrame:
     """keep columns, lang_pred, score of every whole text: `und` and 0 without text, letter or prototype.
 
-    With what calibrate() gives also is_known: the score reaches the language's limit. Texts of fewer than SHORT letters
+    Equal cosines go to the first language by name. Rows are judged one by one, so repeated ones need no rule; columns
+    of docs named as the new ones give way to them. With what calibrate() gives also is_known: the score reaches the language's limit. Texts of fewer than SHORT letters
     and blanks, whose clean cosines reach down to the noise, are judged by their letters instead.
     """
+    keep = others(keep, "lang_pred", "score", *([] if limits is None else ["is_known"]))
     names = list(prototypes)
     dim = len(next(iter(prototypes.values()))) if names else DIM
     table = np.stack([p / (np.linalg.norm(p) or 1) for p in prototypes.values()]).astype(np.float32) if names else np.zeros((0, dim), np.float32)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import total, with_matches
+from ..functions.spans import last_words, total, with_matches
 from .common import masked, materialise, small, with_row_key
 
 #: Where so many texts or fewer hold personal data, their spans are broadcast, and texts stay where they are.
@@ -74,8 +74,8 @@ def base_spans(rows: DataFrame, keep: list[str], text: str) -> DataFrame:
     """
     df = rows.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     for kind in KINDS:
-        df = with_matches(df, f"_{kind}", "_text", PATTERNS[kind], GUARDS[kind](F.col("_text")))
-    df = with_matches(df, "_loose", "_text", CANDIDATE, F.col("_text").rlike("[0-9@]"))
+        df = with_matches(df, f"_{kind}", "_text", PATTERNS[kind], GUARDS[kind](F.col("_text")), words=2)
+    df = with_matches(df, "_loose", "_text", CANDIDATE, F.col("_text").rlike("[0-9@]"), words=2)
     span = lambda k: lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("k"), x["end"].alias("end"), x["hit"].alias("hit"), x["before"].alias("before"))
     passes = lambda kind: lambda x: valid(kind, x["hit"])
     empty = F.array().cast("array<struct<start:int,k:int,end:int,hit:string,before:string>>")
@@ -91,19 +91,22 @@ def base_spans(rows: DataFrame, keep: list[str], text: str) -> DataFrame:
 
 def contexts(spans: DataFrame) -> DataFrame:
     """Adds pattern: the two words before a span and the last of them, lower-cased, digits as 0; one row each."""
-    tail = lambda n: F.regexp_replace(F.lower(F.regexp_extract("before", r"((?:\S+\s+){%d}\S+)\s*$" % (n - 1), 1)), "[0-9]", "0")
-    return spans.withColumn("pattern", F.explode(F.array_distinct(F.array(F.concat(F.lit("2 "), tail(2)), F.concat(F.lit("1 "), tail(1)))))).where(F.length("pattern") > 2)
+    tail = lambda n: F.regexp_replace(F.lower(last_words(F.col("before"), n)), "[0-9]", "0")
+    both = F.when(F.trim("before").rlike(r"\s"), F.concat(F.lit("2 "), tail(2)))
+    return spans.withColumn("pattern", F.explode(F.array_compact(F.array(both, F.concat(F.lit("1 "), tail(1)))))).where(F.length("pattern") > 2)
 
 
 def score_patterns(edges: DataFrame, rounds: int = 3, least_seeds: int = 5, sure: float = 0.8) -> DataFrame:
-    """k, pattern, confidence of the patterns that have least_seeds different seeds and a confidence of sure or more.
+    """k, pattern, confidence of the patterns that have least_seeds different sure instances and a confidence of sure or more.
 
     edges: k, pattern, instance, seed (0/1), one row each. A pattern's confidence is the sum of its instances' over
-    their number plus one; an instance that isn't a seed has 1 - product(1 - confidence) over its patterns.
+    their number plus one; an instance that isn't a seed has 1 - product(1 - confidence) over its patterns. In the
+    first round only seeds are sure; in each later one so are the identifiers that the former round's patterns found,
+    and they support patterns of their own, which may hold no seed at all.
     """
     belief = edges.withColumn("c", F.col("seed").cast("double"))
     for left in range(rounds, 0, -1):
-        patterns = belief.groupBy("k", "pattern").agg((F.sum("c") / (F.count("*") + 1)).alias("confidence"), F.sum("seed").alias("seeds"))
+        patterns = belief.groupBy("k", "pattern").agg((F.sum("c") / (F.count("*") + 1)).alias("confidence"), F.count_if(F.col("c") >= sure).alias("seeds"))
         strong = patterns.where(F.col("seeds") >= least_seeds)
         if left == 1:
             return strong.where(F.col("confidence") >= sure).select("k", "pattern", "confidence")

@@ -18,6 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import others
+
 #: Rules of the registered query, by the contract: host and path, then the verdict.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 _open: dict[str, "Digests"] = {}
@@ -95,7 +97,8 @@ def filter_urls(urls: DataFrame, keep: list[str], rules: list[tuple[str, str]],
 
     The host is what stands after the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; the path follows up
     to `?`, `#` or the end; both are empty for null or without `://`. Without a fitting rule the verdict is default
-    and the rule null. The packed rules are broadcast; lists over most_mb are refused, to be split by host beforehand.
+    and the rule null. Rows are judged one by one, so repeated ones and very long urls need no rule; of equally long
+    rules the one with the longer host wins. Columns of urls named as the new ones give way to them. The packed rules are broadcast; lists over most_mb are refused, to be split by host beforehand.
     """
     data = pack(rules)
     if len(data) > most_mb << 20:
@@ -104,6 +107,7 @@ def filter_urls(urls: DataFrame, keep: list[str], rules: list[tuple[str, str]],
     rest = F.when(F.contains(F.col(url), F.lit("://")), F.expr(f"substring(`{url}`, locate('://', `{url}`) + 3)")).otherwise("")
     host = F.translate(F.regexp_extract(rest, "(?s)^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     path = F.regexp_extract(rest, "(?s)^[^/?#]*([^?#]*)", 1)
+    keep = others(keep, "host", "path", "rule", "verdict")
     parts = urls.select(*[F.col(f"`{c}`") for c in keep], host.alias("host"), path.alias("path"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
