@@ -166,3 +166,21 @@ def clean_cell(c: Column | str) -> Column:
     """A table cell without white space and percent signs at its end; `-` and blanks are null."""
     text = F.regexp_replace(F.trim(col(c)), r"[%\s]+$", "")
     return F.when(~text.isin("", "-"), text)
+
+
+def safe_name(c: Column | str) -> Column:
+    """A name for files and partitions: blanks as `_`, without commas; blank and null are `unknown`."""
+    return F.coalesce(F.nullif(F.trim(F.translate(col(c), " ,", "_")), F.lit("")), F.lit("unknown"))
+
+
+def mapped_key(c: Column | str, keys: list[str], names: dict[str, str]) -> Column:
+    """A trimmed label that is a key itself, or else the key that names give it; null for others and for blanks."""
+    label = F.trim(col(c))
+    return F.coalesce(F.when(label.isin(keys), label), *[F.when(label == k, F.lit(v)) for k, v in names.items()], F.lit(None).cast("string"))
+
+
+def aliases_of(context: Column | str, table: list[tuple[str, list[str]]]) -> Column:
+    """The alias list of the first key that the lower-case context contains; else the context itself, or none if it is blank."""
+    c = key(context)
+    lists = [F.when(F.contains(c, F.lit(k)), F.array(*[F.lit(a) for a in names])) for k, names in table]
+    return F.coalesce(*lists, F.when(c != "", F.array(c)), F.array().cast("array<string>"))

@@ -61,3 +61,19 @@ def renamed(df: DataFrame, names: dict[str, str], column: str) -> DataFrame:
     """Adds full_name: the mapped name, or the value itself."""
     mapped = F.create_map(*[F.lit(x) for kv in names.items() for x in kv]) if names else F.create_map().cast("map<string,string>")
     return df.withColumn("full_name", F.coalesce(F.try_element_at(mapped, F.col(column)), F.col(column)))
+
+
+def change_log(cells: DataFrame, values: DataFrame, labels: dict[str, str] | None = None, dry_run: bool = True, tolerance: float = 0.001) -> DataFrame:
+    """metric_id, cell, old, new, source, confidence, status of every cell that a value changes.
+
+    cells: cell, excel_id, metric_id, label, old; values: id, value, source, confidence. A cell takes the value of its
+    excel id, else of its metric id, else of the metric that labels gives its label. Status is `dry_run` or `updated`;
+    nothing is changed in place.
+    """
+    by_label = F.create_map(*[F.lit(x) for m, text in (labels or {}).items() for x in (text, m)]) if labels else F.create_map().cast("map<string,string>")
+    ids = F.array_compact(F.array("excel_id", "metric_id", F.try_element_at(by_label, F.col("label"))))
+    tries = cells.select("cell", "old", F.posexplode(ids).alias("nth", "id")).join(values, "id")
+    best = tries.groupBy("cell", "old").agg(F.min(F.struct("nth", "id", "value", "source", "confidence")).alias("b"))
+    log = best.select(F.col("b.id").alias("metric_id"), "cell", "old", X.same_percent("b.value", "old").alias("new"), F.col("b.source").alias("source"), F.coalesce("b.confidence", F.lit("")).alias("confidence"), F.lit("dry_run" if dry_run else "updated").alias("status"))
+    away = F.abs(F.col("new") - F.col("old")) / F.greatest(F.abs("old"), F.lit(1e-6))
+    return log.where(F.col("new").isNotNull() & (F.col("old").isNull() | (away > tolerance)))

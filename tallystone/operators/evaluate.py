@@ -49,22 +49,23 @@ def scorecard(evidence: DataFrame, required: DataFrame, agreement_pct: float = 2
     """One row per required metric: best value and source, range, numbers of sources and values, agreement, status.
 
     A metric's own rows count, or those of its evidence ids if it has none: both are summed, side by side. Evidence is
-    read once, into cells of metric, value and source that are stored; all else comes from these. The best value is the largest of the best tier; ties go to the first row by _ord. Without a number the first
+    read once: the few columns of use of the required metrics' rows are stored, then their counts by value. The best value is the largest of the best tier; ties go to the first row by _ord. Without a number the first
     row's source is shown. Ready needs agreement, and a row of high confidence under the metric's own id or a gold value.
     """
     by = ["metric_id", "own"]
     own = required.select("metric_id", F.col("metric_id").alias("metric"), F.lit(True).alias("own"))
     others = required.select("metric_id", F.explode(F.array_distinct("evidence_ids")).alias("metric"), F.lit(False).alias("own"))
-    rows = evidence.join(F.broadcast(own.unionByName(others)), "metric")
+    rows = evidence.join(F.broadcast(own.unionByName(others)), "metric").select(*by, "_ord", "source_citation", "value_num", "tier_rank", "computed_confidence")
+    rows = stored(rows, "required")
     num = F.col("value_num").isNotNull()
     rank = F.struct(F.col("tier_rank"), -F.col("value_num"), F.col("_ord"))
-    high = F.max(F.col("own") & (F.col("computed_confidence") == "high")).alias("high")
-    cells = stored(rows.groupBy(*by, "value_num", "source_citation").agg(F.count("*").alias("n"), F.min(F.when(num, F.struct(rank.alias("r"), "value_num", "source_citation"))).alias("best"), F.min(F.struct("_ord", "source_citation")).alias("first"), high, F.max(num & (F.col("tier_rank") == 0)).alias("gold")), "cells")
-    sums = cells.groupBy(*by).agg(
-        F.countDistinct("source_citation").alias("n_sources"), F.coalesce(F.sum(F.when(num, F.col("n"))), F.lit(0)).alias("n_with_value"), F.min("best").alias("best"), F.min("first").alias("first"),
-        F.min("value_num").alias("range_min"), F.max("value_num").alias("range_max"), F.max("high").alias("high"), F.max("gold").alias("gold"),
+    sums = rows.groupBy(*by).agg(
+        F.countDistinct("source_citation").alias("n_sources"), F.count("value_num").alias("n_with_value"),
+        F.min(F.when(num, F.struct(rank.alias("r"), "value_num", "source_citation"))).alias("best"), F.min(F.struct("_ord", "source_citation")).alias("first"),
+        F.min("value_num").alias("range_min"), F.max("value_num").alias("range_max"),
+        F.max(F.col("own") & (F.col("computed_confidence") == "high")).alias("high"), F.max(num & (F.col("tier_rank") == 0)).alias("gold"),
     )
-    counts = stored(cells.where(num).groupBy(*by, "value_num").agg(F.sum("n").alias("n")), "counts")
+    counts = stored(rows.where(num).groupBy(*by, "value_num").agg(F.count("*").alias("n")), "counts")
     both = sums.join(agreement(counts, by, "value_num", "n", agreement_pct), by, "left")
     fields = [c for c in both.columns if c not in by]
     chosen = both.groupBy("metric_id").agg(F.max_by(F.struct(*fields), F.col("own")).alias("s")).select("metric_id", "s.*")

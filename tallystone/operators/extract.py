@@ -169,6 +169,12 @@ def page_datapoints(pages: DataFrame, classes: list[tuple[str, list[str]]], alia
     return datapoints(keyed, "at", "text", classes, aliases).select(F.col("id.page").alias("page_id"), F.col("id.block").alias("block"), "pos", "kind", "label", "found")
 
 
+def with_extractor(pages: DataFrame, patterns: list[tuple[str, str]], url: str = "url", default: str = "page") -> DataFrame:
+    """Adds extractor: the name of the first pattern that the URL contains, in lower case. Pages of a kind are read by rules of their own."""
+    u = F.lower(F.coalesce(F.col(url), F.lit("")))
+    return pages.withColumn("extractor", F.coalesce(*[F.when(F.contains(u, F.lit(p)), F.lit(name)) for p, name in patterns], F.lit(default)))
+
+
 def polite(urls: DataFrame, fetch, url: str = "url", pause: float = 1.0, n: int = 12) -> DataFrame:
     """url, body, error: fetches pages with a pause between requests to one host.
 

@@ -41,6 +41,15 @@ def match_synonyms(labels: DataFrame, column: str, synonyms: dict[str, list[str]
     )
 
 
+def explain(matches: DataFrame, synonyms: dict[str, list[str]]) -> DataFrame:
+    """Adds explanation to match_synonyms(): the name, its score, how it was found, and the first two synonyms that the label meets."""
+    dictionary = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(s).alias("s")) for m, ss in synonyms.items() for s in ss])
+    label = X.key("label")
+    met = F.filter(dictionary, lambda e: (e["m"] == F.col("metric_id")) & (F.contains(label, e["s"]) | F.contains(e["s"], label)))
+    via = F.array_join(F.transform(F.slice(met, 1, 2), lambda e: e["s"]), ", ")
+    return matches.withColumn("explanation", F.concat(F.col("label"), F.lit(" -> "), F.col("metric_id"), F.lit(" (score "), F.format_number("score", 2), F.lit(", "), F.col("how"), F.when(via != "", F.concat(F.lit(", via "), via)).otherwise(""), F.lit(")")))
+
+
 def prototypes(vectors: DataFrame, label: str = "label", vector: str = "embedding") -> DataFrame:
     """The mean vector of each label: one row for each label and dimension on the way, one for each label in the end."""
     each = vectors.select(label, F.posexplode(vector).alias("i", "x")).groupBy(label, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))

@@ -360,3 +360,64 @@ def report_lines(spark, sf):
     rows = enriched(spark, sf)
     counts = stored(rows.groupBy("source_citation", "computed_confidence").agg(F.count("*").alias("n_rows")), "mix")
     return report.evidence_summary(evaluate.scorecard(rows, required(spark)), insights.distribution(counts, "computed_confidence", "n_rows"), insights.top_sources(counts, n_rows="n_rows"))
+
+
+@query
+def safe_names(spark, sf):
+    rows = E.read(spark, sf, "part").select(F.concat("p_name", F.lit(", "), "p_type").alias("name")).distinct()
+    return rows.select("name", X.safe_name("name").alias("safe"))
+
+
+@query
+def label_keys(spark, sf):
+    return E.read(spark, sf, "region").select("r_name", X.mapped_key("r_name", C.KEYS, C.KEY_NAMES).alias("key"))
+
+
+@query
+def context_aliases(spark, sf):
+    return E.read(spark, sf, "part").select("p_name").distinct().select("p_name", F.array_join(X.aliases_of("p_name", C.CONTEXTS), ",").alias("aliases"))
+
+
+@query
+def page_extractors(spark, sf):
+    return extract.with_extractor(E.read(spark, sf, "pages").select("page_id", "url"), C.PAGE_KINDS)
+
+
+@query
+def synonym_explain(spark, sf):
+    return match.explain(synonym_match(spark, sf), C.SYNONYMS).select("label", "explanation")
+
+
+@query
+def catalogue_enabled(spark, sf):
+    return E.enabled(spark.createDataFrame(C.GATED, "id string, kind string, connector string, enabled_when string"), C.FLAGS, C.CONNECTORS).select("id", "kind")
+
+
+@query
+def sources_by_tier(spark, sf):
+    rows = raw(spark, sf)
+    return E.union_by_tier([("upload", rows), ("notes", rows.where(F.col("split_logic").isNotNull()))])[0].groupBy("_at", "tier", "source_name").agg(F.count("*").alias("n_rows"))
+
+
+@query
+def landed_answers(spark, sf):
+    ids = F.transform(F.sequence(F.lit(1), (F.col("event_id") % 12 + 1).cast("int")), lambda i: i.cast("string"))
+    body = F.when(F.col("event_id") % 5 == 0, F.lit("{}")).otherwise(F.to_json(F.struct(F.col("user_id").cast("string").alias("count"), ids.alias("ids"))))
+    return E.landed_counts(E.read(spark, sf, "events").select("event_id", body.alias("body")), "body").select("event_id", "value", "notes")
+
+
+@query
+def options_flat(spark, sf):
+    settings = spark.createDataFrame([(C.OPTION_TYPES,)], "scenario_types map<string, array<struct<option_id: string, label: string, value_numeric: double>>>")
+    return E.scenario_options(settings, C.OPTION_DEFAULTS)
+
+
+@query
+def change_log(spark, sf):
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    cells = E.read(spark, sf, "part").select(
+        F.concat(F.lit("B"), k.cast("string")).alias("cell"), F.when(k % 2 == 0, F.concat(F.lit("x"), size)).alias("excel_id"), F.concat(F.lit("m"), size).alias("metric_id"),
+        F.col("p_type").alias("label"), F.when(k % 5 == 0, 0.5).otherwise(F.col("p_retailprice")).alias("old"),
+    )
+    values = spark.createDataFrame([(("x" if s % 2 == 0 else "m") + str(s), 10.0 * s, f"S{s}", "high" if s % 3 else None) for s in range(1, 31)] + [("m4", 44.0, "S4m", "low")], "id string, value double, source string, confidence string")
+    return curated.change_log(cells, values, C.CELL_LABELS)

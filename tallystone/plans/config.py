@@ -55,3 +55,15 @@ SOURCES = [
 
 SCENARIOS = [("base", "Base", 0.0), ("low", "Low", -0.05), ("high", "High", 0.08)]
 GROWTH = {"demand_standard": 0.02, "demand_large": -0.01}
+
+KEYS, KEY_NAMES = ["ASIA", "EUROPE"], {"AMERICA": "AM", "AFRICA": "AF"}
+CONTEXTS = [("red", ["red", "crimson"]), ("blue", ["blue", "azure", "navy"]), ("ring", ["ring"])]
+PAGE_KINDS = [("example.org/de", "german"), ("example.org", "org"), ("example.net", "net")]
+CELL_LABELS = {"m3": "MEDIUM", "m4": "SMALL"}
+
+#: id, kind, connector, enabled_when.
+GATED = [("g1", "link", None, None), ("g2", "api", "counts", None), ("g3", "api", "trials", None), ("g4", "api", "counts", "use_counts"), ("g5", "link", None, "use_links"), ("g6", "api", None, None), ("g7", "link", None, "other")]
+FLAGS, CONNECTORS = {"use_counts": False, "use_links": True}, ["counts"]
+
+OPTION_TYPES = {"growth": [("g_base", "Base growth", 0.02), ("g_low", "Low growth", 0.01)], "split": [("s_a", "Split A", None)], "none": []}
+OPTION_DEFAULTS = [("growth", "g_default", "Default growth", 0.02)]

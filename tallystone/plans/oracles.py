@@ -191,5 +191,21 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'top sources', row_number() OVER (ORDER BY n DESC, source_citation), source_citation || ': ' || n || ' row(s)' FROM tops
         UNION ALL SELECT 'caveats', row_number() OVER (ORDER BY metric_id), label || ': ' || agreement_flag FROM card WHERE validation_status <> 'Ready'"""),
 }
+ORACLES |= {
+    "safe_names": "SELECT DISTINCT p_name || ', ' || p_type AS name, replace(replace(p_name || ', ' || p_type, ' ', '_'), ',', '') AS safe FROM part",
+    "label_keys": "SELECT r_name, CASE WHEN r_name IN ('ASIA', 'EUROPE') THEN r_name WHEN r_name = 'AMERICA' THEN 'AM' WHEN r_name = 'AFRICA' THEN 'AF' END AS key FROM region",
+    "context_aliases": "SELECT DISTINCT p_name, CASE " + " ".join(f"WHEN contains(lower(trim(p_name)), '{k}') THEN '{','.join(names)}'" for k, names in C.CONTEXTS) + " ELSE lower(trim(p_name)) END AS aliases FROM part",
+    "page_extractors": "SELECT page_id, url, CASE " + " ".join(f"WHEN contains(lower(url), '{p}') THEN '{name}'" for p, name in C.PAGE_KINDS) + " ELSE 'page' END AS extractor FROM pages",
+    "synonym_explain": f"WITH m AS ({ORACLES['synonym_match']}), d AS (SELECT * FROM {values([(m, s, i) for i, (m, s) in enumerate((m, s) for m, ss in C.SYNONYMS.items() for s in ss)], 'd(mid, syn, pos)')}), v AS (SELECT label, list(syn ORDER BY pos) AS vs FROM m JOIN d ON mid = metric_id AND (contains(lower(trim(label)), syn) OR contains(syn, lower(trim(label)))) GROUP BY 1) SELECT m.label, m.label || ' -> ' || metric_id || ' (score ' || format('{{:.2f}}', score) || ', ' || how || CASE WHEN vs IS NOT NULL THEN ', via ' || array_to_string(vs[1:2], ', ') ELSE '' END || ')' AS explanation FROM m LEFT JOIN v ON m.label = v.label",
+    "catalogue_enabled": "SELECT * FROM (VALUES ('g1', 'link'), ('g2', 'api'), ('g5', 'link'), ('g7', 'link')) AS t(id, kind)",
+    "sources_by_tier": with_(EV, f", u AS (SELECT {_scan} AS tier, 'upload' AS source_name, 0 AS nth FROM ev UNION ALL SELECT {_scan}, 'notes', 1 FROM ev WHERE split_logic IS NOT NULL), o AS (SELECT *, CASE tier WHEN 'gold' THEN 0 WHEN 'silver' THEN 1 WHEN 'bronze' THEN 2 END AS r FROM u) SELECT (2 * r + nth)::BIGINT AS _at, tier, source_name, count(*) AS n_rows FROM o WHERE r IS NOT NULL GROUP BY ALL"),
+    "landed_answers": "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '0' ELSE user_id::VARCHAR END AS value, CASE WHEN event_id % 5 = 0 THEN '0 item(s)' ELSE 'ids (sample): ' || array_to_string(list_transform(range(1, least(event_id % 12 + 1, 8) + 1), lambda i: i::VARCHAR), ', ') || CASE WHEN event_id % 12 + 1 > 8 THEN ' (+' || (event_id % 12 - 7) || ' more)' ELSE '' END END AS notes FROM events",
+    "options_flat": "SELECT * FROM (VALUES ('growth', 'g_base', 'Base growth', 0.02::DOUBLE), ('growth', 'g_low', 'Low growth', 0.01), ('split', 's_a', 'Split A', NULL)) AS t(scenario_type, option_id, label, value)",
+    "change_log": """WITH c AS (SELECT 'B' || p_partkey AS cell, CASE WHEN p_partkey % 2 = 0 THEN 'x' || p_size END AS i0, 'm' || p_size AS i1, CASE p_type WHEN 'MEDIUM' THEN 'm3' WHEN 'SMALL' THEN 'm4' END AS i2, CASE WHEN p_partkey % 5 = 0 THEN 0.5 ELSE p_retailprice END::DOUBLE AS old FROM part),
+        v AS (SELECT CASE WHEN s % 2 = 0 THEN 'x' ELSE 'm' END || s AS id, 10.0::DOUBLE * s AS value, 'S' || s AS source, CASE WHEN s % 3 <> 0 THEN 'high' ELSE '' END AS confidence FROM generate_series(1, 30) AS g(s) UNION ALL SELECT 'm4', 44.0, 'S4m', 'low'),
+        k AS (SELECT cell, old, 0 AS nth, i0 AS id FROM c WHERE i0 IS NOT NULL UNION ALL SELECT cell, old, CASE WHEN i0 IS NULL THEN 0 ELSE 1 END, i1 FROM c UNION ALL SELECT cell, old, CASE WHEN i0 IS NULL THEN 1 ELSE 2 END, i2 FROM c WHERE i2 IS NOT NULL),
+        j AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY nth) AS r FROM k JOIN v USING (id)), n AS (SELECT *, CASE WHEN old BETWEEN 0 AND 1 AND value > 1 THEN value / 100 ELSE value END AS x FROM j WHERE r = 1), w AS (SELECT *, CASE WHEN old BETWEEN 0 AND 1 AND x > 1.5 THEN NULL ELSE round(x, 4) END AS new FROM n)
+        SELECT id AS metric_id, cell, old, new, source, confidence, 'dry_run' AS status FROM w WHERE new IS NOT NULL AND (old IS NULL OR abs(new - old) / greatest(abs(old), 1e-6) > 0.001)""",
+}
 for _name, _sql in list(ORACLES.items()):
     ORACLES[_name] = " ".join(_sql.split("\n")).strip()

@@ -174,3 +174,38 @@ def indicator(events: DataFrame, series: str, value: str, order: str, ts: str) -
 def still_to_fetch(links: DataFrame, known: DataFrame) -> DataFrame:
     """The links whose metric no known row has: curated values spare the fetch."""
     return links.join(known.select("metric").distinct(), "metric", "left_anti")
+
+
+def enabled(sources: DataFrame, flags: dict[str, bool], connectors: list[str]) -> DataFrame:
+    """Catalogue entries that may run: their enabled_when is no flag that is off, and API entries have a known connector."""
+    off = [k for k, on in flags.items() if not on]
+    wanted = ~F.coalesce(F.col("enabled_when"), F.lit("")).isin(off) if off else F.lit(True)
+    return sources.where(wanted & ((F.col("kind") != "api") | F.coalesce(F.col("connector").isin(connectors), F.lit(False))))
+
+
+def union_by_tier(frames: list[tuple[str, DataFrame]], tiers: tuple[str, ...] = X.TIERS) -> tuple[DataFrame, DataFrame]:
+    """All rows of named frames, with source_name and _at, their place by tier, then by the frames' order; and a log of tier, source_name, n_rows.
+
+    Rows of unknown tiers are left out. The union keeps repeated rows and moves nothing; sort by _at where order matters.
+    """
+    every = reduce(DataFrame.unionByName, [df.select("*", F.lit(name).alias("source_name"), F.lit(i).alias("_nth")) for i, (name, df) in enumerate(frames)])
+    kept, _ = route_tiers(every, tiers)
+    rows = kept.withColumn("_at", (F.col("tier_order") * len(frames) + F.col("_nth")).cast("long")).drop("_nth")
+    return rows, rows.groupBy("tier", "source_name").agg(F.count("*").alias("n_rows"))
+
+
+def landed_counts(answers: DataFrame, body: str, sample: int = 8) -> DataFrame:
+    """Adds value (the count as text, 0 where the answer has none) and notes (the first ids, and how many more) from a service's landed JSON answers."""
+    parsed = answers.withColumn("_a", F.from_json(body, "count string, ids array<string>"))
+    n = F.coalesce(F.size("_a.ids"), F.lit(0))
+    more = F.when(n > sample, F.concat(F.lit(" (+"), (n - sample).cast("string"), F.lit(" more)"))).otherwise("")
+    notes = F.when(n > 0, F.concat(F.lit("ids (sample): "), F.array_join(F.slice("_a.ids", 1, sample), ", "), more))
+    count = F.coalesce(F.col("_a.count").try_cast("long"), F.lit(0)).cast("string")
+    return parsed.select(*answers.columns, count.alias("value"), F.coalesce(notes, F.concat(count, F.lit(" item(s)"))).alias("notes"))
+
+
+def scenario_options(settings: DataFrame, defaults: list[tuple[str, str, str, float | None]], types: str = "scenario_types") -> DataFrame:
+    """scenario_type, option_id, label, value from a map of types to arrays of options; the defaults where there is none."""
+    flat = settings.select(F.explode(types).alias("scenario_type", "_os")).select("scenario_type", F.inline("_os")).select("scenario_type", "option_id", "label", F.col("value_numeric").alias("value"))
+    spare = settings.sparkSession.createDataFrame(defaults, "scenario_type string, option_id string, label string, value double")
+    return flat.unionByName(spare.join(flat.select(F.lit(True).alias("_some")).limit(1), F.lit(True), "left_anti"))

@@ -303,3 +303,22 @@ def test_stream_ingest(spark, tmp_path):
     assert sorted(r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0.0, 1.0]
     counts = ingest.event_counts(spark.read.parquet("/root/testdata/sf0.001/events.parquet"))
     assert counts.agg(F.sum("n_rows")).first()[0] == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+
+
+def test_options_default_only_where_there_are_none(spark):
+    kind = "scenario_types map<string, array<struct<option_id: string, label: string, value_numeric: double>>>"
+    spare = [("growth", "d", "Default", 0.02)]
+    assert [r.option_id for r in E.scenario_options(spark.createDataFrame([({},)], kind), spare).collect()] == ["d"]
+    assert [r.option_id for r in E.scenario_options(spark.createDataFrame([({"growth": [("a", "A", 0.1)]},)], kind), spare).collect()] == ["a"]
+
+
+def test_median_beside_an_outlier(spark):
+    rows = [("a", 1.0 + i / 1e6, 1 + i % 3) for i in range(5000)] + [("a", 1e300, 1), ("b", 0.0, 4), ("b", 7.0, 3), ("c", -2.0, 1)]
+    got = {r.g: r.median for r in evaluate.upper_median(spark.createDataFrame(rows, "g string, v double, n long"), ["g"], "v", "n").collect()}
+    flat = sorted(v for g, v, n in rows if g == "a" for _ in range(n))
+    assert got == {"a": flat[len(flat) // 2], "b": 0.0, "c": -2.0}
+
+
+def test_broken_pages(spark):
+    pages = spark.createDataFrame([(1, "<![x[ y ]]><p>" + "words of a block that is long enough to count</p><!-- never closed")], "page_id long, html string")
+    assert [r.text for r in extract.page_blocks(pages).collect()] == ["words of a block that is long enough to count"]
