@@ -79,7 +79,7 @@ def postings(docs: DataFrame, keys: DataFrame, n_keys: int, text: str, reach: in
     spread = lambda *c: split.select("_row", *c, F.posexplode("_words").alias("pos", "_w")).select("*", F.lower("_w").alias("key"))
     if n_keys > MOST_BROADCAST:  # only single words are shuffled; the texts of rows with hits are fetched once for each row
         at = spread().select("_row", "pos", "key").join(keys, "key", "left_semi").groupBy("_row").agg(F.collect_list(F.struct("pos", "key")).alias("_at"))
-        hit = split.join(at, "_row").select("_row", "_words", F.inline("_at")).withColumn("_w", F.element_at("_words", F.col("pos") + 1))
+        hit = docs.select("_row", text).join(at, "_row").select("_row", pieces(text).alias("_words"), F.inline("_at")).withColumn("_w", F.element_at("_words", F.col("pos") + 1))
     else:
         hit = spread("_words").join(F.broadcast(keys), "key", "left_semi")
     left = F.reverse(F.slice("_words", F.greatest(F.col("pos") - reach, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(reach))))

@@ -120,6 +120,55 @@ def test_pii_learns_contexts(spark):
     assert not got[101].all_spans
 
 
+CANDIDATE = re.compile(r"(?<!\S)(?=\S*?[0-9@])\S++(?: [(]?[0-9]\S*+)*+")
+
+
+def bootstrapped(texts, rounds=3, least=5, sure=0.8):
+    """All spans of each text by plain loops: edges of contexts and instances, rounds of scores, tokens that sure contexts add."""
+    found = []
+    for i, t in enumerate(texts):
+        base = base_spans(t)
+        before = lambda b, t=t: [re.sub("[0-9]", "0", " ".join(w).lower()) for n in (2, 1) if len(w := t[:b].split()[-n:]) == n]
+        found += [(i, b, e, t[b:e], {k}, 1, before(b)) for b, k, e in base]
+        for m in CANDIDATE.finditer(t or ""):
+            if not any(b < m.end() and m.start() < e for b, _, e in base):
+                lead = len(re.match(r"[^0-9A-Za-z+(@]*", m[0])[0])
+                core = re.match(r"[^0-9A-Za-z+(@]*(.*?)[^0-9A-Za-z)]*$", m[0])[1]
+                kinds = {k for k, kind in enumerate(pii.KINDS) if re.search(pii.SHAPES[kind], core)}
+                if len(core) > 4 and kinds:
+                    found.append((i, m.start() + lead, m.start() + lead + len(core), core, kinds, 0, before(m.start())))
+    edges = {}
+    for _, _, _, hit, kinds, seed, contexts in found:
+        for k in kinds:
+            for p in contexts:
+                edges[k, p, hit.lower()] = max(seed, edges.get((k, p, hit.lower()), 0))
+    belief = {(k, x): float(s) for (k, p, x), s in edges.items()}
+    for n in range(rounds):
+        confidence = {}
+        for k, p in {e[:2] for e in edges}:
+            c = [1.0 if s else belief[a, x] * (n > 0) for (a, q, x), s in edges.items() if (a, q) == (k, p)]
+            if sum(v >= sure for v in c) >= least:
+                confidence[k, p] = sum(c) / (len(c) + 1)
+        belief = {(k, x): 1 - np.prod([1 - confidence.get((k, p), 0) for (a, p, y) in edges if (a, y) == (k, x)]) for k, _, x in edges}
+    out = [[(b, k, e) for b, k, e in base_spans(t)] for t in texts]
+    for i, b, e, _, kinds, seed, contexts in found:
+        best = max(((confidence[k, p], -k) for k in kinds for p in contexts if confidence.get((k, p), 0) >= sure), default=None)
+        if not seed and best:
+            out[i].append((b, -best[1], e))
+    return [sorted(x) for x in out]
+
+
+def test_pii_bootstraps(spark):
+    """Contexts of seeds discover identifiers; these make contexts without any seed sure, which discover further ones."""
+    texts = [f"please dial our number +1 (555) 555-{2000 + i} now" for i in range(30)]
+    texts += [f"please dial our number 555-123-{4000 + i} today" for i in range(20)] + [f"ring reception desk 555-123-{4000 + i} again" for i in range(20)]
+    texts += ["ring reception desk 555-777-1234 again", "page 12 of 555-123-9999", "mail a@b.cc or a@b.cc or x at 10.0.0.1, 300.1.2.3", "", "longest" * 20 + " word 555-123-4001"]
+    got = by_id(pii.extract(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    expected = bootstrapped(texts)
+    assert [[tuple(x) for x in got[i].all_spans] for i in range(len(texts))] == expected
+    assert expected[70] and not base_spans(texts[70]) and not expected[71]
+
+
 def test_redaction(docs, odd_ids):
     got = {r.doc_id: r.text for r in pii.redact(docs).collect()}
     for i, t in enumerate(TEXTS):
@@ -390,6 +439,16 @@ def test_contamination(docs, bench, odd_ids, monkeypatch):
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {i for i, t in enumerate(TEXTS) if not contaminated(t, BENCH)[4]}
 
 
+def test_words_are_not_shuffled_with_their_text(docs, bench, monkeypatch):
+    """Beyond the broadcast's limit single words are shuffled, and a text once for each row that has hits."""
+    monkeypatch.setattr(contamination, "MOST_BROADCAST", 0)
+    rows = common.with_row_key(docs.select("doc_id", "text"), "doc_id")
+    keys = bench.sparkSession.createDataFrame([("alpha",)], "key string")
+    plan = contamination.postings(rows, keys, 1, "text", 12)._jdf.queryExecution().optimizedPlan().toString()
+    shuffled = [line for line in plan.split("\n") if "Generate posexplode" in line]
+    assert len(shuffled) == 1 and "_words" not in shuffled[0].split("],")[-1]
+
+
 def test_items_without_id_are_found(spark):
     docs = spark.createDataFrame([(1, "just four words here"), (2, "say alpha beta gamma"), (3, "nothing of these")], "doc_id long, text string")
     items = spark.createDataFrame([(None, "just four words here"), (None, "alpha beta gamma"), (7, "beta gamma")], "item_id long, text string")
