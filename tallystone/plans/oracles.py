@@ -191,7 +191,33 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'top sources', row_number() OVER (ORDER BY n DESC, source_citation), source_citation || ': ' || n || ' row(s)' FROM tops
         UNION ALL SELECT 'caveats', row_number() OVER (ORDER BY metric_id), label || ': ' || agreement_flag FROM card WHERE validation_status <> 'Ready'"""),
 }
+_any = lambda c, words: "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
+_keywords = [w for _, ws in C.CLASSES for w in ws]
+_label = "CASE " + " ".join(f"WHEN {_any('near', ws)} THEN '{name}'" for name, ws in C.CLASSES) + " ELSE 'value' END"
+
+
+def _found(kind: str, pattern: str, near: int) -> str:
+    """CTEs with every match of a pattern: its place follows from the lengths of the gaps and matches in front."""
+    around = lambda n: f"lower(substr(t, greatest(s - {n}, 0) + 1, s + length(hit) + {n} - greatest(s - {n}, 0)))"
+    return f"""{kind}_a AS (SELECT id, t, regexp_extract_all(t, '{pattern}') AS hs, regexp_split_to_array(t, '{pattern}') AS gs FROM chosen),
+      {kind}_b AS (SELECT id, t, unnest(hs) AS hit, generate_subscripts(hs, 1) AS i, list_transform(gs, lambda g: length(g)) AS gl, list_transform(hs, lambda h: length(h)) AS hl FROM {kind}_a),
+      {kind}_c AS (SELECT id, t, hit, i, (list_sum(gl[1:i]) + coalesce(list_sum(hl[1:i - 1]), 0))::BIGINT AS s FROM {kind}_b),
+      {kind}_d AS (SELECT id, i - 1 AS pos, hit, replace(replace(hit, ',', ''), ' ', '') AS plain, {around(near)} AS near, {around(500)} AS wide FROM {kind}_c)"""
+
+
+POINTS = f"""chosen AS (SELECT doc_id AS id, text AS t FROM documents WHERE {_any('lower(text)', C.ALIASES)} AND {_any('lower(text)', _keywords)} AND regexp_matches(text, '[0-9]')),
+  {_found('percent', '[0-9]+(?:[.][0-9]+)?[ \\t\\n\\f\\r]*%', 100)}, {_found('number', '[0-9]{{1,3}}(?:,[0-9]{{3}})+(?:[.][0-9]+)?|[0-9]+(?:[.][0-9]+)?', 200)},
+  points AS (SELECT id, pos, 'percent' AS kind, {_label} AS label, regexp_extract(hit, '^[0-9.]+') || '%' AS found FROM percent_d WHERE TRY_CAST(regexp_extract(hit, '^[0-9.]+') AS DOUBLE) BETWEEN 0 AND 100
+    UNION ALL SELECT id, pos, 'number', {_label}, hit FROM number_d WHERE TRY_CAST(plain AS DOUBLE) >= 0.01 AND NOT (TRY_CAST(plain AS DOUBLE) BETWEEN 1900 AND 2050 AND NOT contains(plain, '.'))
+      AND NOT regexp_full_match(plain, '[0-9]+[.][0-9]{{4}}') AND {_any('near', _keywords)} AND {_any('wide', C.ALIASES)})"""
+_labels = ("incidence", "prevalence", "mortality", "survival", "rate", "value")
+_rank = "CASE label " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(_labels)) + " ELSE 6 END"
 ORACLES |= {
+    "text_datapoints": f"WITH {POINTS} SELECT id, pos::BIGINT AS pos, kind, label, found FROM points",
+    "dedupe_datapoints": f"""WITH {POINTS}, r AS (SELECT *, regexp_replace(found, '[, %]', '', 'g') AS plain, {_rank} AS r, CASE kind WHEN 'percent' THEN 0 ELSE 1 END AS k FROM points),
+        f AS (SELECT *, row_number() OVER (PARTITION BY id, plain ORDER BY r, k, pos, found, label) AS nth FROM r WHERE NOT (label = 'value' AND TRY_CAST(plain AS DOUBLE) < 10)),
+        o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY r, k, pos, found, label) AS place, count(*) OVER (PARTITION BY id) AS n FROM f WHERE nth = 1)
+        SELECT id, CASE WHEN max(n) = 1 THEN max(found) ELSE string_agg(found || ' (' || label || ')', '; ' ORDER BY place) FILTER (place <= 15) END AS summary FROM o GROUP BY id""",
     "safe_names": "SELECT DISTINCT p_name || ', ' || p_type AS name, replace(replace(p_name || ', ' || p_type, ' ', '_'), ',', '') AS safe FROM part",
     "label_keys": "SELECT r_name, CASE WHEN r_name IN ('ASIA', 'EUROPE') THEN r_name WHEN r_name = 'AMERICA' THEN 'AM' WHEN r_name = 'AFRICA' THEN 'AF' END AS key FROM region",
     "context_aliases": "SELECT DISTINCT p_name, CASE " + " ".join(f"WHEN contains(lower(trim(p_name)), '{k}') THEN '{','.join(names)}'" for k, names in C.CONTEXTS) + " ELSE lower(trim(p_name)) END AS aliases FROM part",

@@ -8,7 +8,7 @@ import pytest
 
 from tallystone.plans import catalogue
 
-ROWS_ONLY = {"text_datapoints", "dedupe_datapoints", "page_datapoints"}
+ROWS_ONLY = {"page_datapoints"}
 
 
 @pytest.fixture(scope="module")
