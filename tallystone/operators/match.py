@@ -41,6 +41,20 @@ def match_synonyms(labels: DataFrame, column: str, synonyms: dict[str, list[str]
     )
 
 
+def match_labels(labels: DataFrame, column: str, vector: str, synonyms: dict[str, list[str]], protos: DataFrame, name: str = "label", threshold: float = 0.5, near: float = 0.6) -> DataFrame:
+    """label, metric_id, score, how: by synonyms; else by the nearest prototype, `vector` from a cosine of near on and `weak vector` under it; else a slug.
+
+    labels: one row for each label, with its vector (null: none). Only labels that no synonym matches are compared.
+    """
+    found = match_synonyms(labels, column, synonyms, threshold)
+    rest = labels.select(F.col(column).alias("label"), F.col(vector).alias("_vector")).join(found.where(F.col("how") == "slug").select("label"), "label", "left_semi")
+    by_vector = match_vectors(rest, protos, "label", "_vector", name).select("label", F.col("matched").cast("string").alias("_id"), F.col("score").alias("_score"))
+    both = found.join(by_vector, "label", "left")
+    hit = F.coalesce(F.col("_score") > 0, F.lit(False))
+    how = F.when(hit & (F.col("_score") >= near), "vector").when(hit, "weak vector").otherwise(F.col("how"))
+    return both.select("label", F.when(hit, F.col("_id")).otherwise(F.col("metric_id")).alias("metric_id"), F.when(hit, F.col("_score")).otherwise(F.col("score")).alias("score"), how.alias("how"))
+
+
 def explain(matches: DataFrame, synonyms: dict[str, list[str]]) -> DataFrame:
     """Adds explanation to match_synonyms(): the name, its score, how it was found, and the first two synonyms that the label meets."""
     dictionary = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(s).alias("s")) for m, ss in synonyms.items() for s in ss])

@@ -421,3 +421,21 @@ def change_log(spark, sf):
     )
     values = spark.createDataFrame([(("x" if s % 2 == 0 else "m") + str(s), 10.0 * s, f"S{s}", "high" if s % 3 else None) for s in range(1, 31)] + [("m4", 44.0, "S4m", "low")], "id string, value double, source string, confidence string")
     return curated.change_log(cells, values, C.CELL_LABELS)
+
+
+@query
+def curated_for_place(spark, sf):
+    nation, region = E.read(spark, sf, "nation"), E.read(spark, sf, "region")
+    null = F.lit(None).cast("string")
+    entry = F.struct(F.col("n_nationkey").cast("string").alias("value"), null.alias("year"), F.when(F.col("n_nationkey") % 3 != 0, F.col("n_name")).alias("geography"), null.alias("tier"), null.alias("confidence"))
+    rows = nation.join(region, nation["n_regionkey"] == region["r_regionkey"])
+    maps = rows.groupBy(F.col("r_name").alias("indication")).agg(F.map_from_entries(F.collect_list(F.struct("n_name", entry))).alias("entries"))
+    return E.explode_curated(maps, places=places(spark), place="First Nation").select("indication", "metric", "geography", "value")
+
+
+@query
+def label_match(spark, sf):
+    vectors = E.read(ship(spark), sf, "embeddings")
+    items = E.read(spark, sf, "part").join(vectors, F.col("p_partkey") == F.col("vec_id"))
+    labels = items.select(F.when(F.col("p_partkey") % 2 == 0, F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string"))).otherwise(F.concat(F.lit("item "), F.col("p_partkey").cast("string"))).alias("label"), "embedding")
+    return match.match_labels(labels, "label", "embedding", C.SYNONYMS, match.prototypes(vectors))

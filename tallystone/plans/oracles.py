@@ -191,6 +191,16 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'top sources', row_number() OVER (ORDER BY n DESC, source_citation), source_citation || ': ' || n || ' row(s)' FROM tops
         UNION ALL SELECT 'caveats', row_number() OVER (ORDER BY metric_id), label || ': ' || agreement_flag FROM card WHERE validation_status <> 'Ready'"""),
 }
+_dictionary = values([(m, s, i) for i, (m, s) in enumerate((m, s) for m, ss in C.SYNONYMS.items() for s in ss)], "d(m, syn, pos)")
+ORACLES |= {
+    "curated_for_place": "SELECT r_name AS indication, n_name AS metric, CASE WHEN n_nationkey % 3 <> 0 THEN n_name END AS geography, n_nationkey::VARCHAR AS value FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 3 = 0 OR lower(trim(n_name)) IN ('nation_1', 'n1', 'first nation')",
+    "label_match": f"""WITH l AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN p_name || ' ' || p_partkey ELSE 'item ' || p_partkey END AS label, embedding FROM part JOIN embeddings ON p_partkey = vec_id),
+        d AS (SELECT * FROM {_dictionary}), x AS (SELECT label, m, pos, CASE WHEN lower(trim(label)) = syn THEN 0.95::DOUBLE WHEN contains(lower(trim(label)), syn) THEN 0.75 + 0.15::DOUBLE * length(syn) / length(trim(label)) WHEN contains(syn, lower(trim(label))) THEN 0.65::DOUBLE ELSE 0::DOUBLE END AS sc FROM l, d),
+        b AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sc DESC, pos) AS k FROM x), u AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), a AS (SELECT label, i, avg(x) AS x FROM u GROUP BY ALL), p AS (SELECT label AS g, list(x ORDER BY i) AS v FROM a GROUP BY 1),
+        c AS (SELECT label, g, round(list_cosine_similarity(embedding::DOUBLE[], v), 6) AS cs FROM l, p), n AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY cs DESC, g) AS j FROM c)
+        SELECT b.label, CASE WHEN sc >= 0.5 THEN m WHEN cs > 0 THEN g::VARCHAR ELSE trim(regexp_replace(lower(b.label), '[^a-z0-9]+', '_', 'g'), '_') END AS metric_id, CASE WHEN sc >= 0.5 THEN round(sc, 4) WHEN cs > 0 THEN round(cs, 4) ELSE 0 END AS score,
+        CASE WHEN sc >= 0.5 THEN 'synonym' WHEN cs >= 0.6 THEN 'vector' WHEN cs > 0 THEN 'weak vector' ELSE 'slug' END AS how FROM b JOIN n ON b.label = n.label WHERE k = 1 AND j = 1""",
+}
 _any = lambda c, words: "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
 _keywords = [w for _, ws in C.CLASSES for w in ws]
 _label = "CASE " + " ".join(f"WHEN {_any('near', ws)} THEN '{name}'" for name, ws in C.CLASSES) + " ELSE 'value' END"

@@ -50,12 +50,14 @@ class Result:
         self.held.unpersist()
 
 
-def run(spark: SparkSession, rows: DataFrame, config: Config) -> Result:
-    """Routes, filters, validates, enriches and evaluates evidence rows.
+def run(spark: SparkSession, rows: DataFrame | list[tuple[str, DataFrame]], config: Config) -> Result:
+    """Rows may be one table, or several with their names, which are united in the order of tiers. Routes, filters, validates, enriches and evaluates evidence rows.
 
     Conflicts, tidy rows and forecasts see the rows before enrichment. In strict mode errors stop the run. The enriched
     rows feed most tables, so they are persisted once, on disk where memory is short.
     """
+    if isinstance(rows, list):
+        rows = E.union_by_tier(rows)[0].drop("tier", "tier_order", "source_name", "_at")
     kept, log = E.route_tiers(rows)
     base = E.keep_informative(E.for_run(kept, config.source, config.geography), config.keep_links)
     findings = quality.validate_evidence(base)

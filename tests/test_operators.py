@@ -322,3 +322,14 @@ def test_median_beside_an_outlier(spark):
 def test_broken_pages(spark):
     pages = spark.createDataFrame([(1, "<![x[ y ]]><p>" + "words of a block that is long enough to count</p><!-- never closed")], "page_id long, html string")
     assert [r.text for r in extract.page_blocks(pages).collect()] == ["words of a block that is long enough to count"]
+
+
+def test_pipeline_unites_named_sources(spark, sf_dir):
+    rows = E.from_star(spark, sf_dir).limit(400)
+    config = pipeline.Config(as_of=2001, metrics=[("demand_standard", "Standard demand", True, [])])
+    one, two = pipeline.run(spark, rows, config), pipeline.run(spark, [("a", rows), ("b", rows)], config)
+    try:
+        assert two.held.count() == 2 * one.held.count() > 0 and two.held.columns == one.held.columns
+    finally:
+        one.close()
+        two.close()
