@@ -150,7 +150,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document.
 
     Contaminated: some word is hit, and at least one word in `share`. Null texts have no words; repeated rows and
-    repeated ids are judged row by row; without benchmark rows nothing is hit. Items of null id count for n_hit and
+    repeated ids are judged row by row, very long texts whole; without benchmark rows nothing is hit. Other columns of
+    docs don't matter. Items of null id count for n_hit and
     contaminated, not for n_items and items_sha256.
     """
     rows = with_row_key(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "doc_id")

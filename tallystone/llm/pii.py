@@ -146,7 +146,9 @@ def all_spans(rows: DataFrame, keep: list[str], text: str, **how) -> DataFrame:
 def extract(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """doc_id, base and all_spans of every row.
 
-    Null texts have no spans. Positions are code points, ends exclusive. Repeated rows are searched one by one.
+    Null and empty texts have no spans, very long ones are searched whole. Positions are code points, ends exclusive.
+    Repeated rows are searched one by one; of several kinds for one token the surest wins, then the first of KINDS. An
+    empty table gives an empty result; other columns of docs don't matter.
     """
     rows = with_row_key(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "doc_id")
     return all_spans(rows, ["doc_id"], "_text", **how).drop("_row")

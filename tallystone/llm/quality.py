@@ -114,7 +114,7 @@ def judge_hosts(stats: DataFrame, host: str = "source", strict: float = 0.674, d
 
 
 def host_quality(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text", **limits) -> DataFrame:
-    """text_stats() and judge_hosts() of every row; repeated rows are judged one by one.
+    """text_stats() and judge_hosts() of every whole text, however long; repeated rows are judged one by one.
 
     The statistics, a few numbers a row, go to the shared folder, so texts are read once.
     """
