@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import bpe, contamination, html, jaccard, langid, pii, quality, suffixes, toxicity, urls
+from . import bpe, contamination, html, jaccard, langid, minhash, pii, quality, spelling, suffixes, toxicity, urls, vectorcodes
 from .common import fold
 from .oracles import ORACLES  # noqa: F401
 
@@ -63,4 +63,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_suffix_dedup, op4_html_extraction, op5_url_filters, op6_language_id, op7_decontamination, op8_bpe, op9_jaccard_join, op10_toxicity)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.codes(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_suffix_dedup, op4_html_extraction, op5_url_filters, op6_language_id, op7_decontamination, op8_bpe, op9_jaccard_join, op10_toxicity, op11_spelling_variants, op12_minhash, op13_vector_codes)}
