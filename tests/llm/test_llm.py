@@ -3,6 +3,7 @@
 import binascii
 import hashlib
 import html as html_lib
+import math
 import re
 from collections import Counter
 from pathlib import Path
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tallystone.llm import bpe, common, contamination, graph, html, jaccard, langid, pii, quality, queries, suffixes, toxicity, urls
+from tallystone.llm import bpe, common, contamination, graph, html, jaccard, langid, minhash, pii, quality, queries, spelling, suffixes, toxicity, urls, vectorcodes
 
 TOKENS = public_tokenizers.path("word_bpe_49k.json")
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -61,9 +62,10 @@ def by_id(df):
 def test_empty_tables(spark, docs, bench):
     none, no_items = docs.limit(0), bench.limit(0)
     labels = spark.createDataFrame([], "doc_id long, toxic int")
-    for made in (pii.extract(none), quality.host_quality(none), suffixes.remove_repeats(none), langid.learn_and_identify(none, ["doc_id"]), contamination.contamination(none, bench), bpe.encode(none, ["doc_id"], TOKENS), jaccard.join_ids(none), toxicity.learn_and_score(none, labels, ["doc_id"]), pii.redact(none), jaccard.one_of_each(none), contamination.decontaminated(none, bench)):
+    for made in (pii.extract(none), quality.host_quality(none), suffixes.remove_repeats(none), langid.learn_and_identify(none, ["doc_id"]), contamination.contamination(none, bench), bpe.encode(none, ["doc_id"], TOKENS), jaccard.join_ids(none), toxicity.learn_and_score(none, labels, ["doc_id"]), pii.redact(none), jaccard.one_of_each(none), contamination.decontaminated(none, bench), minhash.near_duplicates(none), minhash.one_of_each(none), spelling.variants(none)):
         assert made.count() == 0
     assert html.extract(spark.createDataFrame([], "page_id long, html string"), ["page_id"]).count() == 0
+    assert vectorcodes.codes(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
     assert urls.filter_urls(spark.createDataFrame([], "page_id long, url string"), ["page_id"], []).count() == 0
     assert contamination.contamination(docs, no_items).where("n_hit > 0 or contaminated").count() == 0
     assert toxicity.learn_and_score(docs, labels, ["doc_id"]).where("predicted = 1").count() == 0
@@ -640,11 +642,176 @@ def test_folds(docs):
         assert r.f == binascii.crc32(str(r.doc_id).encode()) % 4
 
 
+def test_minhash(docs, odd_ids):
+    want = components_of({i: shingles(t) for i, t in enumerate(TEXTS)}, 80)
+    got = by_id(minhash.near_duplicates(docs))
+    assert all((got[i].n_shingles, got[i].component_id, got[i].kept) == (len(shingles(t)), want[i], want[i] == i) for i, t in enumerate(TEXTS))
+    assert minhash.near_duplicates(odd_ids).count() == odd_ids.count()
+    one = minhash.one_of_each(docs)
+    assert one.columns == docs.columns and {r.doc_id for r in one.collect()} == set(want.values())
+
+
+@pytest.mark.parametrize("percent,width", [(80, 5), (50, 1)])
+def test_minhash_loses_no_link(spark, percent, width):
+    """Near copies of one text whose links are few: hubs don't join them all, so the buckets' rest must."""
+    rng = np.random.default_rng(percent)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(150):
+        words, at = list(base), rng.choice(120, rng.integers(1, 12 if width > 1 else 60), replace=False)
+        for j in at:
+            words[j] = f"x{i}-{j}" if i % 3 else f"y{j}"
+        texts.append(" ".join(words))
+    sets = {i: {tuple(w[j : j + width]) for j in range(len(w) - width + 1)} for i, w in enumerate(map(str.split, texts))}
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    got = by_id(minhash.near_duplicates(rows, percent=percent, width=width))
+    assert {i: r.component_id for i, r in got.items()} == components_of(sets, percent)
+
+
+def test_minima():
+    rng = np.random.default_rng(3)
+    sets = [rng.integers(0, 2**64, n, dtype=np.uint64) for n in (1, 7, 500)]
+    a, b = minhash.family(16)
+    for row, s in zip(minhash.minima(sets, 16), sets):
+        assert row.tolist() == [min((int(x) * int(m) + int(c)) % 2**64 for x in s) >> 32 for m, c in zip(a, b)]
+    assert 60 <= minhash.least_agreeing(80, 128) <= 80
+
+
+def spelling_brute(rows, min_length=7, min_count=2):
+    """The contract by plain loops."""
+    counts = Counter()
+    for i, t in rows:
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", t or ""):
+            run = run.translate(UP)
+            h = binascii.crc32(f"{'' if i is None else i}:{run}".encode())
+            counts[run[: h % len(run)] + run[h % len(run) + 1 :] if h % 31 == 0 else run] += 1
+    words = {w: n for w, n in counts.items() if len(w) >= min_length and n >= min_count}
+    near = {w: [] for w in words}
+    for a, b in near_brute(words):
+        near[a].append(b)
+        near[b].append(a)
+    best = {w: min(v, key=lambda o: (-words[o], o), default=None) for w, v in near.items()}
+    form = {w: b if b and words[b] >= 10 * words[w] else None for w, b in best.items()}
+
+    def root(w):
+        return root(form[w]) if form[w] else w
+
+    return {(w, form[w], root(w), n, len(near[w]), words[form[w]] if form[w] else None) for w, n in words.items()}
+
+
+def near_brute(words):
+    """Pairs that share what is left without one code point, at one place, or of which one is what is left of the other."""
+    words, found = set(words), set()
+    left = {}
+    for w in words:
+        for i in range(len(w)):
+            rest = w[:i] + w[i + 1 :]
+            left.setdefault((i, rest), []).append(w)
+            if rest in words:
+                found.add(tuple(sorted((w, rest))))
+    return found | {tuple(sorted((a, b))) for ws in left.values() for a in ws for b in ws if a < b}
+
+
+def test_spelling(docs, odd_ids):
+    for rows in (docs, odd_ids):
+        want = spelling_brute([(r.doc_id, r.text) for r in rows.collect()])
+        assert {tuple(r) for r in spelling.variants(rows).collect()} == want
+
+
+def test_spelling_chains(spark):
+    words = {"banananas": 3000, "banananaz": 200, "banananazz": 15, "banenanazz": 1, "banananass": 300, "ananananan": 40, "anananana": 4}
+    rows = [(1000 * k + i, w) for k, (w, n) in enumerate(words.items()) for i in range(n + 1)] + [(None, "Banananas"), (7, None)]
+    got = {tuple(r) for r in spelling.variants(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == spelling_brute(rows)
+    assert any(r[1] and r[1] != r[2] for r in got)
+
+
+@pytest.mark.parametrize("alphabet,most", [("ab", 3), ("ab", 100_000), ("abcdeé", 50), ("aß", 1)])
+def test_near_words(spark, alphabet, most):
+    """Every pair is found, for few letters too, where grams repeat within a word and nearly all are frequent."""
+    rng = np.random.default_rng(len(alphabet) + most)
+    words = {"".join(rng.choice(list(alphabet), rng.integers(7, 13))) for _ in range(1500)} | {"a" * n for n in (7, 8, 9, 3000, 3001)} | {"b" * 40 + "a" * 40, "b" * 40 + "a" * 39}
+    rows = spark.createDataFrame([(w, 2) for w in sorted(words)], "word string, n long").repartition(3)
+    got = [(r.a, r.b) for r in spelling.near_words(rows, most=most).collect()]
+    assert len(got) == len(set(map(frozenset, got)))
+    assert {tuple(sorted(p)) for p in got} == near_brute(words)
+
+
+def test_grams_bound_what_an_edit_spoils():
+    rng = np.random.default_rng(5)
+    frequent = {"ab": 50, "ba": 40, "aba": 30, "aa": 60, "aaa": 20, "bab": 9, "aaaa": 5}
+    for _ in range(300):
+        w = "".join(rng.choice(list("ab"), rng.integers(7, 12)))
+        found, bound = spelling.grams(w, frequent)
+        at = int(rng.integers(0, len(w)))
+        for other in (w[:at] + w[at + 1 :], w[:at] + "c" + w[at:], w[:at] + "c" + w[at + 1 :], w + "b"):
+            rest = Counter(g for g, _ in spelling.grams(other, frequent)[0])
+            assert sum((Counter(g for g, _ in found) & rest).values()) >= len(found) - bound
+
+
+def lloyd(rows, parts=16, entries=64, rounds=2, scale=256):
+    """Codes, errors and codebooks of (id, vector) by plain rounds over all entries."""
+    kept = sorted((i, [math.floor(scale * x) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v))
+    size = len(kept[0][1]) // parts
+    cut = [[tuple(v[p * size : (p + 1) * size]) for p in range(parts)] for _, v in kept]
+    books = [[c[p] for c in cut[:entries]] for p in range(parts)]
+    far = lambda x, c: sum((a - b) ** 2 for a, b in zip(x, c))
+    assign = lambda: [[min(range(len(books[p])), key=lambda e: (far(c[p], books[p][e]), e)) for p in range(parts)] for c in cut]
+    for _ in range(rounds):
+        codes = assign()
+        for p in range(parts):
+            for e in range(len(books[p])):
+                mine = [c[p] for c, code in zip(cut, codes) if code[p] == e]
+                if mine:
+                    books[p][e] = tuple(sum(x) // len(mine) for x in zip(*mine))
+    codes = assign()
+    errors = [sum(far(c[p], books[p][code[p]]) for p in range(parts)) for c, code in zip(cut, codes)]
+    return {i: ("".join(f"{e:02x}" for e in code), error) for (i, _), code, error in zip(kept, codes, errors)}, books
+
+
+def test_vector_codes(spark):
+    rng = np.random.default_rng(13)
+    vectors = [[float(np.float32(x)) for x in v] for v in np.round(rng.normal(0, 0.02, (300, 32)) * 64) / 64 + rng.choice([0, 0.5], (300, 1))]
+    rows = [(i, v, None if i % 7 == 0 else i % 3, 9) for i, v in enumerate(vectors)] + [(500, None, 1, 0), (501, [None] + [0.0] * 31, 1, 0), (502, [float("nan")] * 32, None, 0), (503, [float("inf")] + [0.0] * 31, 1, 0), (504, vectors[0], 2, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, code int").repartition(5)
+    want, books = lloyd([(i, v) for i, v, *_ in rows])
+    got = {r.vec_id: r for r in vectorcodes.codes(df).collect()}
+    assert {i: (r.code, r.error) for i, r in got.items()} == want
+    sums = Counter()
+    for i, _, label, _ in rows:
+        sums[label] += want.get(i, ("", 0))[1]
+    assert all(got[i].label_error == sums[label] for i, _, label, _ in rows if i in got)
+    digest = sha(",".join(str(x) for p in books for e in p for x in e))
+    assert {r.codebooks_sha256 for r in got.values()} == {digest}
+    coded, learnt = vectorcodes.compress(df)
+    back = {r.id: r.v for r in vectorcodes.decompress(coded, learnt).collect()}
+    assert all(sum((math.floor(256 * x) - y) ** 2 for x, y in zip(vectors[i], back[i])) == want[i][1] for i in range(300))
+
+
+def test_active_entries_give_what_all_entries_give():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        x, old = rng.integers(-3, 4, (200, 2)), rng.integers(-3, 4, (9, 2))
+        code, far = vectorcodes.nearest(x, old)
+        new = np.where(rng.random((9, 1)) < 0.4, rng.integers(-3, 4, (9, 2)), old)
+        got = vectorcodes.reassign(x, code, far, new, (new != old).any(1))
+        assert all((a == b).all() for a, b in zip(got, vectorcodes.nearest(x, new)))
+
+
+def test_vectors_of_odd_sizes(spark):
+    """Few rows, repeated and null ids, short, empty and huge vectors."""
+    rows = [(1, [1.0, 2.0, 3.0], 1), (1, [1.0, 2.0, 3.0], 1), (None, [], None), (2, [1e30] * 20, None), (3, [-1e30], 1)]
+    got = vectorcodes.codes(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id or 0) for r in got) == [0, 1, 1, 2, 3] and all(r.error == 0 and len(r.code) == 32 for r in got)
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_run(spark, sf_dir, name):
-    """One row for each row of the table, whatever the query."""
-    source = "pages" if name.startswith(("op4", "op5")) else "documents"
-    assert queries.QUERIES[name](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/{source}.parquet").count()
+    """One row for each row of the table, whatever the query; op11 has one for each word."""
+    source = {"op4": "pages", "op5": "pages", "op13": "embeddings"}.get(name.split("_")[0], "documents")
+    rows = spark.read.parquet(f"{sf_dir}/{source}.parquet")
+    want = spelling.word_counts(rows) if name.startswith("op11") else rows
+    assert queries.QUERIES[name](spark, sf_dir).count() == want.count()
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
