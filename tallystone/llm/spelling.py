@@ -6,10 +6,10 @@ the frequent grams alone: a gram is frequent if it occurs more often than total
 `most` of each length are sent to the tasks, whatever the corpus.
 
 One edit spoils only the grams that reach over its place. A word's bound is the largest number of grams that lie over one
-of its code points; near words share all their other grams, at places that differ by one at most. So if the grams of both words are
-ordered from rare to frequent, their first common one is among the bound + 1 first of each: only these short lists are
-merged, by (gram, length, place). The edit lies on one side of a common gram, so pairs whose words differ both before and
-after it go at once; the others are verified by edit distance. Both happen within the join, so candidates are never stored.
+of its code points; near words share all their other grams. So if the grams of both words are
+ordered from rare to frequent, their first common one is among the bound + 1 first of each: only these lists are merged.
+The edit lies on one side of a common gram, so what lies on the other side is the same in both words: a gram's list is cut
+up by that and by the words' length. Pairs are verified by edit distance within the join, so candidates are never stored.
 
 Null and empty texts have no words, a null id counts as the empty text, repeated rows count as often as they occur, an empty table gives
 an empty one, other columns are not read. Texts and words of any length are taken whole. Ties between forms go to the
@@ -35,7 +35,7 @@ _lower = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 HELD = 200_000
 #: Forms are broadcast where there are no more than this.
 MOST_BROADCAST = 200_000
-SHORTEST, LONGEST = 2, 5
+SHORTEST, LONGEST = 2, 4
 
 
 def edited(run: str, doc_id: str, every: int = 31) -> str:
@@ -127,28 +127,23 @@ def near_words(words: DataFrame, min_length: int = 7, most: int = 100_000) -> Da
 
     def run(batches):
         for batch in batches:
-            at, gram, place, before, after = [], [], [], [], []
+            at, place, end = [], [], []
             for i, w in enumerate(batch.column(0).to_pylist()):
                 for g, p in rarest(w, frequent.value, longest):
                     at.append(i)
-                    gram.append(g)
                     place.append(p)
-                    before.append(crc32(w[:p].encode()))
-                    after.append(crc32(w[p + len(g) :].encode()))
+                    end.append(p + len(g))
             both = [batch.column(c).take(pa.array(at, pa.int64())) for c in (0, 1)]
-            sides = [pa.array(x, pa.uint32()).view(pa.int32()) for x in (before, after)]
-            yield pa.RecordBatch.from_arrays([*both, pa.array(gram, pa.string()), pa.array(place, pa.int32()), *sides], names=["word", "n", "gram", "place", "before", "after"])
+            yield pa.RecordBatch.from_arrays([*both, pa.array(place, pa.int32()), pa.array(end, pa.int32())], names=["word", "n", "place", "end"])
 
-    lists = materialise(words.select("word", "n").mapInArrow(run, "word string, n long, gram string, place int, before int, after int"), "grams")
+    lists = materialise(words.select("word", "n").mapInArrow(run, "word string, n long, place int, end int"), "grams")
     size = F.length("word")
-    key = lambda length, place: F.xxhash64("gram", length, place)
-    left = lists.select(key(size, F.col("place")).alias("key"), F.col("word").alias("a"), F.col("n").alias("na"), F.col("before").alias("ba"), F.col("after").alias("aa"))
-    # words of the same length meet at the same place; of a longer word the place is the same, or one further
-    keys = F.array(key(size, F.col("place")), key(size - 1, F.col("place")), key(size - 1, F.col("place") - 1))
-    right = lists.select(F.explode(keys).alias("key"), F.col("word").alias("b"), F.col("n").alias("nb"), F.col("before").alias("bb"), F.col("after").alias("ab"))
-    side = (F.col("ba") == F.col("bb")) | (F.col("aa") == F.col("ab"))
+    # a gram's list holds the words that agree in it and in all that lies on one side of it; a word also looks into those of words one shorter
+    keys = lambda *sizes: F.explode(F.array(*[k for s in sizes for k in (F.xxhash64(F.lit(0), F.left("word", "end"), s), F.xxhash64(F.lit(1), F.substring("word", F.col("place") + 1, size), s))]))
+    left = lists.select(keys(size).alias("key"), F.col("word").alias("a"), F.col("n").alias("na"))
+    right = lists.select(keys(size, size - 1).alias("key"), F.col("word").alias("b"), F.col("n").alias("nb"))
     once = (F.length("a") < F.length("b")) | (F.col("a") < F.col("b"))
-    pairs = left.join(right, (left["key"] == right["key"]) & side & once & (F.levenshtein("a", "b", 1) == 1))
+    pairs = left.join(right, (left["key"] == right["key"]) & once & (F.levenshtein("a", "b", 1) == 1))
     return pairs.select("a", "na", "b", "nb").distinct()
 
 
