@@ -57,6 +57,15 @@ def test_upsert_of_all_orders_into_all_customers(spark, duck, sf_dir):
     assert {tuple(r) for r in catalogue.QUERIES["curated_upsert"](spark, sf_dir).select("key", "value", "change").collect()} == expected
 
 
+def test_bench_knows_every_name():
+    import __spark_entry__ as entry
+    import bench
+
+    names = bench.chosen(entry.queries())
+    assert len(names) == len(set(names)) and set(bench.HEADLINE) <= set(entry.queries())
+    assert bench.chosen(["options_flat", "op10_b", "op2_a", "open"])[len(bench.HEADLINE) :] == ["op2_a", "op10_b"]
+
+
 def test_every_oracle_has_a_query():
     assert set(catalogue.ORACLES) == set(catalogue.QUERIES) - ROWS_ONLY
 
