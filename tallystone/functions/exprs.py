@@ -77,10 +77,10 @@ def recency_score(c: Column | str, as_of: int) -> Column:
     return F.when(y >= as_of - 1, 5).when(y >= as_of - 5, 3).otherwise(0)
 
 
-def confidence_score(as_of: int, tier: str = "source_tier", value: str = "value", url: str = "source_url", year: str = "year_or_range", context: tuple[str, ...] = ("definition", "year_or_range", "geography", "population")) -> Column:
-    """Tier, extraction, completeness, recency and URL points, between 0 and 100."""
+def confidence_score(as_of: int, tier: str = "source_tier", value: str = "value", url: str | Column = "source_url", year: str = "year_or_range", context: tuple[str, ...] = ("definition", "year_or_range", "geography", "population")) -> Column:
+    """Tier, extraction, completeness, recency and URL points, between 0 and 100. url is a column's name, or whether there is one."""
     complete = sum((F.when(is_blank(c), 0).otherwise(CONTEXT_FIELD) for c in context), F.lit(0))
-    points = tier_score(tier) + F.when(is_stub(value), 0).otherwise(EXTRACTED) + complete + recency_score(year, as_of) + F.when(is_blank(url), 0).otherwise(WITH_URL)
+    points = tier_score(tier) + F.when(is_stub(value), 0).otherwise(EXTRACTED) + complete + recency_score(year, as_of) + F.when(~is_blank(url) if isinstance(url, str) else url, WITH_URL).otherwise(0)
     return F.greatest(F.lit(0), F.least(F.lit(100), points))
 
 
@@ -105,6 +105,13 @@ def resolve_url(citation: Column | str, keys: list[tuple[str, str]], whole_words
     return F.when(embedded != "", embedded).when(article != "", F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), article, F.lit("/"))).otherwise(by_key)
 
 
+def has_url(citation: Column | str, keys: list[tuple[str, str]], whole_words: bool = False) -> Column:
+    """Whether resolve_url() finds one, without making it."""
+    c = col(citation)
+    hit = (lambda k: key(c).rlike(rf"\b{k}\b")) if whole_words else (lambda k: F.contains(F.lower(c), F.lit(k)))
+    return F.coalesce(reduce(lambda a, b: a | b, [hit(k) for k, _ in keys], c.rlike(r"https?://[^\s)\]\"']|(?i:PMID)[:\s]+\d{6}")), F.lit(False))
+
+
 def slug(c: Column | str) -> Column:
     """Lower case, with `_` for any run of other characters, and none at the ends."""
     return F.regexp_replace(F.regexp_replace(F.lower(col(c)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
@@ -138,12 +145,13 @@ def candidates(text: Column | str, rules: list[tuple[list[str], str]]) -> Column
     return F.array_distinct(F.array_compact(F.array(*[F.when(has(words), F.lit(name)) for words, name in rules])))
 
 
-def plausible_number(c: Column | str) -> Column:
-    """A number of 0.01 or more that is neither a year from 1900 to 2050 nor a version such as 2.2025."""
+def plausible_number(c: Column | str, years: tuple[int, int] = (1900, 2050), versions: bool = True) -> Column:
+    """A number of 0.01 or more that is neither a year nor, with versions, a text such as 2.2025."""
     text = F.regexp_replace(col(c), "[, ]", "")
     n = text.try_cast("double")
-    year = (n >= 1900) & (n <= 2050) & ~F.contains(text, F.lit("."))
-    return F.coalesce((n >= 0.01) & ~year & ~text.rlike(r"^\d+\.\d{4}$"), F.lit(False))
+    year = (n >= years[0]) & (n <= years[1]) & ~F.contains(text, F.lit("."))
+    version = text.rlike(r"^\d+\.\d{4}$") if versions else F.lit(False)
+    return F.coalesce((n >= 0.01) & ~year & ~version, F.lit(False))
 
 
 def relevance(text: Column | str, reference: Column | str, terms: list[str]) -> Column:
@@ -184,3 +192,17 @@ def aliases_of(context: Column | str, table: list[tuple[str, list[str]]]) -> Col
     c = key(context)
     lists = [F.when(F.contains(c, F.lit(k)), F.array(*[F.lit(a) for a in names])) for k, names in table]
     return F.coalesce(*lists, F.when(c != "", F.array(c)), F.array().cast("array<string>"))
+
+
+def phrases(text: Column | str, rules: list[tuple[list[list[str]], list[str], list[str]]], suffix: str) -> Column:
+    """The phrases to search for a label: those of the first rule that fits, in its order.
+
+    A rule is (alternatives, none of, phrases): it fits if all words of one alternative are in the text, and none of the words
+    ruled out. Without a rule it is the label without what stands in brackets, alone and with the suffix; for a blank one the suffix alone.
+    """
+    c = F.coalesce(match_text(text), F.lit(""))
+    has = lambda w: F.contains(c, F.lit(w))
+    fits = lambda ways, none: reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, map(has, way)) for way in ways]) & ~reduce(lambda a, b: a | b, map(has, none), F.lit(False))
+    base = F.trim(F.regexp_replace(F.coalesce(col(text), F.lit("")), r"\s*\([^)]*\)\s*", " "))
+    plain = F.when(base != "", F.array(base, F.concat(base, F.lit(" " + suffix)))).otherwise(F.array(F.lit(suffix)))
+    return F.coalesce(*[F.when(fits(ways, none), F.array(*map(F.lit, out))) for ways, none, out in rules], plain)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,3 +79,23 @@ def change_log(cells: DataFrame, values: DataFrame, labels: dict[str, str] | Non
     log = best.select(F.col("b.id").alias("metric_id"), "cell", "old", X.same_percent("b.value", "old").alias("new"), F.col("b.source").alias("source"), F.coalesce("b.confidence", F.lit("")).alias("confidence"), F.lit("dry_run" if dry_run else "updated").alias("status"))
     away = F.abs(F.col("new") - F.col("old")) / F.greatest(F.abs("old"), F.lit(1e-6))
     return log.where(F.col("new").isNotNull() & (F.col("old").isNull() | (away > tolerance)))
+
+
+def cascade(cells: DataFrame, values: DataFrame, options: dict[str, str], core: dict[str, int | str]) -> DataFrame:
+    """step, cell, metric_id, old, new, source of the cells that values reach in three steps, each with its own lookup.
+
+    cells: cell, row (their order), label, old; values: metric_id, label, value, source. `option`: a metric's value goes to the first row whose
+    label is exactly the one that options give it. `core`: to the row that core gives its metric, by number or as the
+    first of a label. `label`: a row takes the first value (by metric) whose label is its own, whatever the case. Values
+    that are null reach nothing. A cell may be reached by several steps; the later ones overwrite, so all are listed.
+    """
+    given = values.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    rows = lambda wanted: given.sparkSession.createDataFrame(wanted or [("", "")], "metric_id string, _label string").join(given, "metric_id")
+    first = lambda df: df.groupBy("metric_id").agg(F.min(F.struct("row", "cell", "old", "value", "source")).alias("b")).select("metric_id", "b.*")
+    by_label = lambda wanted: first(rows(wanted).join(cells.withColumnRenamed("label", "_label"), "_label"))
+    numbers = given.sparkSession.createDataFrame([(m, n) for m, n in core.items() if isinstance(n, int)] or [("", -1)], "metric_id string, row long")
+    by_number = numbers.join(given, "metric_id").join(cells.select(F.col("row").cast("long").alias("row"), "cell", "old"), "row").select("metric_id", "row", "cell", "old", "value", "source")
+    firsts = given.where(F.trim("label") != "").groupBy(F.lower("label").alias("_key")).agg(F.min(F.struct("metric_id", "value", "source")).alias("b"))
+    blind = cells.join(firsts, F.lower("label") == F.col("_key")).select("b.metric_id", "row", "cell", "old", "b.value", "b.source")
+    steps = [("option", by_label(list(options.items()))), ("core", by_number.unionByName(by_label([(m, t) for m, t in core.items() if isinstance(t, str)]), allowMissingColumns=True)), ("label", blind)]
+    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("step"), "cell", "metric_id", "old", F.col("value").alias("new"), "source") for name, df in steps])

@@ -37,10 +37,11 @@ def add_clusters(df: DataFrame, exact: dict[str, str], patterns: list[tuple[str,
 
 
 def enrich(df: DataFrame, as_of: int, url_keys: list[tuple[str, str]], exact: dict[str, str], patterns: list[tuple[str, str]], labels: dict[str, str]) -> DataFrame:
-    """All steps, as one projection that Catalyst keeps in a single stage."""
+    """All steps, in a single stage. The score asks whether there is a URL, and doesn't carry the expression that makes it."""
+    linked = ~X.is_blank("source_url") | X.has_url("source_citation", url_keys)
+    df = df.withColumn("computed_confidence_score", X.confidence_score(as_of, url=linked).cast("long"))
     df = df.withColumn("confidence", X.legacy_confidence("confidence"))
     df = add_urls(df, url_keys)
-    df = df.withColumn("computed_confidence_score", X.confidence_score(as_of).cast("long"))
     df = df.withColumn("computed_confidence", X.confidence_label("computed_confidence_score"))
     df = add_clusters(df, exact, patterns, labels)
     return df.withColumn("value_num", X.first_number("value")).withColumn("tier_rank", X.tier_rank("source_tier"))

@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 from functools import reduce
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,9 +15,26 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..functions.spans import with_matches
 from ..session import stored
+from .pages import closed
 
 NUMBER = r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?"
-NEAR, WIDE, CLOSE = 200, 500, 100
+
+
+
+class Windows(NamedTuple):
+    """How numbers are taken from a text: characters on both sides that class a percentage and a number, and those within
+    which a number needs an alias (None: none needed); a fixed label of percentages; the years that aren't numbers; whether texts
+    such as 2.2025 are versions; how many characters of a text are read (None: all)."""
+
+    percent: int = 100
+    number: int = 200
+    alias: int | None = 500
+    percent_label: str | None = None
+    years: tuple[int, int] = (1900, 2050)
+    versions: bool = True
+    most: int | None = None
+
+
 LABELS = ("incidence", "prevalence", "mortality", "survival", "rate", "value")
 
 
@@ -25,29 +43,35 @@ def mentions(text: str, words: list[str]):
     return reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in words])
 
 
-def datapoints(docs: DataFrame, id_col: str, text: str, classes: list[tuple[str, list[str]]], aliases: list[str]) -> DataFrame:
-    """id, pos, kind, label, found: percentages from 0 to 100, and plausible numbers near a keyword and an alias.
+def datapoints(docs: DataFrame, id_col: str, text: str, classes: list[tuple[str, list[str]]], aliases: list[str], windows: Windows = Windows()) -> DataFrame:
+    """id, pos, kind, label, found: percentages from 0 to 100, and plausible numbers near a keyword, and an alias where the windows ask for one.
 
-    Texts without alias, keyword or digit are dropped in the scan. All of it runs in the JVM, without a shuffle. A percentage is classed by the 100 characters
-    on both sides, a number by 200; a number also needs an alias within 500.
+    Texts without keyword, digit or (if asked for) alias are dropped in the scan. All of it runs in the JVM, without a shuffle.
     """
     words = [w for _, ws in classes for w in ws]
-    some = docs.where(mentions(text, aliases) & mentions(text, words) & F.col(text).rlike("[0-9]")).select(F.col(id_col).alias("id"), F.col(text).alias("t"))
-    return _found(some, "percent", r"\d+(?:\.\d+)?\s*%", classes, aliases).unionByName(_found(some, "number", NUMBER, classes, aliases))
+    wanted = mentions(text, words) & F.col(text).rlike("[0-9]")
+    if windows.alias is not None:
+        wanted = mentions(text, aliases) & wanted
+    read = F.col(text) if windows.most is None else F.left(text, F.lit(windows.most))
+    some = docs.where(wanted).select(F.col(id_col).alias("id"), read.alias("t"))
+    return _found(some, "percent", r"\d+(?:\.\d+)?\s*%", classes, aliases, windows).unionByName(_found(some, "number", NUMBER, classes, aliases, windows))
 
 
-def _found(some: DataFrame, kind: str, pattern: str, classes: list[tuple[str, list[str]]], aliases: list[str]) -> DataFrame:
+def _found(some: DataFrame, kind: str, pattern: str, classes: list[tuple[str, list[str]]], aliases: list[str], windows: Windows) -> DataFrame:
     words = [w for _, ws in classes for w in ws]
     each = with_matches(some, "ms", "t", pattern, F.lit(True)).select("id", "t", F.posexplode("ms").alias("pos", "m")).select("id", "t", F.col("pos").cast("long").alias("pos"), "m.start", "m.end", "m.hit")
     first = lambda n: F.greatest(F.col("start") - n, F.lit(0))
     around = lambda n: F.lower(F.substring("t", first(n) + 1, F.col("end") + n - first(n)))
-    placed = each.withColumn("near", around(CLOSE if kind == "percent" else NEAR))
+    placed, label = each.withColumn("near", around(windows.percent if kind == "percent" else windows.number)), X.first_class("near", classes)
     if kind == "percent":
         number = F.regexp_extract("hit", r"^[\d.]+", 0)
         placed = placed.where(number.try_cast("double").between(0, 100)).withColumn("hit", F.concat(number, F.lit("%")))
+        label = F.lit(windows.percent_label) if windows.percent_label else label
     else:
-        placed = placed.withColumn("wide", around(WIDE)).where(X.plausible_number("hit") & mentions("near", words) & mentions("wide", aliases))
-    return placed.select("id", "pos", F.lit(kind).alias("kind"), X.first_class("near", classes).alias("label"), F.col("hit").alias("found"))
+        placed = placed.where(X.plausible_number("hit", windows.years, windows.versions) & mentions("near", words))
+        if windows.alias is not None:
+            placed = placed.withColumn("wide", around(windows.alias)).where(mentions("wide", aliases))
+    return placed.select("id", "pos", F.lit(kind).alias("kind"), label.alias("label"), F.col("hit").alias("found"))
 
 
 def summarise(points: DataFrame, most: int = 15) -> DataFrame:
@@ -85,7 +109,10 @@ class Blocks(HTMLParser):
         self.cells: list[str] | None = None
 
     def parse_html_declaration(self, i):
-        """Declarations and marked sections end at the next `>`, comments of every kind are skipped; one that isn't closed takes the rest."""
+        """Declarations and marked sections end at the next `>`, comments at their own end; one that isn't closed takes the rest."""
+        if self.rawdata.startswith("<!--", i):
+            end = self.rawdata.find("-->", i + 4)
+            return end + 3 if end >= 0 else len(self.rawdata)
         end = self.rawdata.find(">", i)
         return end + 1 if end >= 0 else len(self.rawdata)
 
@@ -148,7 +175,7 @@ def page_blocks(pages: DataFrame, id_col: str = "page_id", html: str = "html", l
             out: list[list] = [[], [], [], [], []]
             for key, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 parser = Blocks()
-                parser.feed(page or "")
+                parser.feed(closed(page or ""))
                 parser.close()
                 found = [("block", b, "") for b in parser.blocks if len(b) > least] + [("row", r, c) for r, c in parser.rows]
                 for pos, (what, text, context) in enumerate(found):
@@ -211,18 +238,25 @@ def roots(pages: DataFrame, within: str = HOST, id_col: str = "page_id") -> Data
     return pages.groupBy(F.regexp_extract("url", within, 1).alias("site")).agg(F.min(F.struct(id_col, "url")).alias("p")).select("p.url")
 
 
-def crawl(pages: DataFrame, links: DataFrame, start: DataFrame, depth: int = 4, within: str = HOST) -> DataFrame:
+def crawl(pages: DataFrame, links: DataFrame, start: DataFrame, depth: int = 4, within: str = HOST, held_only: bool = True, enough: DataFrame | None = None) -> DataFrame:
     """url, depth: what start reaches over links (src, dst) within a host, or another part of the URL, each at its least depth.
 
-    One join a level; the pages seen so far are joined out, so that cycles end. Every frontier is stored, so a level's
-    plan doesn't hold those before it.
+    held_only leaves out URLs that pages don't hold. Links of the pages in enough (url), which have given what was looked
+    for, aren't followed. One join a level; the URLs seen so far are joined out, so that cycles end. Every frontier is
+    stored, so a level's plan doesn't hold those before it.
     """
     host = lambda c: F.regexp_extract(c, within, 1)
     seen = frontier = start.select("url", F.lit(0).cast("long").alias("depth")).distinct()
     known = pages.select("url").distinct()
+    links = links.select("src", "dst")
+    if enough is not None:
+        links = links.join(enough.select(F.col("url").alias("src")).distinct(), "src", "left_anti")
     for level in range(1, depth + 1):
         step = frontier.join(links, frontier["url"] == links["src"]).where(host("dst") == host("src")).select(F.col("dst").alias("url")).distinct()
-        frontier = stored(step.join(seen, "url", "left_anti").join(known, "url", "left_semi").select("url", F.lit(level).cast("long").alias("depth")), "frontier")
+        step = step.join(seen, "url", "left_anti")
+        if held_only:
+            step = step.join(known, "url", "left_semi")
+        frontier = stored(step.select("url", F.lit(level).cast("long").alias("depth")), "frontier")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)

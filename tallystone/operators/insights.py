@@ -53,3 +53,18 @@ def best_of(df: DataFrame, by: str, count: str, label: str) -> DataFrame:
     """Of several phrasings the one with the highest count; ties by label."""
     best = F.max_by(F.col(label), F.struct(F.col(count), F.col(label)))
     return df.groupBy(by).agg(F.max(count).alias("best_count"), best.alias("best_label"), F.count("*").alias("n_tried"))
+
+
+def best_with_notes(df: DataFrame, by: str, phrase: str, count: str, order: str, listed: int = 4, cut: int = 48, length: int = 900) -> DataFrame:
+    """by, best_count, best_label, n_tried, notes of several phrasings of each subject: the highest count, and the first counts in the order of trial.
+
+    A phrasing without count has failed: it is tried, but not listed. Of equal counts the first tried is best; without any above 0 there is
+    none. A subject's phrasings are those that a rule lists, so their few entries are ordered within one aggregate.
+    """
+    got = F.col(count).isNotNull()
+    entry = F.struct(F.col(order).alias("o"), F.concat(F.left(phrase, F.lit(cut)), F.lit(": "), F.col(count).cast("string")).alias("t"))
+    best = F.min(F.when(F.col(count) > 0, F.struct((-F.col(count)).alias("n"), F.col(order).alias("o"), F.col(phrase).alias("p"))))
+    sums = df.groupBy(by).agg(F.coalesce(F.max(count), F.lit(0)).cast("long").alias("best_count"), best.alias("b"), F.count("*").alias("n_tried"), F.array_sort(F.collect_list(F.when(got, entry))).alias("es"))
+    head = F.concat(F.col("best_count").cast("string"), F.lit(" found (best of "), F.col("n_tried").cast("string"), F.lit(" phrasings). "))
+    notes = F.left(F.concat(head, F.array_join(F.transform(F.slice("es", 1, listed), lambda e: e["t"]), "; ")), F.lit(length))
+    return sums.select(by, "best_count", F.col("b.p").alias("best_label"), "n_tried", notes.alias("notes"))

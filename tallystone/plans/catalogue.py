@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import build, curated, enrich, evaluate, extract, insights, match, quality, report, sinks
-from ..session import ship, stored
+from ..session import ship, stored, tuned
 from ..sources import evidence as E
 from . import config as C
 from .oracles import ORACLES, YEARS
@@ -21,7 +21,7 @@ def query(f):
 
 
 def raw(spark: SparkSession, sf: str) -> DataFrame:
-    return E.from_star(spark, sf)
+    return E.from_star(tuned(spark), sf)
 
 
 def enriched(spark: SparkSession, sf: str) -> DataFrame:

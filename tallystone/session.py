@@ -13,6 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 _shipped: set[str] = set()
 
 
+#: The JVM doesn't compile methods of more bytecode than this. Spark's own limit is far above it, and beyond the JVM's a generated stage runs interpreted.
+HUGE_METHOD = ("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
+def tuned(spark: SparkSession) -> SparkSession:
+    """Lets stages with very many expressions run by operator, in methods that the JVM compiles. A limit set by the user stays."""
+    if spark.conf.get(HUGE_METHOD[0], None) in (None, "65535"):
+        spark.conf.set(*HUGE_METHOD)
+    return spark
+
+
 def get_session(app: str = "tallystone", master: str | None = None, **conf: str) -> SparkSession:
     """A session with UTC time and adaptive execution. Memory, cores and shuffle partitions are left to the cluster."""
     builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
@@ -20,7 +31,7 @@ def get_session(app: str = "tallystone", master: str | None = None, **conf: str)
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    return tuned(builder.getOrCreate())
 
 
 def ship(spark: SparkSession) -> SparkSession:

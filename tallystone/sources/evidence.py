@@ -21,6 +21,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out to all cores if it comes from fewer files than there are: a file's rows are often one task's. Tables of many files are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def with_columns(df: DataFrame, columns: tuple[str, ...] | list[str]) -> DataFrame:
     """The columns in order, matched by trimmed lower-case header; missing ones are null, others dropped, all text."""
     have = {c.strip().lower().replace(" ", "_"): c for c in reversed(df.columns)}
@@ -45,6 +51,7 @@ def from_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     t = lambda name: read(spark, sf_dir, name)
     line = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+    line = spread(line)
     nation, region = t("nation"), t("region")
     homes = nation.join(region, nation.n_regionkey == region.r_regionkey).select(F.col("n_nationkey").alias("home_key"), "r_name")
     rows = (
