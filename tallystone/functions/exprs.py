@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 TIER_SCORES = {"gold": 35, "silver": 22}
 TIER_DEFAULT = 15
 EXTRACTED, CONTEXT_FIELD, WITH_URL = 30, 6, 5
+RECENT, RECENT_ENOUGH = 5, 3
+HIGH, MEDIUM = 70, 40
 TIERS = ("gold", "silver", "bronze")
 
 
@@ -74,7 +76,7 @@ def tier_score(c: Column | str) -> Column:
 
 def recency_score(c: Column | str, as_of: int) -> Column:
     y = recent_year(c)
-    return F.when(y >= as_of - 1, 5).when(y >= as_of - 5, 3).otherwise(0)
+    return F.when(y >= as_of - 1, RECENT).when(y >= as_of - 5, RECENT_ENOUGH).otherwise(0)
 
 
 def confidence_score(as_of: int, tier: str = "source_tier", value: str = "value", url: str | Column = "source_url", year: str = "year_or_range", context: tuple[str, ...] = ("definition", "year_or_range", "geography", "population")) -> Column:
@@ -85,7 +87,7 @@ def confidence_score(as_of: int, tier: str = "source_tier", value: str = "value"
 
 
 def confidence_label(score: Column | str) -> Column:
-    return F.when(col(score) >= 70, "high").when(col(score) >= 40, "medium").otherwise("low")
+    return F.when(col(score) >= HIGH, "high").when(col(score) >= MEDIUM, "medium").otherwise("low")
 
 
 def legacy_confidence(c: Column | str) -> Column:

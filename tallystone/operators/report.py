@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import exprs as X
+
 
 def lines(df: DataFrame, section: str, order: list, line) -> DataFrame:
     n = F.row_number().over(Window.orderBy(*order)).cast("long")
@@ -37,6 +39,21 @@ def evidence_summary(card: DataFrame, mix: DataFrame, top: DataFrame) -> DataFra
     return of_card.unionByName(confidence).unionByName(sources)
 
 
+def rubric(mix: DataFrame) -> DataFrame:
+    """How confidence is scored, from the weights in use, and what each label means, with its number of rows. mix: computed_confidence, n_rows."""
+    spark = mix.sparkSession
+    tiers = ", ".join(f"{t} {n}" for t, n in X.TIER_SCORES.items())
+    factors = [
+        f"Source tier: up to {max(X.TIER_SCORES.values())} points ({tiers}, others {X.TIER_DEFAULT})", f"Extraction: {X.EXTRACTED} points for a value, none for a link",
+        f"Completeness: {X.CONTEXT_FIELD} points each for definition, year, geography and population", f"Recency: {X.RECENT} points within a year, {X.RECENT_ENOUGH} within five", f"URL: {X.WITH_URL} points",
+    ]
+    fixed = spark.createDataFrame([("factors", i + 1, t) for i, t in enumerate(factors)], "section string, ord long, line string")
+    edges = [("high", X.HIGH, 100), ("medium", X.MEDIUM, X.HIGH - 1), ("low", 0, X.MEDIUM - 1)]
+    labels = spark.createDataFrame([(name, i + 1, f"{low} to {high}: {name}") for i, (name, low, high) in enumerate(edges)], "name string, ord long, text string")
+    counted = labels.join(mix, labels["name"] == mix["computed_confidence"], "left")
+    return fixed.unionByName(counted.select(F.lit("labels").alias("section"), "ord", F.concat("text", F.lit(", "), F.coalesce("n_rows", F.lit(0)).cast("string"), F.lit(" row(s)")).alias("line")))
+
+
 def render(report: DataFrame, title: str) -> str:
     """The report as Markdown."""
     out, last = [f"# {title}"], None

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import build, curated, enrich, evaluate, extract, insights, match, quality, report, sinks
-from ..session import ship, stored, tuned
+from ..operators import build, curated, enrich, evaluate, extract, insights, match, pages, quality, report, sinks
+from ..session import shared_dir, ship, stored, tuned
 from ..sources import evidence as E
+from ..sources import explore as P
 from . import config as C
 from .oracles import ORACLES, YEARS
 
@@ -235,10 +238,21 @@ def alias_resolve(spark, sf):
     return E.resolve_places(E.read(spark, sf, "nation").select(F.col("n_name").alias("place")), places(spark), "place")
 
 
+def suppliers(spark: SparkSession, sf: str) -> DataFrame:
+    """A source catalogue from the suppliers: link and API sources with URL templates, places, priorities and gates."""
+    k, place = F.col("s_suppkey"), F.lower("n_name")
+    rows = E.read(spark, sf, "supplier").join(E.read(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    url = F.when(k % 3 == 0, "https://ledger.example.org/?q={subject_q}&c={place}").when(k % 3 == 1, "https://notes.example.org/{place_q}/{subject}").otherwise(F.concat(F.lit("https://archive.example.org/"), k.cast("string")))
+    return rows.select(
+        F.concat(F.lit("s"), k.cast("string")).alias("id"), F.col("s_name").alias("name"), F.when(k % 4 == 0, "gold").otherwise("bronze").alias("tier"), F.when(k % 5 == 4, "api").otherwise("link").alias("kind"), url.alias("url"),
+        F.when(k % 3 == 0, "demand_standard").when(k % 3 == 1, "demand_none").otherwise("demand_medium").alias("metric"), F.nullif(k % 4, F.lit(0)).alias("priority"),
+        F.when(k % 2 == 0, F.array(place)).otherwise(F.array().cast("array<string>")).alias("places"), F.when(k % 10 == 4, "counts").when(k % 20 == 9, "trials").alias("connector"), F.when(k % 7 == 0, "use_counts").when(k % 7 == 1, "use_links").when(k % 7 == 2, "other").alias("enabled_when"),
+    )
+
+
 @query
 def catalogue_links(spark, sf):
-    sources = spark.createDataFrame(C.SOURCES, "id string, name string, tier string, kind string, url string, metric string, priority int, places array<string>")
-    return E.catalogue_links(sources, places(spark), "red widget & co", "Nation_0")
+    return E.catalogue_links(suppliers(spark, sf), places(spark), "red widget & co", "Nation_0")
 
 
 @query
@@ -344,10 +358,10 @@ def stale_partitions(spark, sf):
 
 @query
 def crawl_frontier(spark, sf):
-    pages = E.read(spark, sf, "pages").select("page_id", "url")
-    child = pages.select(F.col("url").alias("src"), F.explode(F.array(2 * F.col("page_id") + 1, 2 * F.col("page_id") + 2)).alias("c"))
-    links = child.join(pages, F.col("c") == F.col("page_id")).select("src", F.col("url").alias("dst"))
-    return extract.crawl(pages, links, extract.roots(pages, extract.SITE), within=extract.SITE)
+    held = E.read(ship(spark), sf, "pages")
+    links = pages.page_links(held, most=150)
+    given = page_datapoints(spark, sf).groupBy("page_id").agg(F.count("*").alias("n")).where("n >= 2").join(held.select("page_id", "url"), "page_id")
+    return extract.crawl(held, links, held.select("url"), held_only=False, enough=given)
 
 
 @query
@@ -390,7 +404,7 @@ def synonym_explain(spark, sf):
 
 @query
 def catalogue_enabled(spark, sf):
-    return E.enabled(spark.createDataFrame(C.GATED, "id string, kind string, connector string, enabled_when string"), C.FLAGS, C.CONNECTORS).select("id", "kind")
+    return E.enabled(suppliers(spark, sf), C.FLAGS, C.CONNECTORS).select("id", "kind")
 
 
 @query
@@ -408,8 +422,11 @@ def landed_answers(spark, sf):
 
 @query
 def options_flat(spark, sf):
-    settings = spark.createDataFrame([(C.OPTION_TYPES,)], "scenario_types map<string, array<struct<option_id: string, label: string, value_numeric: double>>>")
-    return E.scenario_options(settings, C.OPTION_DEFAULTS)
+    k = F.col("n_nationkey")
+    option = F.struct(F.concat(F.lit("o"), k.cast("string")).alias("option_id"), F.col("n_name").alias("label"), F.when(k % 4 != 0, k / 100).alias("value_numeric"))
+    rows = E.read(spark, sf, "nation").join(E.read(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    types = rows.groupBy("r_name").agg(F.collect_list(option).alias("options"))  # a setting: a nation each
+    return E.scenario_options(types.agg(F.map_from_entries(F.collect_list(F.struct("r_name", "options"))).alias("scenario_types")), C.OPTION_DEFAULTS)
 
 
 @query
@@ -436,6 +453,160 @@ def curated_for_place(spark, sf):
 @query
 def label_match(spark, sf):
     vectors = E.read(ship(spark), sf, "embeddings")
-    items = E.read(spark, sf, "part").join(vectors, F.col("p_partkey") == F.col("vec_id"))
+    items = E.read(spark, sf, "part").join(vectors, F.col("p_partkey") == F.col("vec_id"), "left")
     labels = items.select(F.when(F.col("p_partkey") % 2 == 0, F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string"))).otherwise(F.concat(F.lit("item "), F.col("p_partkey").cast("string"))).alias("label"), "embedding")
     return match.match_labels(labels, "label", "embedding", C.SYNONYMS, match.prototypes(vectors))
+
+
+@query
+def page_elements(spark, sf):
+    kinds = extract.with_extractor(E.read(ship(spark), sf, "pages"), C.PAGE_KINDS)
+    return pages.page_elements(kinds, C.PAGE_RULES).withColumnRenamed("id", "page_id")
+
+
+@query
+def element_datapoints(spark, sf):
+    keyed = page_elements(spark, sf).select(F.struct("page_id", "pos").alias("at"), "text")
+    return extract.datapoints(keyed, "at", "text", C.CLASSES, C.ALIASES).select("id.page_id", F.col("id.pos").alias("block"), "pos", "kind", "label", "found")
+
+
+@query
+def near_datapoints(spark, sf):
+    return extract.datapoints(E.read(spark, sf, "documents"), "doc_id", "text", C.NEAR_CLASSES, [], C.NEAR)
+
+
+def registry_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """A page for each customer with orders, as a registry lands it: a table by year, whose headings span, and one by status."""
+    td = lambda *cells: F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td> "), c.cast("string"), F.lit("</td>")) for c in cells], F.lit("</tr>\n"))
+    orders, n = E.read(spark, sf, "orders"), F.col("n")
+    years = orders.groupBy("o_custkey", F.year("o_orderdate").alias("y")).agg(F.count("*").alias("n"), F.max(F.col("o_totalprice").cast("long")).alias("m"))
+    year = td(F.col("y"), n, n + 1, F.when(n % 2 == 0, (10 * n).cast("string")).otherwise("-"), F.concat(F.col("m").cast("string"), F.lit(" %")))
+    trend = years.groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_list(year)), "").alias("trend"))
+    statuses = orders.groupBy("o_custkey", "o_orderstatus").agg(F.count("*").alias("n"))
+    groups = statuses.groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_list(td(F.col("o_orderstatus"), n))), "").alias("groups"))
+    head = '<table id="trend"><thead><tr><th rowspan="2">Year<th colspan="2">A<th>B<th>Share</tr><tr><th>Seen<th>Modelled<th>Seen<th>%</tr></thead>'
+    html = F.concat(F.lit(head), "trend", F.lit('</table><p>By status</p><table id="groups"><caption>Status</caption>'), "groups", F.lit("</table>"))
+    return trend.join(groups, "o_custkey").select(F.col("o_custkey").alias("page_id"), html.alias("html"))
+
+
+@query
+def registry_tables(spark, sf):
+    tables = pages.html_tables(registry_pages(ship(spark), sf))
+    trend = pages.registry_entries(tables, "trend", [("count", [3, 1]), ("share", [4])])
+    return trend.unionByName(pages.registry_entries(tables, "groups", [("orders", [1])], {"O": "open", "F": "filled"}))
+
+
+@query
+def search_phrases(spark, sf):
+    return E.read(spark, sf, "part").select("p_name").distinct().select("p_name", F.array_join(X.phrases("p_name", C.PHRASES, "part"), "|").alias("phrases"))
+
+
+@query
+def phrasing_notes(spark, sf):
+    rows = E.read(spark, sf, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
+    tried = rows.select("source", "lang", F.when(F.col("lang") != "es", F.col("n")).alias("n"))
+    return insights.best_with_notes(tried, "source", "lang", "n", "lang")
+
+
+@query
+def cascade_cells(spark, sf):
+    part, k = E.read(spark, sf, "part"), F.col("p_partkey")
+    cells = part.select(F.concat(F.lit("C"), k.cast("string")).alias("cell"), k.alias("row"), F.when(k % 3 == 0, F.col("p_type")).when(k % 3 == 1, F.lower("p_type")).otherwise(F.col("p_name")).alias("label"), F.col("p_retailprice").alias("old"))
+    best = part.groupBy("p_type").agg(F.max("p_retailprice").alias("value"), F.count("*").alias("n"))
+    values = best.select(F.concat(F.lit("m_"), F.lower("p_type")).alias("metric_id"), F.initcap("p_type").alias("label"), "value", F.concat(F.lit("of "), F.col("n").cast("string")).alias("source"))
+    return curated.cascade(cells, values, C.OPTIONS, C.CORE)
+
+
+@query
+def rubric_lines(spark, sf):
+    return report.rubric(insights.distribution(enriched(spark, sf), "computed_confidence"))
+
+
+def _balance(subject, payload):
+    yield {"metric": "balance", "value": payload, "notes": f"of {subject}"}
+
+
+def _signs(subject, payload):
+    if payload.startswith("-"):
+        raise ValueError("debt")
+    return [{"metric": f"digit_{i}", "value": d} for i, d in enumerate(payload[:2])]
+
+
+def _unreachable(subject, payload):
+    raise OSError("not reachable")
+
+
+def connected(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    k = F.col("c_custkey")
+    source = F.when(k % 4 == 0, "ledger").when(k % 4 == 1, "signs").when(k % 4 == 2, "away").otherwise("unknown")
+    requests = E.read(ship(spark), sf, "customer").select(F.when(k % 4 == 0, "gold").otherwise("silver").alias("tier"), source.alias("source"), F.col("c_name").alias("subject"), F.round(F.col("c_acctbal") * 100).cast("long").cast("string").alias("payload"))
+    return P.run_connectors(requests, {"gold:ledger": _balance, "silver:signs": _signs, "silver:away": _unreachable})
+
+
+@query
+def connector_rows(spark, sf):
+    return connected(spark, sf)[0]
+
+
+@query
+def connector_log(spark, sf):
+    return connected(spark, sf)[1]
+
+
+@query
+def exploration(spark, sf):
+    k, page = F.col("page_id"), E.read(ship(spark), sf, "pages")
+    sources = page.select(
+        k.alias("id"), F.concat(F.lit("Page "), k.cast("string")).alias("name"), F.when(k % 3 == 0, "gold").otherwise("bronze").alias("tier"), F.when(k % 10 == 9, "api").otherwise("link").alias("kind"), "url",
+        F.when(k % 4 == 0, "incidence").when(k % 4 == 1, "demand_standard").when(k % 4 == 2, "other").alias("metric"), F.nullif(k % 5, F.lit(0)).alias("priority"),
+        F.when(k % 6 == 0, F.array(F.lit("n0"))).when(k % 6 == 1, F.array(F.lit("elsewhere"))).otherwise(F.array().cast("array<string>")).alias("places"), F.when(k % 20 == 9, "counts").alias("connector"), F.when(k % 7 == 0, "use_counts").alias("enabled_when"),
+    )
+    part = E.read(spark, sf, "part").groupBy(F.concat(F.lit("demand_"), F.lower("p_type")).alias("metric")).agg(F.count("*").cast("string").alias("value"))
+    known = part.select("metric", "value", F.lit("Parts").alias("source_citation"), F.lit("gold").alias("tier"))
+    points = element_datapoints(spark, sf)
+    found = extract.summarise(points.withColumnRenamed("page_id", "id")).join(page.select(k.alias("id"), "url"), "id")
+    answers = E.read(spark, sf, "region").select(F.lit("counts").alias("connector"), F.concat(F.lit("region_"), F.col("r_regionkey").cast("string")).alias("metric"), F.length("r_name").cast("string").alias("value"), F.col("r_name").alias("notes"))
+    return P.explore(sources, known, found, places(spark), "red widget", "Nation_0", C.FLAGS, C.LINK_METRICS, 100, answers)
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+
+
+@query
+def csv_evidence(spark, sf):
+    """Evidence written as CSV under other headers, and read by the CSV source."""
+    path, given = scratch(spark, "csv"), ["metric", "value", "source_citation", "source_tier", "population"]
+    raw(spark, sf).select(*[F.col(c).alias(c.replace("_", " ").title()) for c in given], F.lit("x").alias("Extra")).write.option("header", True).option("escape", '"').csv(path)
+    return E.read_csv(spark, path).select("indication", *given)
+
+
+@query
+def csv_order(spark, sf):
+    """Rows of the sorted CSV sink by metric, and how many stand before a greater one in their file."""
+    path = scratch(spark, "sorted")
+    sinks.write_by_metric(raw(spark, sf).select("_ord", "metric", "value"), path)
+    read = spark.read.csv(path, header=True).withColumn("_file", F.input_file_name()).withColumn("_at", F.monotonically_increasing_id())
+    before = F.lag(F.struct("metric", "_ord")).over(Window.partitionBy("_file").orderBy("_at"))
+    marked = read.withColumn("wrong", F.coalesce(before > F.struct("metric", "_ord"), F.lit(False)))
+    return marked.groupBy("metric").agg(F.count("*").alias("n_rows"), F.count_if("wrong").alias("n_wrong"))
+
+
+@query
+def run_partitions(spark, sf):
+    """Rows by run after a second write that replaces one run's partition."""
+    path, rows = scratch(spark, "runs"), raw(spark, sf).select("indication", "metric", "value")
+    sinks.write_table(rows, path, ["indication"])
+    sinks.write_table(rows.where((F.col("indication") == "ASIA") & (F.col("metric") == "demand_standard")), path, ["indication"])
+    return spark.read.parquet(path).groupBy("indication").agg(F.count("*").alias("n_rows"), F.countDistinct("metric").alias("n_metrics"))
+
+
+def _fetched(url):
+    if "?" in url:
+        raise ValueError("queries are not fetched")
+    return url.upper()
+
+
+@query
+def polite_fetch(spark, sf):
+    return extract.polite(E.read(ship(spark), sf, "pages").select("url"), _fetched, pause=0.0)

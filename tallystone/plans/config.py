@@ -1,5 +1,8 @@
 """Settings of the registered queries. All names and values are made up."""
 
+from ..operators.extract import Windows
+from ..operators.pages import Rule
+
 AS_OF = 2001
 
 #: id, label, required, evidence ids that stand in where the id itself has no rows.
@@ -44,26 +47,23 @@ PLACES = [
     ("nation_2", "nation_2", "N02"), ("nation_3", "nation_3", "N03"), ("nation_7", "nation_7", "N07"),
 ]
 
-#: id, name, tier, kind, url, metric, priority (null: 99), places it is for (none: all).
-SOURCES = [
-    ("s1", "Open ledger", "gold", "link", "https://ledger.example.org/?q={subject_q}&c={place}", "demand_standard", 2, ["n0"]),
-    ("s2", "Market notes", "bronze", "link", "https://notes.example.org/{place_q}", "demand_large", None, []),
-    ("s3", "Trade registry", "silver", "link", "https://registry.example.org/{subject}", "demand_small", 1, ["nation_1", "nation_2"]),
-    ("s4", "Count service", "silver", "api", None, "demand_any", 5, []),
-    ("s5", "Archive", "gold", "link", "https://archive.example.org/", "demand_medium", 3, []),
-]
-
 SCENARIOS = [("base", "Base", 0.0), ("low", "Low", -0.05), ("high", "High", 0.08)]
 GROWTH = {"demand_standard": 0.02, "demand_large": -0.01}
 
 KEYS, KEY_NAMES = ["ASIA", "EUROPE"], {"AMERICA": "AM", "AFRICA": "AF"}
 CONTEXTS = [("red", ["red", "crimson"]), ("blue", ["blue", "azure", "navy"]), ("ring", ["ring"])]
 PAGE_KINDS = [("example.org/de", "german"), ("example.org", "org"), ("example.net", "net")]
+#: Rules by kind of page: elements, how many of them, the length that a text must exceed.
+PAGE_RULES = {"german": Rule(("p", "li", "div"), 200, 20), "org": Rule(("h1", "p"), 150, 40), "net": Rule(("div", "p", "h1", "td"), 5, 20)}
+#: Keywords and windows of the plainer extractor.
+NEAR_CLASSES = [("incidence", ["thing"]), ("prevalence", ["hand"]), ("cases", ["tion"])]
+NEAR = Windows(number=80, alias=None, percent_label="percent", years=(1900, 2030), versions=False)
+#: Alternatives (all words of one), words ruled out, phrases; the first rule that fits counts.
+PHRASES = [([["red", "ring"], ["crimson"]], ["bolt"], ["Red ring", "Ring, red", "Crimson"]), ([["blue"]], ["gear"], ["Blue part", "Azure part"]), ([["gear"], ["bolt"]], [], ["Gear", "Bolt", "Fastener", "Drive"])]
 CELL_LABELS = {"m3": "MEDIUM", "m4": "SMALL"}
 
-#: id, kind, connector, enabled_when.
-GATED = [("g1", "link", None, None), ("g2", "api", "counts", None), ("g3", "api", "trials", None), ("g4", "api", "counts", "use_counts"), ("g5", "link", None, "use_links"), ("g6", "api", None, None), ("g7", "link", None, "other")]
 FLAGS, CONNECTORS = {"use_counts": False, "use_links": True}, ["counts"]
 
-OPTION_TYPES = {"growth": [("g_base", "Base growth", 0.02), ("g_low", "Low growth", 0.01)], "split": [("s_a", "Split A", None)], "none": []}
 OPTION_DEFAULTS = [("growth", "g_default", "Default growth", 0.02)]
+OPTIONS, CORE = {"m_small": "SMALL", "m_promo": "PROMO", "m_none": "NONE"}, {"m_large": 7, "m_medium": "MEDIUM", "m_absent": 8}
+LINK_METRICS = ["incidence", "demand_standard"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..operators.extract import Windows
+from ..operators.pages import ANY
 from . import config as C
 
 
@@ -202,24 +204,31 @@ ORACLES |= {
         CASE WHEN sc >= 0.5 THEN 'synonym' WHEN cs >= 0.6 THEN 'vector' WHEN cs > 0 THEN 'weak vector' ELSE 'slug' END AS how FROM b JOIN n ON b.label = n.label WHERE k = 1 AND j = 1""",
 }
 _any = lambda c, words: "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
-_keywords = [w for _, ws in C.CLASSES for w in ws]
-_label = "CASE " + " ".join(f"WHEN {_any('near', ws)} THEN '{name}'" for name, ws in C.CLASSES) + " ELSE 'value' END"
+_class = lambda classes: "CASE " + " ".join(f"WHEN {_any('near', ws)} THEN '{name}'" for name, ws in classes) + " ELSE 'value' END"
 
 
-def _found(kind: str, pattern: str, near: int) -> str:
+def _found(kind: str, pattern: str, near: int, wide: int) -> str:
     """CTEs with every match of a pattern: its place follows from the lengths of the gaps and matches in front."""
     around = lambda n: f"lower(substr(t, greatest(s - {n}, 0) + 1, s + length(hit) + {n} - greatest(s - {n}, 0)))"
     return f"""{kind}_a AS (SELECT id, t, regexp_extract_all(t, '{pattern}') AS hs, regexp_split_to_array(t, '{pattern}') AS gs FROM chosen),
       {kind}_b AS (SELECT id, t, unnest(hs) AS hit, generate_subscripts(hs, 1) AS i, list_transform(gs, lambda g: length(g)) AS gl, list_transform(hs, lambda h: length(h)) AS hl FROM {kind}_a),
       {kind}_c AS (SELECT id, t, hit, i, (list_sum(gl[1:i]) + coalesce(list_sum(hl[1:i - 1]), 0))::BIGINT AS s FROM {kind}_b),
-      {kind}_d AS (SELECT id, i - 1 AS pos, hit, replace(replace(hit, ',', ''), ' ', '') AS plain, {around(near)} AS near, {around(500)} AS wide FROM {kind}_c)"""
+      {kind}_d AS (SELECT id, i - 1 AS pos, hit, replace(replace(hit, ',', ''), ' ', '') AS plain, {around(near)} AS near, {around(wide)} AS wide FROM {kind}_c)"""
 
 
-POINTS = f"""chosen AS (SELECT doc_id AS id, text AS t FROM documents WHERE {_any('lower(text)', C.ALIASES)} AND {_any('lower(text)', _keywords)} AND regexp_matches(text, '[0-9]')),
-  {_found('percent', '[0-9]+(?:[.][0-9]+)?[ \\t\\n\\f\\r]*%', 100)}, {_found('number', '[0-9]{{1,3}}(?:,[0-9]{{3}})+(?:[.][0-9]+)?|[0-9]+(?:[.][0-9]+)?', 200)},
-  points AS (SELECT id, pos, 'percent' AS kind, {_label} AS label, regexp_extract(hit, '^[0-9.]+') || '%' AS found FROM percent_d WHERE TRY_CAST(regexp_extract(hit, '^[0-9.]+') AS DOUBLE) BETWEEN 0 AND 100
-    UNION ALL SELECT id, pos, 'number', {_label}, hit FROM number_d WHERE TRY_CAST(plain AS DOUBLE) >= 0.01 AND NOT (TRY_CAST(plain AS DOUBLE) BETWEEN 1900 AND 2050 AND NOT contains(plain, '.'))
-      AND NOT regexp_full_match(plain, '[0-9]+[.][0-9]{{4}}') AND {_any('near', _keywords)} AND {_any('wide', C.ALIASES)})"""
+def points(rows: str, classes=C.CLASSES, w: Windows = Windows()) -> str:
+    """CTEs up to points (id, pos, kind, label, found) of rows (id, t)."""
+    words = [x for _, ws in classes for x in ws]
+    names = f"AND {_any('lower(t)', C.ALIASES)}" if w.alias else ""
+    version = "AND NOT regexp_full_match(plain, '[0-9]+[.][0-9]{4}')" if w.versions else ""
+    return f"""chosen AS (SELECT id, t FROM ({rows}) WHERE {_any('lower(t)', words)} AND regexp_matches(t, '[0-9]') {names}),
+  {_found('percent', '[0-9]+(?:[.][0-9]+)?[ \\t\\n\\f\\r]*%', w.percent, 1)}, {_found('number', '[0-9]{1,3}(?:,[0-9]{3})+(?:[.][0-9]+)?|[0-9]+(?:[.][0-9]+)?', w.number, w.alias or 1)},
+  points AS (SELECT id, pos, 'percent' AS kind, {f"'{w.percent_label}'" if w.percent_label else _class(classes)} AS label, regexp_extract(hit, '^[0-9.]+') || '%' AS found FROM percent_d WHERE TRY_CAST(regexp_extract(hit, '^[0-9.]+') AS DOUBLE) BETWEEN 0 AND 100
+    UNION ALL SELECT id, pos, 'number', {_class(classes)}, hit FROM number_d WHERE TRY_CAST(plain AS DOUBLE) >= 0.01 AND NOT (TRY_CAST(plain AS DOUBLE) BETWEEN {w.years[0]} AND {w.years[1]} AND NOT contains(plain, '.'))
+      {version} AND {_any('near', words)} {f"AND {_any('wide', C.ALIASES)}" if w.alias else ""})"""
+
+
+POINTS = points("SELECT doc_id AS id, text AS t FROM documents")
 _labels = ("incidence", "prevalence", "mortality", "survival", "rate", "value")
 _rank = "CASE label " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(_labels)) + " ELSE 6 END"
 ORACLES |= {
@@ -243,5 +252,93 @@ ORACLES |= {
         j AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY nth) AS r FROM k JOIN v USING (id)), n AS (SELECT *, CASE WHEN old BETWEEN 0 AND 1 AND value > 1 THEN value / 100 ELSE value END AS x FROM j WHERE r = 1), w AS (SELECT *, CASE WHEN old BETWEEN 0 AND 1 AND x > 1.5 THEN NULL ELSE round(x, 4) END AS new FROM n)
         SELECT id AS metric_id, cell, old, new, source, confidence, 'dry_run' AS status FROM w WHERE new IS NOT NULL AND (old IS NULL OR abs(new - old) / greatest(abs(old), 1e-6) > 0.001)""",
 }
+_PLACES = "'n0', 'nation_0'"
+SUPPLIERS = r"""su AS (SELECT 's' || s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 4 = 0 THEN 'gold' ELSE 'bronze' END AS tier, CASE WHEN s_suppkey % 5 = 4 THEN 'api' ELSE 'link' END AS kind,
+    CASE s_suppkey % 3 WHEN 0 THEN 'https://ledger.example.org/?q=red+widget+%26+co&c=Nation_0' WHEN 1 THEN 'https://notes.example.org/Nation_0/red widget & co' ELSE 'https://archive.example.org/' || s_suppkey END AS url,
+    CASE s_suppkey % 3 WHEN 0 THEN 'demand_standard' WHEN 1 THEN 'demand_none' ELSE 'demand_medium' END AS metric, coalesce(nullif(s_suppkey % 4, 0), 99)::BIGINT AS priority, s_suppkey % 2 = 1 OR n_name = 'NATION_0' OR lower(n_name) IN ('n0', 'nation_0') AS fits,
+    CASE WHEN s_suppkey % 10 = 4 THEN 'counts' WHEN s_suppkey % 20 = 9 THEN 'trials' END AS connector, CASE s_suppkey % 7 WHEN 0 THEN 'use_counts' WHEN 1 THEN 'use_links' WHEN 2 THEN 'other' END AS gate FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
+
+
+def _dropped(h: str, names: str) -> str:
+    """The page's text without comments, elements of these names, and what its end cuts off; elements leave a border."""
+    out = f"regexp_replace(regexp_replace(regexp_replace({h}, '<!--.*?-->', '', 'gs'), '<!--.*$', '', 's'), '<[^>]*$', '')"
+    for name in names.split():
+        out = f"regexp_replace(regexp_replace({out}, '<{name}\\b[^>]*>.*?</{name}>', '<x>', 'gs'), '<{name}\\b.*$', '<x>', 's')"
+    return out
+
+
+def _runs(names: str) -> str:
+    """CTE runs (page_id, url, i, tag, t): the text after each tag; inline tags are gone, and references decoded."""
+    text = "trim(regexp_replace(regexp_replace(replace(replace(replace(replace(x, '&quot;', chr(34)), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&'), '&amp$', '&'), '\\s+', ' ', 'g'))"
+    return f"""ht AS (SELECT page_id, url, regexp_replace(regexp_replace({_dropped("coalesce(html, '')", names)}, '</?b>', '', 'g'), '<br>', ' ', 'g') AS h FROM pages),
+      tg AS (SELECT page_id, url, unnest(regexp_extract_all(h, '<(/?[a-z0-9]+|!DOCTYPE)[^>]*>([^<]*)', 1)) AS tag, unnest(regexp_extract_all(h, '<(/?[a-z0-9]+|!DOCTYPE)[^>]*>([^<]*)', 2)) AS x, generate_subscripts(regexp_extract_all(h, '<(/?[a-z0-9]+|!DOCTYPE)[^>]*>([^<]*)', 1), 1) AS i FROM ht),
+      runs AS (SELECT page_id, url, i, tag, {text} AS t FROM tg)"""
+
+
+_KIND = "CASE " + " ".join(f"WHEN contains(lower(url), '{p}') THEN '{name}'" for p, name in C.PAGE_KINDS) + " ELSE 'page' END"
+_rules = {"page": ANY, **C.PAGE_RULES}
+_in = lambda tags: "(" + ", ".join(f"'{t}'" for t in tags) + ")"
+ELEMENTS = f"""{_runs("script style title nav footer header aside noscript")}, nth AS (SELECT *, {_KIND} AS extractor, {", ".join(f"count(*) FILTER (tag IN {_in(r.tags)}) OVER (PARTITION BY page_id ORDER BY i) AS n_{k}" for k, r in _rules.items())} FROM runs),
+  el AS (SELECT page_id, url, extractor, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos, tag AS element, t AS text FROM nth WHERE {" OR ".join(f"extractor = '{k}' AND tag IN {_in(r.tags)} AND length(t) > {r.longer_than}" + (f" AND n_{k} <= {r.limit}" if r.limit else "") for k, r in _rules.items())})"""
+BLOCKS = f"""{_runs("script style nav footer header aside noscript")}, bl AS (SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS block, t FROM runs WHERE length(t) > 30)"""
+_at = lambda block: f"SELECT {{'p': page_id, 'b': {block}}} AS id, {'text' if block == 'pos' else 't'} AS t FROM {'el' if block == 'pos' else 'bl'}"
+_points_of = "SELECT id.p AS page_id, id.b::BIGINT AS block, pos::BIGINT AS pos, kind, label, found FROM points"
+_summed = lambda id_: f"""sr AS (SELECT *, {id_} AS sid, regexp_replace(found, '[, %]', '', 'g') AS plain, {_rank} AS r, CASE kind WHEN 'percent' THEN 0 ELSE 1 END AS k FROM points),
+        sf AS (SELECT *, row_number() OVER (PARTITION BY sid, plain ORDER BY r, k, pos, found, label) AS nth FROM sr WHERE NOT (label = 'value' AND TRY_CAST(plain AS DOUBLE) < 10)),
+        so AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY r, k, pos, found, label) AS place, count(*) OVER (PARTITION BY sid) AS n FROM sf WHERE nth = 1),
+        sums AS (SELECT sid, CASE WHEN max(n) = 1 THEN max(found) ELSE string_agg(found || ' (' || label || ')', '; ' ORDER BY place) FILTER (place <= 15) END AS summary FROM so GROUP BY sid)"""
+_match = lambda ways, none: "(" + " OR ".join("(" + " AND ".join(f"contains(s, '{w}')" for w in way) + ")" for way in ways) + ")" + "".join(f" AND NOT contains(s, '{w}')" for w in none)
+ORACLES |= {
+    "catalogue_links": f"WITH {SUPPLIERS} SELECT id, name, tier, metric, url, priority FROM su WHERE kind = 'link' AND fits",
+    "links_to_fetch": f"WITH {EV}, {SUPPLIERS} SELECT id, metric, priority FROM su WHERE kind = 'link' AND fits AND NOT (metric = 'demand_standard' AND EXISTS (SELECT 1 FROM ev WHERE metric = 'demand_standard' AND NOT {stub('value')}))",
+    "catalogue_enabled": f"WITH {SUPPLIERS} SELECT id, kind FROM su WHERE coalesce(gate, '') <> 'use_counts' AND (kind <> 'api' OR coalesce(connector = 'counts', false))",
+    "options_flat": "SELECT r_name AS scenario_type, 'o' || n_nationkey AS option_id, n_name AS label, CASE WHEN n_nationkey % 4 <> 0 THEN n_nationkey / 100 END AS value FROM nation JOIN region ON n_regionkey = r_regionkey",
+    "label_match": ORACLES["label_match"].replace("FROM part JOIN embeddings ON p_partkey = vec_id", "FROM part LEFT JOIN embeddings ON p_partkey = vec_id").replace("FROM l, p)", "FROM l, p WHERE embedding IS NOT NULL)").replace("FROM b JOIN n ON b.label = n.label WHERE k = 1 AND j = 1", "FROM b LEFT JOIN n ON b.label = n.label AND j = 1 WHERE k = 1"),
+    "page_datapoints": f"WITH {BLOCKS}, {points(_at('block'))} {_points_of}",
+    "page_elements": f"WITH {ELEMENTS} SELECT page_id, extractor, pos, element, text FROM el",
+    "element_datapoints": f"WITH {ELEMENTS}, {points(_at('pos'))} {_points_of}",
+    "near_datapoints": f"WITH {points('SELECT doc_id AS id, text AS t FROM documents', C.NEAR_CLASSES, C.NEAR)} SELECT id, pos::BIGINT AS pos, kind, label, found FROM points",
+    "crawl_frontier": f"""WITH {BLOCKS}, {points(_at('block'))}, enough AS (SELECT url FROM (SELECT id.p AS page_id FROM points GROUP BY 1 HAVING count(*) >= 2) JOIN pages USING (page_id)),
+        an AS (SELECT url, unnest(list_slice(regexp_extract_all({_dropped("coalesce(html, '')", "")}, '<a href="([^"]*)"', 1), 1, 150)) AS href FROM pages),
+        li AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/?#]*') || replace(href, '&amp;', '&') AS dst FROM an WHERE url NOT IN (SELECT url FROM enough WHERE url IS NOT NULL) AND starts_with(href, '/'))
+        SELECT url, 0::BIGINT AS depth FROM (SELECT DISTINCT url FROM pages) UNION ALL SELECT dst, 1 FROM li WHERE dst NOT IN (SELECT url FROM pages WHERE url IS NOT NULL)""",
+    "registry_tables": """WITH y AS (SELECT o_custkey AS id, year(o_orderdate)::VARCHAR AS key, count(*) AS n, max(trunc(o_totalprice)::BIGINT) AS m FROM orders GROUP BY 1, 2)
+        SELECT id, 'count' AS metric, key, CASE WHEN n % 2 = 0 THEN 10 * n ELSE n END::VARCHAR AS value, CASE WHEN n % 2 = 0 THEN 3 ELSE 1 END::BIGINT AS "column" FROM y UNION ALL SELECT id, 'share', key, m::VARCHAR, 4 FROM y
+        UNION ALL SELECT o_custkey, 'orders', CASE o_orderstatus WHEN 'O' THEN 'open' ELSE 'filled' END, count(*)::VARCHAR, 1 FROM orders WHERE o_orderstatus IN ('O', 'F') GROUP BY o_custkey, o_orderstatus""",
+    "search_phrases": "SELECT p_name, CASE " + " ".join(f"WHEN {_match(ways, none)} THEN '{'|'.join(out)}'" for ways, none, out in C.PHRASES) + " ELSE p_name || '|' || p_name || ' part' END AS phrases FROM (SELECT DISTINCT p_name, lower(trim(p_name)) AS s FROM part)",
+    "phrasing_notes": """WITH c AS (SELECT source, lang, CASE WHEN lang <> 'es' THEN count(*) END AS n FROM documents GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY source, n IS NULL ORDER BY lang) AS r FROM c)
+        SELECT source, coalesce(max(n), 0)::BIGINT AS best_count, first(lang ORDER BY n DESC NULLS LAST, lang) FILTER (n > 0) AS best_label, count(*) AS n_tried,
+          coalesce(max(n), 0) || ' found (best of ' || count(*) || ' phrasings). ' || coalesce(string_agg(left(lang, 48) || ': ' || n, '; ' ORDER BY lang) FILTER (n IS NOT NULL AND r <= 4), '') AS notes FROM k GROUP BY 1""",
+    "cascade_cells": """WITH c AS (SELECT p_partkey AS row, 'C' || p_partkey AS cell, CASE p_partkey % 3 WHEN 0 THEN p_type WHEN 1 THEN lower(p_type) ELSE p_name END AS label, p_retailprice AS old FROM part),
+        v AS (SELECT p_type, 'm_' || lower(p_type) AS metric_id, max(p_retailprice) AS new, 'of ' || count(*) AS source FROM part GROUP BY 1),
+        f AS (SELECT label, arg_min(cell, row) AS cell, arg_min(old, row) AS old FROM c GROUP BY 1)
+        SELECT 'option' AS step, cell, metric_id, old, new, source FROM v JOIN f ON p_type = label WHERE p_type IN ('SMALL', 'PROMO') UNION ALL SELECT 'core', cell, metric_id, old, new, source FROM v JOIN f ON p_type = label WHERE p_type = 'MEDIUM'
+        UNION ALL SELECT 'core', cell, metric_id, old, new, source FROM v, c WHERE p_type = 'LARGE' AND row = 7 UNION ALL SELECT 'label', cell, metric_id, old, new, source FROM c JOIN v ON lower(label) = lower(p_type)""",
+    "rubric_lines": with_(EN, """, n AS (SELECT computed_confidence AS l, count(*) AS n FROM en GROUP BY 1)
+        SELECT * FROM (VALUES ('factors', 1::BIGINT, 'Source tier: up to 35 points (gold 35, silver 22, others 15)'), ('factors', 2, 'Extraction: 30 points for a value, none for a link'), ('factors', 3, 'Completeness: 6 points each for definition, year, geography and population'),
+          ('factors', 4, 'Recency: 5 points within a year, 3 within five'), ('factors', 5, 'URL: 5 points')) AS t(section, ord, line)
+        UNION ALL SELECT 'labels', o, t || coalesce(n, 0) || ' row(s)' FROM (VALUES ('high', 1, '70 to 100: high, '), ('medium', 2, '40 to 69: medium, '), ('low', 3, '0 to 39: low, ')) AS x(name, o, t) LEFT JOIN n ON l = name"""),
+    "connector_rows": """WITH c AS (SELECT c_custkey % 4 AS k, c_name, round(c_acctbal * 100)::BIGINT::VARCHAR AS p FROM customer)
+        SELECT 'gold' AS tier, 'ledger' AS source, c_name AS subject, 'balance' AS metric, p AS value, 'of ' || c_name AS notes FROM c WHERE k = 0
+        UNION ALL SELECT 'silver', 'signs', c_name, 'digit_' || i, substr(p, i + 1, 1), NULL FROM c, range(2) AS t(i) WHERE k = 1 AND NOT starts_with(p, '-') AND i < length(p)""",
+    "connector_log": """WITH c AS (SELECT c_custkey % 4 AS k, c_name, round(c_acctbal * 100)::BIGINT::VARCHAR AS p FROM customer)
+        SELECT 'gold' AS tier, 'ledger' AS source, count(DISTINCT c_name) AS n_requests, count(*) AS n_rows, 0::BIGINT AS n_failed, 'ok' AS status, NULL::VARCHAR AS error FROM c WHERE k = 0
+        UNION ALL SELECT 'silver', 'signs', count(DISTINCT c_name), sum(least(length(p), 2)) FILTER (NOT starts_with(p, '-'))::BIGINT, count(*) FILTER (starts_with(p, '-')), 'partly failed', 'ValueError: debt' FROM c WHERE k = 1
+        UNION ALL SELECT 'silver', 'away', count(DISTINCT c_name), 0, count(*), 'error', 'OSError: not reachable' FROM c WHERE k = 2""",
+    "exploration": f"""WITH {ELEMENTS}, {points(_at('pos'))}, {_summed('id.p')},
+        pa AS (SELECT 'demand_' || lower(p_type) AS metric, count(*)::VARCHAR AS value FROM part GROUP BY 1),
+        s AS (SELECT page_id AS id, url, 'Page ' || page_id AS name, CASE WHEN page_id % 3 = 0 THEN 'gold' ELSE 'bronze' END AS tier, page_id % 10 = 9 AS api, CASE page_id % 4 WHEN 0 THEN 'incidence' WHEN 1 THEN 'demand_standard' ELSE page_id || '_links' END AS metric,
+          coalesce(nullif(page_id % 5, 0), 99) AS priority FROM pages WHERE page_id % 7 <> 0),
+        l AS (SELECT *, row_number() OVER (ORDER BY priority, id) AS nth, metric IN (SELECT metric FROM pa) AS known FROM s WHERE NOT api AND id % 6 <> 1),
+        by_url AS (SELECT url, min(summary) AS summary FROM sums JOIN pages ON sid = page_id GROUP BY 1)
+        SELECT 'curated' AS part, NULL AS id, metric, value, 'Parts' AS source_citation, 'gold' AS tier, NULL AS url, NULL AS notes FROM pa
+        UNION ALL SELECT 'link', l.id::VARCHAR, metric, CASE WHEN nth <= 100 AND NOT known THEN coalesce(summary, 'See link for values') ELSE 'See link for values' END, name, tier, l.url,
+          CASE WHEN known THEN 'curated value available' WHEN nth > 100 THEN 'not looked into' WHEN summary IS NOT NULL THEN 'value extracted' ELSE 'no datapoints found' END FROM l LEFT JOIN by_url ON l.url = by_url.url
+        UNION ALL SELECT 'answer', id::VARCHAR, 'region_' || r_regionkey, length(r_name)::VARCHAR, name, tier, NULL, r_name FROM s, region WHERE api AND id % 20 = 9""",
+    "csv_evidence": with_(EV, "SELECT NULL::VARCHAR AS indication, " + ", ".join(f"CASE WHEN NOT {blank(c)} THEN trim({c}) END AS {c}" for c in ("metric", "value", "source_citation", "source_tier", "population")) + " FROM ev"),
+    "csv_order": with_(EV, "SELECT metric, count(*) AS n_rows, 0::BIGINT AS n_wrong FROM ev GROUP BY 1"),
+    "run_partitions": with_(EV, "SELECT indication, count(*) AS n_rows, count(DISTINCT metric) AS n_metrics FROM ev WHERE indication <> 'ASIA' OR metric = 'demand_standard' GROUP BY 1"),
+    "polite_fetch": "SELECT url, CASE WHEN NOT contains(url, '?') THEN upper(url) END AS body, CASE WHEN contains(url, '?') THEN 'queries are not fetched' END AS error FROM pages",
+}
 for _name, _sql in list(ORACLES.items()):
     ORACLES[_name] = " ".join(_sql.split("\n")).strip()
