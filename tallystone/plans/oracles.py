@@ -29,7 +29,7 @@ ev AS (
   SELECT lpad(l_orderkey::VARCHAR, 12, '0') || '|' || lpad(l_linenumber::VARCHAR, 3, '0') || '|' || lpad(l_partkey::VARCHAR, 12, '0') || '|' || lpad(l_suppkey::VARCHAR, 9, '0') || '|' || lpad(cents::VARCHAR, 14, '0') || '|' ||
       lpad(l_quantity::BIGINT::VARCHAR, 6, '0') || '|' || lpad(round(l_discount * 100)::BIGINT::VARCHAR, 3, '0') || '|' || lpad(round(l_tax * 100)::BIGINT::VARCHAR, 3, '0') || '|' || l_returnflag || '|' || l_linestatus || '|' || strftime(l_shipdate, '%Y-%m-%d') AS _ord,
     r_name AS indication, 'demand_' || lower(p_type) AS metric,
-    CASE WHEN m = 0 OR p_type = 'SMALL' THEN 'See link https://example.org/item/' || l_partkey WHEN m = 1 THEN format('{:,}', cents // 100) || ' (count)' WHEN m = 2 THEN num || ' (rate); 10 (percent)'
+    CASE WHEN m = 0 OR p_type = 'SMALL' THEN 'See link https://example.org/item/' || l_partkey WHEN m = 1 THEN format('{:,}', cents // 100) || ' (count)' WHEN m = 2 THEN num || ' (share); 4 (parts)'
       WHEN m = 3 THEN CASE WHEN l_linenumber % 2 = 0 THEN 'nan' END WHEN m = 4 THEN (cents // 100)::VARCHAR ELSE num END AS value,
     s_name || CASE s % 5 WHEN 0 THEN ' (https://data.example.org/s/' || s || ').' WHEN 1 THEN ' PMID: 1234' || lpad(s::VARCHAR, 9, '0') WHEN 2 THEN ' National Ledger' WHEN 3 THEN ' open registry note' ELSE '' END AS source_citation,
     CASE s % 4 WHEN 0 THEN 'gold' WHEN 1 THEN 'silver' WHEN 2 THEN ' Bronze' ELSE 'platinum' END AS source_tier,

@@ -76,7 +76,7 @@ def from_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     value = (
         F.when((m == 0) | (F.col("p_type") == "SMALL"), stub).when(m == 1, F.concat(F.format_number(whole, 0), F.lit(" (count)")))
-        .when(m == 2, F.concat(number, F.lit(" (rate); 10 (percent)"))).when(m == 3, F.when(F.col("l_linenumber") % 2 == 0, "nan"))
+        .when(m == 2, F.concat(number, F.lit(" (share); 4 (parts)"))).when(m == 3, F.when(F.col("l_linenumber") % 2 == 0, "nan"))
         .when(m == 4, whole.cast("string")).otherwise(number)
     )
     year = (

@@ -8,9 +8,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallystone.functions import exprs as X
-from tallystone.operators import build, curated, enrich, evaluate, extract, insights, match, quality, report, sinks
+from tallystone.operators import build, curated, enrich, evaluate, extract, insights, match, pages, quality, report, sinks
 from tallystone.plans import pipeline
 from tallystone.sources import evidence as E
+from tallystone.sources import explore as P
 from tallystone.streaming import ingest
 
 
@@ -19,8 +20,8 @@ def values(spark, texts, column):
 
 
 def test_first_number(spark):
-    texts = ["1,234 (new)", "2.5 (rate); 10 (percent)", "12,34", "-5", "0", "2019", "See link x", "", "nan", None, "1e5", "1234,567", "(7) 8"]
-    assert values(spark, texts, X.first_number("v")) == [1234.0, 2.5, 12.0, 5.0, 0.0, 2019.0, None, None, None, None, 1.0, 1234.0, 8.0]
+    texts = ["1,234 (new)", "6.5 (share); 4 (parts)", "12,34", "-5", "0", "2019", "See link x", "", "nan", None, "1e5", "1234,567", "(7) 8"]
+    assert values(spark, texts, X.first_number("v")) == [1234.0, 6.5, 12.0, 5.0, 0.0, 2019.0, None, None, None, None, 1.0, 1234.0, 8.0]
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -333,3 +334,145 @@ def test_pipeline_unites_named_sources(spark, sf_dir):
     finally:
         one.close()
         two.close()
+
+
+def page_rows(spark, texts, kinds=None):
+    return spark.createDataFrame([(i, t, (kinds or {}).get(i, "page"), f"http://h.example/{i}/x") for i, t in enumerate(texts)], "page_id long, html string, extractor string, url string")
+
+
+LONG = "a text of more than thirty characters, surely"
+
+
+def test_elements_by_rule(spark):
+    texts = [
+        f"<title>{LONG}</title><nav><p>{LONG}</nav><h1>Head</h1><p>{LONG} one<b> bold</b><br>line<p>{LONG} two<div>{LONG} three<p>short</p> tail of the div that is long enough</div>",
+        f"<ul><li>{LONG} 1<li>{LONG} 2</ul><table><tr><td>{LONG} 3<td>x</table>",
+        f"<div><nav>{LONG} lost</div><p>{LONG} kept: the element around ends what is dropped",
+        f"<p>{LONG} &amp; more&am", f"<p>{LONG}<!-- cut", f"<p>{LONG}<a href=", None, "", "plain", f"<P CLASS=x>{LONG}</P></div></p></p>",
+    ]
+    rules = {"few": pages.Rule(("p", "li"), 1, 10), "heads": pages.Rule(("h1",), None, 3)}
+    rows = page_rows(spark, texts, {1: "few"})
+    got = {}
+    for r in pages.page_elements(rows.union(rows.where("page_id = 0").withColumn("page_id", F.lit(100).cast("long")).withColumn("extractor", F.lit("heads"))), rules).orderBy("id", "pos").collect():
+        got.setdefault(r.id, []).append((r.element, r.text))
+    assert got[0] == [("p", f"{LONG} one bold line"), ("p", f"{LONG} two"), ("div", f"{LONG} three"), ("div", "tail of the div that is long enough")]
+    assert got[1] == [("li", f"{LONG} 1")] and got[100] == [("h1", "Head")]
+    assert got[2] == [("p", f"{LONG} kept: the element around ends what is dropped")]
+    assert got[3] == [("p", f"{LONG} & more&am")] and got[4] == got[5] == got[9] == [("p", LONG)]
+    assert set(got) == {0, 1, 2, 3, 4, 5, 9, 100}
+
+
+def test_tables(spark):
+    texts = [
+        '<table id=t><tr><th rowspan=2>Y<th colspan=2>A</tr><tr><th>1<th>2</tr><tr><td>2001<td rowspan=2>5 %<td>-</tr><tr><td>2002<td>7</tr></table>',
+        "<table><tr><td>a<table id=in><tr><td>b</table>c<td>d</table>", "<table id=t><tr><td colspan=x>1<td rowspan=0>2<tr><td>3", "no table", None, "<td>stray</td><tr></tr></table>",
+        '<table id="t"><tr><td>Late one</td><td>9</td></tr><tr><td>other</td><td>8</td></tr><tr><td>2003</td><td></td><td>n/a for all</td></tr></table>',
+    ]
+    tables = pages.html_tables(page_rows(spark, texts))
+    rows = [(r.id, r.table_no, r.table_id, r.row_no, r.is_header, r.cells) for r in tables.collect()]
+    assert [r[3:] for r in sorted(rows) if r[0] == 0] == [(0, True, ["Y", "A", "A"]), (1, True, ["Y", "1", "2"]), (2, False, ["2001", "5 %", "-"]), (3, False, ["2002", "5 %", "7"])]
+    assert sorted(r[1:3] + r[5:] for r in rows if r[0] == 1) == [(0, "", ["ac", "d"]), (1, "in", ["b"])]
+    assert [r[5] for r in sorted(rows) if r[0] == 2] == [["1", "2"], ["3"]] and not {3, 4, 5} & {r[0] for r in rows}
+    got = {tuple(r) for r in pages.registry_entries(tables, "t", [("m", [2, 1])]).collect()}
+    assert got == {(0, "m", "2001", "5", 1), (0, "m", "2002", "7", 2), (6, "m", "2003", "n/a for all", 2), (2, "m", "1", "2", 1)}
+    assert not pages.registry_entries(tables, "t", [("m", [2])], skip="for all").where("id = 6").count()
+    assert {tuple(r) for r in pages.registry_entries(tables, "t", [("m", [1])], {"late": "stage_late"}, starts=True).collect()} == {(6, "m", "stage_late", "9", 1)}
+    assert {r.key for r in pages.registry_entries(tables, "t", [("m", [1])], {"other": "o", "late": "no"}).collect()} == {"o"}
+
+
+@pytest.mark.parametrize("page", ["<table>" * 3000, "<table><tr><td colspan=1000 rowspan=65534>x" * 20, "<b>" * 20000 + "<p>x" * 20000, "<div>x" * 20000 + "</p>" * 20000, "<!--" * 20000, "<a href=x" * 20000])
+def test_hostile_pages_end(page):
+    for reader in (pages.Elements(pages.ANY), pages.Tables(), pages.Links()):
+        reader.read(page)
+
+
+def test_links_and_crawl(spark):
+    texts = ['<a href="/1/x">a</a><a href=y#z>b</a><a href="mailto:a@b">c</a><a href="http://[bad">d</a><a>e</a><a href="#top">f</a><A HREF=" http://other.example/q ">g</A><a href="/1/x">again</a>', '<a href="/2/x">n</a><a href="/gone">n</a>', '<a href="/0/x">back</a>', None]
+    rows = page_rows(spark, texts)
+    links = pages.page_links(rows)
+    assert [(r.nth, r.dst) for r in links.where("id = 0").orderBy("nth").collect()] == [(0, "http://h.example/1/x"), (1, "http://h.example/0/y"), (2, "http://h.example/0/x"), (3, "http://other.example/q")]
+    assert pages.page_links(rows, most=1).where("id = 0").count() == 1
+    start = rows.where("page_id = 0").select("url")
+    go = lambda **how: {(r.url.removeprefix("http://h.example/"), r.depth) for r in extract.crawl(rows, links, start, **how).collect()}
+    assert go() == {("0/x", 0), ("1/x", 1), ("2/x", 2)}
+    assert go(held_only=False) == {("0/x", 0), ("1/x", 1), ("0/y", 1), ("2/x", 2), ("gone", 2)}
+    assert go(enough=rows.where("page_id = 1").select("url")) == {("0/x", 0), ("1/x", 1)}
+
+
+def test_windows(spark):
+    texts = [(0, "9 things and 2030 of them " + "x" * 100 + " 12% " + "y" * 200 + " 31 things, 2.2025 also, 2031 too")]
+    rows = spark.createDataFrame(texts, "id long, text string")
+    plain = extract.Windows(number=20, alias=None, percent_label="percent", years=(1900, 2030), versions=False)
+    got = [(r.kind, r.label, r.found) for r in extract.datapoints(rows, "id", "text", [("incidence", ["thing"])], [], plain).orderBy("pos").collect()]
+    assert sorted(got) == [("number", "incidence", "2.2025"), ("number", "incidence", "31"), ("number", "incidence", "9"), ("percent", "percent", "12%")]
+    short = extract.datapoints(rows, "id", "text", [("incidence", ["thing"])], [], plain._replace(most=30))
+    assert [r.found for r in short.collect()] == ["9"]
+    assert extract.datapoints(rows, "id", "text", [("incidence", ["thing"])], ["absent"]).count() == 0
+
+
+def test_phrases(spark):
+    rules = [([["a b", "c"], ["x"]], ["not"], ["First", "Second"]), ([["c"]], [], ["Third"])]
+    texts = ["c and A B", "x", "x not", "A B not c", "", None, " plain (in braids) label "]
+    assert values(spark, texts, X.phrases("v", rules, "part")) == [["First", "Second"], ["First", "Second"], ["x not", "x not part"], ["Third"], ["part"], ["part"], ["plain label", "plain label part"]]
+
+
+def test_phrasing_notes(spark):
+    rows = [("s", f"phrase {i} " + "z" * 60, n, i) for i, n in enumerate([3, None, 9, 9, 1, 2])] + [("none", "p", 0, 0), ("failed", "p", None, 0)]
+    got = {r.s: r for r in insights.best_with_notes(spark.createDataFrame(rows, "s string, p string, n long, i int"), "s", "p", "n", "i").collect()}
+    name = lambda i: (f"phrase {i} " + "z" * 60)[:48]
+    assert got["s"].notes == "9 found (best of 6 phrasings). " + "; ".join(f"{name(i)}: {n}" for i, n in ((0, 3), (2, 9), (3, 9), (4, 1)))
+    assert (got["s"].best_label[:9], got["s"].n_tried) == ("phrase 2 ", 6)
+    assert (got["none"].best_count, got["none"].best_label, got["none"].notes) == (0, None, "0 found (best of 1 phrasings). p: 0") and got["failed"].notes == "0 found (best of 1 phrasings). "
+
+
+def test_cascade(spark):
+    cells = spark.createDataFrame([("B1", 1, "Late", 1.0), ("B2", 2, "Late", 2.0), ("B3", 3, "rate of all", None), ("B4", 4, None, 4.0)], "cell string, row long, label string, old double")
+    vals = spark.createDataFrame([("late", "x", 10.0, "S1"), ("core", "", 20.0, "S2"), ("named", "Rate of All", 30.0, "S3"), ("named2", "RATE OF ALL", 31.0, "S4"), ("empty", "late", None, "S5"), ("odd", "Late", float("nan"), "S6")], "metric_id string, label string, value double, source string")
+    got = {tuple(r) for r in curated.cascade(cells, vals, {"late": "Late", "empty": "Late"}, {"core": 4, "named": "Late", "absent": 1}).collect()}
+    assert got == {("option", "B1", "late", 1.0, 10.0, "S1"), ("core", "B4", "core", 4.0, 20.0, "S2"), ("core", "B1", "named", 1.0, 30.0, "S3"), ("label", "B3", "named", None, 30.0, "S3")}
+    assert curated.cascade(cells, vals, {}, {}).where("step <> 'label'").count() == 0
+
+
+def test_one_failing_connector_leaves_the_rest(spark):
+    def good(subject, payload):
+        return [{"metric": "n", "value": len(payload)}, {"metric": "m", "value": None}] if payload else []
+
+    def bad(subject, payload):
+        raise OSError("down") if subject == "b" else ValueError("x" * 900)
+
+    requests = spark.createDataFrame([("gold", "good", s, p) for s, p in (("a", "12"), ("b", ""))] + [("gold", "bad", "a", ""), ("gold", "bad", "b", ""), ("gold", "none", "a", "")], "tier string, source string, subject string, payload string")
+    rows, log = P.run_connectors(requests, {"gold:good": good, "gold:bad": bad})
+    assert {tuple(r) for r in rows.collect()} == {("gold", "good", "a", "n", "2", None), ("gold", "good", "a", "m", None, None)}
+    got = {r.source: tuple(r)[2:] for r in log.collect()}
+    assert got == {"good": (2, 2, 0, "ok", None), "bad": (2, 0, 2, "error", "OSError: down")}
+    assert P.run_connectors(requests.limit(0), {"gold:good": good})[1].count() == 0
+
+
+def test_exploration(spark):
+    kinds = "id string, name string, tier string, kind string, url string, metric string, priority int, places array<string>, connector string, enabled_when string"
+    sources = spark.createDataFrame([("a", "A", "gold", "link", "http://x/{place}", "rate", 2, [], None, None), ("b", "B", "gold", "link", "http://y", "odd", 1, [], None, None), ("c", "C", "gold", "link", "http://z", "rate", None, ["n0"], None, None), ("d", "D", "gold", "link", "http://x/Here", "rate", 1, ["far"], None, None), ("e", "E", "gold", "link", "http://w", "rate", 1, [], None, "off"), ("f", "F", "silver", "api", None, None, None, [], "svc", None), ("g", "G", "silver", "api", None, None, None, [], "gone", None)], kinds)
+    known = spark.createDataFrame([("share", "5", "K", "gold")], "metric string, value string, source_citation string, tier string")
+    found = spark.createDataFrame([("http://x/Here", "7 (rate)"), ("http://y", "8"), ("http://z", " ")], "url string, summary string")
+    places = spark.createDataFrame([("n0", "here", "H"), ("here", "here", "H")], "alias string, canonical string, code string")
+    answers = spark.createDataFrame([("svc", "count", "3", "n")], "connector string, metric string, value string, notes string")
+    got = lambda **how: {(r.part, r.id, r.metric, r.value, r.notes) for r in P.explore(sources, known, found, places, "s", "Here", {"off": False}, ["rate", "share"], **how).collect()}
+    links = {("curated", None, "share", "5", None), ("link", "a", "rate", "7 (rate)", "value extracted"), ("link", "b", "b_links", "8", "value extracted"), ("link", "c", "rate", P.STUB, "no datapoints found")}
+    assert got() == links and got(answers=answers) == links | {("answer", "f", "count", "3", "n")}
+    assert ("link", "a", "rate", P.STUB, "not looked into") in got(most_dives=1)
+    taken = P.explore(sources, known.withColumn("metric", F.lit("rate")), found, places, "s", "Here", {}, ["rate"])
+    assert {r.notes for r in taken.where("part = 'link' AND metric = 'rate'").collect()} == {"curated value available"}
+
+
+def test_labels_without_vector(spark):
+    labels = spark.createDataFrame([("red", [1.0, 0.0]), ("odd", None), ("near", [0.0, 2.0])], "label string, v array<double>")
+    protos = spark.createDataFrame([("p", [0.0, 1.0])], "label string, proto array<double>")
+    got = {r.label: (r.metric_id, r.how) for r in match.match_labels(labels, "label", "v", {"m": ["red"]}, protos).collect()}
+    assert got == {"red": ("m", "synonym"), "odd": ("odd", "slug"), "near": ("p", "vector")}
+
+
+def test_score_needs_no_url_expression(spark):
+    """has_url() says what resolve_url() finds."""
+    texts = ["see https://a.b/c).", "PMID: 1234567", "pmid 12345", "the Ledger of notes", "nothing", "", None, "http://", "HTTPS://X"]
+    keys = [("ledger", "u")]
+    both = spark.createDataFrame([(t,) for t in texts], "v string").select(X.has_url("v", keys).alias("has"), X.resolve_url("v", keys).isNotNull().alias("made")).collect()
+    assert all(r.has == r.made for r in both)
