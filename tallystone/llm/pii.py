@@ -1,8 +1,9 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
 Fixed patterns give seed entities. The two words before a seed, and the last of them alone, are lexical patterns. A
-graph of patterns and instances is scored in rounds: a pattern by the confidence of its instances, an instance by its
-patterns. Patterns of high confidence then take in identifiers of a plausible shape that no fixed pattern covers.
+graph of patterns and instances is scored in rounds: a pattern by the confidence of its instances, against all places of the
+corpus where its words stand before another word; an instance by its patterns. Patterns of high confidence then take in
+identifiers of a plausible shape that no fixed pattern covers. What a kind's own check refutes is never taken in.
 """
 
 from __future__ import annotations
@@ -67,6 +68,23 @@ def valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def refuted(kind: str, m: Column) -> Column:
+    """Whether m has the form that the kind's own check is made for, and fails it."""
+    n = F.length(digits(m))
+    if kind == "card":
+        return F.when((n >= 14) & (n <= 19), ~luhn(m)).otherwise(False)
+    if kind == "ip":
+        return m.rlike(r"^[0-9]+(?:\.[0-9]+){3}$") & ~valid("ip", m)
+    if kind == "phone":
+        return F.startswith(m, F.lit("+")) & ~valid("phone", m)
+    return F.lit(False)
+
+
+def plausible(m: Column) -> Column:
+    """The kinds whose shape m has, and whose check doesn't refute it."""
+    return F.array_compact(F.array(*[F.when(m.rlike(SHAPES[kind]) & ~refuted(kind, m), F.lit(k)) for k, kind in enumerate(KINDS)]))
+
+
 def base_spans(rows: DataFrame, keep: list[str], text: str) -> DataFrame:
     """keep columns, base (spans by fixed pattern) and loose (tokens with a digit or @ that no base span touches).
 
@@ -91,22 +109,41 @@ def base_spans(rows: DataFrame, keep: list[str], text: str) -> DataFrame:
 
 def contexts(spans: DataFrame) -> DataFrame:
     """Adds pattern: the two words before a span and the last of them, lower-cased, digits as 0; one row each."""
-    tail = lambda n: F.regexp_replace(F.lower(last_words(F.col("before"), n)), "[0-9]", "0")
+    tail = lambda n: F.regexp_replace(F.regexp_replace(F.lower(last_words(F.col("before"), n)), "[0-9]", "0"), r"\s+", " ")
     both = F.when(F.trim("before").rlike(r"\s"), F.concat(F.lit("2 "), tail(2)))
     return spans.withColumn("pattern", F.explode(F.array_compact(F.array(both, F.concat(F.lit("1 "), tail(1)))))).where(F.length("pattern") > 2)
 
 
+def occurrences(rows: DataFrame, text: str, patterns: DataFrame) -> DataFrame:
+    """pattern, total: in how many places of all texts the words of each pattern stand before another word.
+
+    Only words that end a pattern are counted, with the word before them, within tasks first.
+    """
+    wanted = patterns.select("pattern", F.regexp_extract("pattern", r"(\S+)$", 1).alias("tail"))
+    n = wanted.count()
+    plain = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), "[0-9]", "0")
+    words = rows.select(F.regexp_extract_all(plain, F.lit(r"\S+"), F.lit(0)).alias("ws")).where(F.size("ws") > 1)
+    places = F.transform(F.sequence(F.lit(0), F.size("ws") - 2), lambda i: F.struct(F.get("ws", i - 1).alias("lead"), F.get("ws", i).alias("tail")))
+    pairs = words.select(F.inline(places))
+    if n <= MOST_BROADCAST:
+        pairs = pairs.join(F.broadcast(wanted.select("tail").distinct()), "tail", "left_semi")
+    counts = pairs.groupBy("lead", "tail").agg(F.count("*").alias("n"))
+    fits = (F.col("pattern") == F.concat(F.lit("1 "), F.col("tail"))) | F.coalesce(F.col("pattern") == F.concat(F.lit("2 "), F.col("lead"), F.lit(" "), F.col("tail")), F.lit(False))
+    return counts.join(small(wanted, n, MOST_BROADCAST), "tail").where(fits).groupBy("pattern").agg(F.sum("n").alias("total"))
+
+
 def score_patterns(edges: DataFrame, rounds: int = 3, least_seeds: int = 5, sure: float = 0.8) -> DataFrame:
     """k, pattern, confidence of the patterns that have least_seeds different sure instances and a confidence of sure or more.
 
-    edges: k, pattern, instance, seed (0/1), one row each. A pattern's confidence is the sum of its instances' over
-    their number plus one; an instance that isn't a seed has 1 - product(1 - confidence) over its patterns. In the
+    edges: k, pattern, instance, seed (0/1), n (how often), total (of the pattern), one row each. A pattern's confidence is the sum of
+    n times its instances' over its total plus one; an instance that isn't a seed has 1 - product(1 - confidence) over its patterns. In the
     first round only seeds are sure; in each later one so are the identifiers that the former round's patterns found,
     and they support patterns of their own, which may hold no seed at all.
     """
     belief = edges.withColumn("c", F.col("seed").cast("double"))
     for left in range(rounds, 0, -1):
-        patterns = belief.groupBy("k", "pattern").agg((F.sum("c") / (F.count("*") + 1)).alias("confidence"), F.count_if(F.col("c") >= sure).alias("seeds"))
+        confidence = F.sum(F.col("c") * F.col("n")) / (F.greatest(F.max("total"), F.sum("n")) + 1)
+        patterns = belief.groupBy("k", "pattern").agg(confidence.alias("confidence"), F.count_if(F.col("c") >= sure).alias("seeds"))
         strong = patterns.where(F.col("seeds") >= least_seeds)
         if left == 1:
             return strong.where(F.col("confidence") >= sure).select("k", "pattern", "confidence")
@@ -115,20 +152,21 @@ def score_patterns(edges: DataFrame, rounds: int = 3, least_seeds: int = 5, sure
     return belief
 
 
-def learn(spans: DataFrame, **how) -> DataFrame:
-    """score_patterns() over the table of base_spans()."""
+def learn(spans: DataFrame, rows: DataFrame, text: str, least_seeds: int = 5, **how) -> DataFrame:
+    """score_patterns() over the table of base_spans() of rows. Patterns of fewer than least_seeds instances can't become sure and are left out."""
     seeds = contexts(spans.select(F.inline("base")).withColumn("seed", F.lit(1)))
-    shape = F.array(*[F.when(F.col("hit").rlike(SHAPES[kind]), F.lit(k)) for k, kind in enumerate(KINDS)])
-    loose = spans.select(F.inline("loose")).withColumn("k", F.explode(F.array_compact(shape))).withColumn("seed", F.lit(0))
+    loose = spans.select(F.inline("loose")).withColumn("k", F.explode(plausible(F.col("hit")))).withColumn("seed", F.lit(0))
     both = seeds.unionByName(contexts(loose.select(seeds.drop("pattern").columns)))
-    edges = both.groupBy("k", "pattern", F.xxhash64(F.lower("hit")).alias("instance")).agg(F.max("seed").alias("seed"))
-    return score_patterns(materialise(edges, "edges"), **how)
+    edges = both.groupBy("k", "pattern", F.xxhash64(F.lower("hit")).alias("instance")).agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
+    edges = materialise(edges, "edges")
+    able = materialise(edges.groupBy("k", "pattern").agg(F.count("*").alias("met")).where(F.col("met") >= least_seeds).select("pattern").distinct(), "able")
+    totals = occurrences(rows, text, able)
+    return score_patterns(materialise(edges.join(totals, "pattern"), "edges"), least_seeds=least_seeds, **how)
 
 
 def added_spans(spans: DataFrame, patterns: DataFrame, key: str) -> DataFrame:
     """key and added, the array of spans that patterns give to loose tokens of a plausible shape; of several kinds the surest."""
-    shape = F.array(*[F.when(F.col("hit").rlike(SHAPES[kind]), F.lit(k)) for k, kind in enumerate(KINDS)])
-    loose = spans.select(key, F.inline("loose")).withColumn("k", F.explode(F.array_compact(shape)))
+    loose = spans.select(key, F.inline("loose")).withColumn("k", F.explode(plausible(F.col("hit"))))
     sure = contexts(loose).join(patterns, ["k", "pattern"]).groupBy(key, "start", "end").agg(F.max_by("k", F.struct("confidence", -F.col("k"))).alias("k"))
     return sure.groupBy(key).agg(F.collect_list(F.struct("start", "k", "end")).alias("added"))
 
@@ -136,7 +174,7 @@ def added_spans(spans: DataFrame, patterns: DataFrame, key: str) -> DataFrame:
 def all_spans(rows: DataFrame, keep: list[str], text: str, **how) -> DataFrame:
     """_row, keep columns, base and all_spans: sorted arrays of struct(start, k, end). rows have a unique _row."""
     spans = materialise(base_spans(rows, ["_row", *keep], text), "spans")
-    added = added_spans(spans, learn(spans, **how), "_row")
+    added = added_spans(spans, learn(spans, rows, text, **how), "_row")
     slim = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["k"].alias("k"), x["end"].alias("end")))
     joined = spans.withColumn("base", slim).join(added, "_row", "left")
     every = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast("array<struct<start:int,k:int,end:int>>"))))
