@@ -117,7 +117,7 @@ def contexts(spans: DataFrame) -> DataFrame:
 def occurrences(rows: DataFrame, text: str, patterns: DataFrame) -> DataFrame:
     """pattern, total: in how many places of all texts the words of each pattern stand before another word.
 
-    Only words that end a pattern are counted, with the word before them, within tasks first.
+    Up to MOST_BROADCAST patterns are looked up where the texts are, so that only their counts are shuffled.
     """
     wanted = patterns.select("pattern", F.regexp_extract("pattern", r"(\S+)$", 1).alias("tail"))
     n = wanted.count()
@@ -125,11 +125,11 @@ def occurrences(rows: DataFrame, text: str, patterns: DataFrame) -> DataFrame:
     words = rows.select(F.regexp_extract_all(plain, F.lit(r"\S+"), F.lit(0)).alias("ws")).where(F.size("ws") > 1)
     places = F.transform(F.sequence(F.lit(0), F.size("ws") - 2), lambda i: F.struct(F.get("ws", i - 1).alias("lead"), F.get("ws", i).alias("tail")))
     pairs = words.select(F.inline(places))
-    if n <= MOST_BROADCAST:
-        pairs = pairs.join(F.broadcast(wanted.select("tail").distinct()), "tail", "left_semi")
-    counts = pairs.groupBy("lead", "tail").agg(F.count("*").alias("n"))
-    fits = (F.col("pattern") == F.concat(F.lit("1 "), F.col("tail"))) | F.coalesce(F.col("pattern") == F.concat(F.lit("2 "), F.col("lead"), F.lit(" "), F.col("tail")), F.lit(False))
-    return counts.join(small(wanted, n, MOST_BROADCAST), "tail").where(fits).groupBy("pattern").agg(F.sum("n").alias("total"))
+    held = F.explode(F.array_compact(F.array(F.concat(F.lit("1 "), F.col("tail")), F.concat(F.lit("2 "), F.col("lead"), F.lit(" "), F.col("tail"))))).alias("pattern")
+    if n > MOST_BROADCAST:  # counted within tasks before the shuffle
+        return pairs.select(held).groupBy("pattern").agg(F.count("*").alias("total")).join(wanted, "pattern", "left_semi")
+    found = pairs.join(F.broadcast(wanted.select("tail").distinct()), "tail", "left_semi").select(held)
+    return found.join(F.broadcast(wanted.select("pattern")), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("total"))
 
 
 def score_patterns(edges: DataFrame, rounds: int = 3, least_seeds: int = 5, sure: float = 0.8) -> DataFrame:
