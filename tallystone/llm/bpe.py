@@ -147,7 +147,7 @@ def encode(docs: DataFrame, keep: list[str], path: str, text: str = "text", ids:
 
     Decoding joins the ids' tokens by blanks, as the file names no decoder. A null text counts as empty: no tokens.
     The file (a fixed vocabulary of a few MB) is broadcast. Rows are encoded one by one, so repeated ones need no rule.
-    Columns of docs that bear the new columns' names give way to them.
+    An empty table gives an empty result. Columns of docs that bear the new columns' names give way to them.
     """
     keep = others(keep, "n_tokens", "ids_sha256", "decoded_sha256", *(["token_ids"] if ids else []))
     spark: SparkSession = docs.sparkSession

@@ -159,7 +159,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", share: int = 20, window: int = WINDOW) -> DataFrame:
-    """docs without the contaminated rows."""
+    """docs without the contaminated rows. Null and empty texts stay, very long ones are judged whole, repeated rows one by one; an empty table stays empty; columns keep their names."""
     hidden, names = masked(docs)
     at = dict(zip(docs.columns, names))
     rows = with_row_key(hidden, at[doc_id])

@@ -305,7 +305,11 @@ def similar_components(rows: DataFrame, text: str = "text", percent: int = 85, w
 
 
 def join_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row: the least id among the rows that links reach. Null texts have the empty set."""
+    """doc_id, n_shingles, component_id of every row: the least id among the rows that links reach.
+
+    Null texts have the empty set, and are linked with nothing. Repeated rows are rows of one component; very long texts give
+    their whole sets; an empty table gives an empty result; other columns of docs aren't read.
+    """
     rows = with_row_key(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "doc_id")
     made = similar_components(rows, "_text", **how)
     ids = rows.select("_row", "doc_id")
@@ -314,7 +318,10 @@ def join_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how)
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """docs with one row of each component: that of the least id."""
+    """docs with one row of each component: that of the least id; of rows that repeat it the first by with_row_key().
+
+    Texts without words stay. Very long texts are compared whole, an empty table stays empty, columns keep their names.
+    """
     hidden, names = masked(docs)
     at = dict(zip(docs.columns, names))
     rows = with_row_key(hidden, at[doc_id])

@@ -204,12 +204,15 @@ def labelled_rows(docs: DataFrame, doc_id: str, text: str, lang: str, folds: int
 
 
 def learn_and_identify(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 4, held: int = 2) -> DataFrame:
-    """Learns from the rows outside the held-out fold that have a language, then labels every row."""
+    """Learns from the rows outside the held-out fold that have a language, then labels every row. An empty table gives an empty result."""
     return identify(docs, keep, train(labelled_rows(docs, doc_id, text, lang, folds, held), text, lang), text)
 
 
 def in_known_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 4, held: int = 2) -> DataFrame:
-    """docs without the rows whose text has no letter, or is noise or in no learned language by the limits of calibrate()."""
+    """docs without the rows whose text has no letter, or is noise or in no learned language by the limits of calibrate().
+
+    Null and empty texts go, very long ones are judged whole, repeated rows one by one; an empty table stays empty; columns keep their names.
+    """
     hidden, names = masked(docs)
     at = dict(zip(docs.columns, names))
     labelled = labelled_rows(hidden, at[doc_id], at[text], at[lang], folds, held)

@@ -146,7 +146,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """docs with one row of each component: that of the least id."""
+    """docs with one row of each component: that of the least id; of rows that repeat it the first by with_row_key(). An empty table stays empty, columns keep their names."""
     hidden, names = masked(docs)
     at = dict(zip(docs.columns, names))
     rows = with_row_key(hidden, at[doc_id])

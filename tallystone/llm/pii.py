@@ -210,7 +210,10 @@ def redacted(text: Column, spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """docs, with personal data in text replaced by [EMAIL], [IP], [CARD] or [PHONE]; null texts stay null."""
+    """docs, with personal data in text replaced by [EMAIL], [IP], [CARD] or [PHONE]; null texts stay null.
+
+    Very long texts are searched whole, repeated rows one by one; an empty table stays empty; columns keep their names.
+    """
     hidden, names = masked(docs)
     at = dict(zip(docs.columns, names))
     rows = with_row_key(hidden, at[doc_id])

@@ -236,6 +236,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and kept (the bytes that are left) if output is set.
 
     Null texts count as empty. Rows that repeat an id come in the order of with_row_key(); equal rows repeat the first.
+    Very long texts are treated whole, an empty table gives an empty result, and other columns of docs aren't read.
     """
     rows = with_row_key(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "doc_id")
     spans = repeated_spans(rows, "_text").groupBy("_row").agg(F.collect_list(F.struct("begin", "end")).alias("_spans"))

@@ -246,6 +246,6 @@ def score(docs: DataFrame, keep: list[str], weights: dict[str, float], bias: flo
 
 
 def learn_and_score(docs: DataFrame, labels: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "text", label: str = "toxic", **how) -> DataFrame:
-    """train(), then score() of every row."""
+    """train(), then score() of every row, repeated ones too. Rows of equal texts get equal scores; where labels of one id clash, toxic wins; an empty table gives an empty result."""
     weights, bias = train(docs, labels, doc_id, text, label, **how)
     return score(docs, keep, weights, bias, text)
