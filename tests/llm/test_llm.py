@@ -830,6 +830,19 @@ def test_vectors_of_odd_sizes(spark):
     assert sorted((r.vec_id or 0) for r in got) == [0, 1, 1, 2, 3] and all(r.error == 0 and len(r.code) == 32 for r in got)
 
 
+def test_kept_columns_that_clash_give_way(spark, docs):
+    """Each operator's own columns win over kept ones of their names; the other kept ones come through."""
+    pages = spark.createDataFrame([(1, "u", "https://a.example.net/en/x", "<p>some text of a page</p>", 9, "x", "y")], "page_id long, text string, url string, html string, n_chars int, host string, verdict string")
+    made = html.extract(pages, ["page_id", "text", "n_chars", "host"])
+    assert made.columns == ["page_id", "host", "text", "n_chars"] and made.first().text == "some text of a page"
+    judged = urls.filter_urls(pages, ["page_id", "host", "verdict", "n_chars"], urls.RULES)
+    assert len(set(judged.columns)) == len(judged.columns) and judged.first().host == "a.example.net" and judged.first().n_chars == 9
+    labels = spark.createDataFrame([(9, 0), (26, 1)], "doc_id long, toxic int")
+    for df, own in ((langid.learn_and_identify(docs, ["doc_id", "lang_pred", "score", "fp"]), "lang_pred"), (bpe.encode(docs, ["doc_id", "n_words", "fp"], TOKENS), "n_tokens"), (toxicity.learn_and_score(docs, labels, ["doc_id", "score", "fp"]), "score")):
+        assert len(set(df.columns)) == len(df.columns) and {"doc_id", "fp", own} <= set(df.columns)
+        assert df.where("fp <> 2").isEmpty() and df.count() == docs.count()
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_run(spark, sf_dir, name):
     """One row for each row of the table, whatever the query; op11 has one for each word."""
