@@ -19,7 +19,7 @@ from .common import chunks, fold, masked, others, text_map
 DIM = 1024
 BLOCK = 256  # texts whose 3-gram counts are multiplied at once
 PART = 1 << 20  # characters of one text that are taken at once
-SHORT = 64  # characters of clean text, with its blanks, from which a cosine is judged
+LEAST = 16  # 3-grams up to which a cosine says nothing
 RARE = 200  # one labelled row in so many may lie under its language's limit
 SLACK = 0.85  # the limit's share of that quantile
 NOISE = 4.0  # standard deviations of a random vector's cosine that every limit lies above
@@ -96,8 +96,8 @@ def bundle(texts: list[str], dim: int, groups: np.ndarray | None = None, n_group
     return out
 
 
-def train(labelled: DataFrame, text: str, lang: str, dim: int = DIM) -> dict[str, np.ndarray]:
-    """Prototypes by language, over all rows. Each task sends one row per language and dimension at most."""
+def profiles(labelled: DataFrame, text: str, lang: str, dim: int = DIM) -> tuple[dict[str, np.ndarray], dict[str, float]]:
+    """Prototypes and numbers of 3-grams by language, over all rows. Each task sends one row per language and dimension, and one more, at most."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -105,24 +105,41 @@ def train(labelled: DataFrame, text: str, lang: str, dim: int = DIM) -> dict[str
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in chunks([len(t) + 64 for t in texts], 1_000_000):
                 names, of = np.unique(np.array(langs[a:b], dtype=object).astype(str), return_inverse=True)
-                for name, v in zip(names.tolist(), bundle([clean(t) for t in texts[a:b]], dim, of, len(names))):
-                    sums[name] = sums.get(name, 0) + v.astype(np.float64)
+                ready = [clean(t) for t in texts[a:b]]
+                grams = np.bincount(of, [max(0, len(t) - 2) for t in ready], len(names))
+                for name, v, n in zip(names.tolist(), bundle(ready, dim, of, len(names)), grams):
+                    sums[name] = sums.get(name, 0) + np.append(v.astype(np.float64), n)
         for name, v in sums.items():
-            yield pa.RecordBatch.from_pydict({"lang": [name] * dim, "i": np.arange(dim, dtype=np.int32), "v": v})
+            yield pa.RecordBatch.from_pydict({"lang": [name] * (dim + 1), "i": np.arange(dim + 1, dtype=np.int32), "v": v})
 
     parts = labelled.select(F.col(text), F.col(lang).cast("string")).mapInArrow(partial, "lang string, i int, v double")
     rows = parts.groupBy("lang", "i").agg(F.sum("v").alias("v")).collect()  # languages times dimensions
     found: dict[str, np.ndarray] = {}
     for name, i, v in rows:
-        found.setdefault(name, np.zeros(dim))[i] = v
-    return {name: found[name] for name in sorted(found)}
+        found.setdefault(name, np.zeros(dim + 1))[i] = v
+    return {name: found[name][:dim] for name in sorted(found)}, {name: float(v[dim]) for name, v in found.items()}
+
+
+def train(labelled: DataFrame, text: str, lang: str, dim: int = DIM) -> dict[str, np.ndarray]:
+    """The prototypes of profiles()."""
+    return profiles(labelled, text, lang, dim)[0]
+
+
+def halves(prototypes: dict[str, np.ndarray], grams: dict[str, float]) -> dict[str, float]:
+    """By language, 1 / s, where s is how alike two of its 3-grams are on average. n 3-grams drawn from it have a cosine of about sqrt(n / (n + 1 / s)) with all."""
+    return {name: len(p) * grams[name] ** 2 / max(float(p @ p), 1e-9) for name, p in prototypes.items()}
+
+
+def weight(n: np.ndarray, half: np.ndarray | float) -> np.ndarray:
+    """What part of a long text's cosine n 3-grams must reach: what is to be expected of so many, less for chance, from 0 at LEAST towards 1 without a step."""
+    return np.sqrt(n / (n + half)) * np.maximum(0, 1 - LEAST / np.maximum(n, 1))
 
 
-def calibrate(labelled: DataFrame, text: str, lang: str, prototypes: dict[str, np.ndarray]) -> tuple[dict[str, float], np.ndarray]:
-    """The least cosine by language, and the usual letters (sorted code points), from all labelled rows.
+def calibrate(labelled: DataFrame, text: str, lang: str, prototypes: dict[str, np.ndarray], half: dict[str, float]) -> tuple[dict[str, float], np.ndarray, dict[str, float]]:
+    """The least cosine of a long text by language, the usual letters (sorted code points), and half, from all labelled rows.
 
-    A row's cosine is taken with the sum of its language's other rows. A language's limit lies SLACK under the cosine
-    that one row in RARE stays below, and over the noise. Languages of few rows take the quantile of all languages.
+    A row's cosine is taken with the sum of its language's other rows, and divided by its length's weight(). A language's
+    limit lies SLACK under the figure that one row in RARE stays below, and over the noise. Languages of few rows take the quantile of all languages.
     Tasks send counts by hundredths of a cosine and by letter.
     """
     dim = len(next(iter(prototypes.values()))) if prototypes else DIM
@@ -138,8 +155,9 @@ def calibrate(labelled: DataFrame, text: str, lang: str, prototypes: dict[str, n
                     of = np.flatnonzero(names == name)
                     own, rest = made[of], prototypes[name] - made[of]
                     size = np.linalg.norm(own, axis=1) * np.linalg.norm(rest, axis=1)
-                    long = (np.array([len(texts[a + i]) for i in of]) >= SHORT) & (size > 0)
-                    bins = (np.clip((own * rest).sum(axis=1)[long] / size[long], 0, 1) * 100).astype(int)
+                    ask = weight(np.array([max(0, len(texts[a + i]) - 2) for i in of]), half[name]) * size
+                    some = ask > 0
+                    bins = (np.clip((own * rest).sum(axis=1)[some] / ask[some], 0, 1) * 100).astype(int)
                     points = np.frombuffer("".join(texts[a + i] for i in of).replace(" ", "").encode("utf-32-le"), np.uint32)
                     for is_letter, values in ((False, bins), (True, points)):
                         for v, n in zip(*(x.tolist() for x in np.unique(values, return_counts=True))):
@@ -159,7 +177,7 @@ def calibrate(labelled: DataFrame, text: str, lang: str, prototypes: dict[str, n
     together = low(sum(bins.values(), np.zeros(101)))
     limits = {name: max(NOISE / dim**0.5, SLACK * (low(h) if h.sum() >= RARE else together)) for name, h in bins.items()}
     usual = {v for of in letters.values() for v, n in of.items() if n >= USUAL * sum(of.values())}
-    return limits, np.array(sorted(usual), np.uint32)
+    return limits, np.array(sorted(usual), np.uint32), half
 
 
 def usual_text(text: str, usual: np.ndarray) -> bool:
@@ -168,12 +186,12 @@ def usual_text(text: str, usual: np.ndarray) -> bool:
     return 2 * int(np.isin(points, usual).sum()) >= len(points) > 0
 
 
-def identify(docs: DataFrame, keep: list[str], prototypes: dict[str, np.ndarray], text: str = "text", limits: tuple[dict[str, float], np.ndarray] | None = None) -> DataFrame:
+def identify(docs: DataFrame, keep: list[str], prototypes: dict[str, np.ndarray], text: str = "text", limits: tuple[dict[str, float], np.ndarray, dict[str, float]] | None = None) -> DataFrame:
     """keep columns, lang_pred, score of every whole text: `und` and 0 without text, letter or prototype.
 
     Equal cosines go to the first language by name. Rows are judged one by one, so repeated ones need no rule; columns
-    of docs named as the new ones give way to them. With what calibrate() gives also is_known: the score reaches the language's limit. Texts of fewer than SHORT letters
-    and blanks, whose clean cosines reach down to the noise, are judged by their letters instead.
+    of docs named as the new ones give way to them. With what calibrate() gives also is_known: the score reaches the language's
+    limit times the length's weight(), and at least half of the letters are usual ones.
     """
     keep = others(keep, "lang_pred", "score", *([] if limits is None else ["is_known"]))
     names = list(prototypes)
@@ -191,7 +209,9 @@ def identify(docs: DataFrame, keep: list[str], prototypes: dict[str, np.ndarray]
         out = [*[rows[c] for c in keep], [names[i] if k else "und" for i, k in zip(best, known)], np.where(known, score, 0.0)]
         if limits is None:
             return out
-        return [*out, [bool(k) and (usual_text(t, limits[1]) if len(t) < SHORT else bool(s >= limits[0][names[i]])) for t, k, i, s in zip(ready, known, best, score)]]
+        n = np.array([max(0, len(t) - 2) for t in ready], float)
+        ask = np.array([limits[0][names[i]] for i in best]) * weight(n, np.array([limits[2][names[i]] for i in best])) if names else n
+        return [*out, [bool(k and s >= a) and usual_text(t, limits[1]) for t, k, s, a in zip(ready, known, score, ask)]]
 
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", lang_pred string, score double" + ("" if limits is None else ", is_known boolean")
@@ -216,6 +236,6 @@ def in_known_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     hidden, names = masked(docs)
     at = dict(zip(docs.columns, names))
     labelled = labelled_rows(hidden, at[doc_id], at[text], at[lang], folds, held)
-    prototypes = train(labelled, at[text], at[lang])
-    made = identify(hidden, names, prototypes, at[text], calibrate(labelled, at[text], at[lang], prototypes))
+    prototypes, grams = profiles(labelled, at[text], at[lang])
+    made = identify(hidden, names, prototypes, at[text], calibrate(labelled, at[text], at[lang], prototypes, halves(prototypes, grams)))
     return made.where("is_known").select(*names).toDF(*docs.columns)

@@ -427,6 +427,21 @@ def test_unlearned_languages_are_dropped(spark, sf_dir):
     assert len(lost) <= real.count() / langid.RARE
 
 
+def test_language_limit_has_no_step():
+    """What a text must reach grows with its length without a step, from nothing to the limit of long texts."""
+    n = np.arange(0, 200_000)
+    asked = langid.weight(n, 170.0)
+    assert (asked[: langid.LEAST + 1] == 0).all() and (np.diff(asked) >= 0).all() and np.diff(asked).max() < 0.03 and asked[-1] > 0.999
+    grams = np.random.default_rng(1).zipf(1.3, 20_000) % 500
+    vectors = np.random.default_rng(2).choice([-1.0, 1.0], (500, 1024))
+    whole = vectors[grams].sum(0)
+    half = langid.halves({"x": whole}, {"x": float(len(grams))})["x"]
+    for k in (50, 200, 1000):  # the expectation holds for drawn 3-grams
+        drawn = vectors[np.random.default_rng(k).choice(grams, (200, k))].sum(1)
+        cosine = (drawn @ whole) / np.linalg.norm(drawn, axis=1) / np.linalg.norm(whole)
+        assert abs(cosine.mean() - (k / (k + half)) ** 0.5) < 0.02
+
+
 def test_language_bundles(monkeypatch):
     texts = [" ab ", "", " abc abd ", " ab "]
     whole = langid.bundle(texts, 64)
