@@ -13,13 +13,15 @@ from ..functions import exprs as X
 from ..session import stored
 
 
-def upper_median(counts: DataFrame, by: list[str], value: str, n: str, buckets: int = 4096, rounds: int = 2) -> DataFrame:
+def upper_median(counts: DataFrame, by: list[str], value: str, n: str, buckets: int = 4096, rounds: int = 2, most: int | None = None, sortable: int = 1_000_000) -> DataFrame:
     """by, median: exactly the value at place total div 2 of each group's sorted values, each value counted n times.
 
     A histogram over each group's range finds the bucket of that place, and the next round cuts that bucket's own range
     again, so that an outlier can't put all values into one; only the last bucket's distinct values are sorted. So no
-    task sorts a whole group, though a group may hold most rows.
+    task sorts a whole group, though a group may hold most rows. Where it is known that no group has more than `most`
+    rows of counts, and a task can sort that many, the rounds are left out; the median is the same.
     """
+    rounds = rounds if most is None or most > sortable else 0
     want = counts.groupBy(*by).agg((F.floor(F.sum(n) / 2) + 1).alias("_want"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     inside = counts.select(*by, value, n)
     share = F.when(F.col("_hi") > F.col("_lo"), (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
@@ -34,39 +36,75 @@ def upper_median(counts: DataFrame, by: list[str], value: str, n: str, buckets:
     return last.where(F.col("_to") >= F.col("_want")).groupBy(*by).agg(F.min(value).alias("median"))
 
 
-def agreement(counts: DataFrame, by: list[str], value: str, n: str, pct: float) -> DataFrame:
+def agreement(counts: DataFrame, by: list[str], value: str, n: str, pct: float, most: int | None = None) -> DataFrame:
     """by, n_all, n_agree: how many values lie within pct percent of the upper median; with a median of 0 all zeros do.
 
     Groups are those of the required metrics, a stated list, so their medians are broadcast.
     """
-    m = upper_median(counts, by, value, n)
+    m = upper_median(counts, by, value, n, most=most)
     v, med = F.col(value), F.col("median")
     near = F.when(med == 0, v == 0).otherwise(F.abs(v - med) / F.when(med != 0, med) <= pct / 100)
     return counts.join(F.broadcast(m), by).groupBy(*by).agg(F.sum(n).alias("n_all"), F.sum(F.when(near, F.col(n)).otherwise(0)).alias("n_agree"))
 
 
+def facts(evidence: DataFrame, **more: list[str]) -> DataFrame:
+    """Evidence in one scan, aggregated by metric and number, by metric and source, and by the columns that `more` names: stored.
+
+    Columns: kind (value, source, or the name in `more`), those grouped by, n and n_values (rows, and rows with a value),
+    best (least tier_rank, then first row, its source), first (the first row and its source), high and gold (any such
+    row). Each task aggregates its own rows before the shuffle, so what is shuffled and stored grows with the different
+    numbers and sources, and rows themselves are never written. A null metric, number or source is a group of its own.
+    """
+    sets = {"value": ["metric", "value_num"], "source": ["metric", "source_citation"], **more}
+    by = sorted({c for s in sets.values() for c in s})
+    kinds = dict(evidence.dtypes)
+    source = F.col("source_citation").alias("source_citation")
+    ranks = {"best": F.struct("tier_rank", "_ord", source), "first": F.struct("_ord", source)}
+
+    def entry(kind: str, cols: list[str]) -> Column:
+        """What one row adds to one set; first rows are of use among numbers only."""
+        keys = [(F.col(c) if c in cols else F.lit(None).cast(kinds[c])).alias(c) for c in by]
+        firsts = [(x if kind == "value" else F.when(F.lit(False), x)).alias(c) for c, x in ranks.items()]
+        high, gold = F.col("computed_confidence") == "high", F.col("tier_rank") == 0
+        return F.struct(F.xxhash64(F.lit(kind), *cols).alias("_key"), F.lit(kind).alias("kind"), *keys, *firsts, F.col("value").isNotNull().alias("_valued"), high.alias("high"), gold.alias("gold"))
+
+    rows = evidence.select(F.inline(F.array(*[entry(k, s) for k, s in sets.items()])))
+    # rows are sorted by group, for structs have no place in a hash map: the key's hash comes first, as it nearly always decides
+    out = rows.groupBy("_key", "kind", *by).agg(F.count("*").alias("n"), F.count_if("_valued").alias("n_values"), F.min("best").alias("best"), F.min("first").alias("first"), F.max("high").alias("high"), F.max("gold").alias("gold"))
+    return stored(out.drop("_key"), "facts")
+
+
+def sources_of(required: DataFrame) -> DataFrame:
+    """metric_id, metric, own: a required metric's own id, and its evidence ids."""
+    own = required.select("metric_id", F.col("metric_id").alias("metric"), F.lit(True).alias("own"))
+    return own.unionByName(required.select("metric_id", F.explode(F.array_distinct("evidence_ids")).alias("metric"), F.lit(False).alias("own")))
+
+
 def scorecard(evidence: DataFrame, required: DataFrame, agreement_pct: float = 20.0) -> DataFrame:
+    """scorecard_of() the facts of the required metrics' rows."""
+    return scorecard_of(facts(evidence.join(F.broadcast(sources_of(required).select("metric").distinct()), "metric", "left_semi")), required, agreement_pct)
+
+
+def scorecard_of(facts: DataFrame, required: DataFrame, agreement_pct: float = 20.0) -> DataFrame:
     """One row per required metric: best value and source, range, numbers of sources and values, agreement, status.
 
-    A metric's own rows count, or those of its evidence ids if it has none: both are summed, side by side. Evidence is
-    read once: the few columns of use of the required metrics' rows are stored, then their counts by value. The best value is the largest of the best tier; ties go to the first row by _ord. Without a number the first
+    A metric's own rows count, or those of its evidence ids if it has none: both are summed, side by side. The best value is the largest of the best tier; ties go to the first row by _ord. Without a number the first
     row's source is shown. Ready needs agreement, and a row of high confidence under the metric's own id or a gold value.
     """
     by = ["metric_id", "own"]
-    own = required.select("metric_id", F.col("metric_id").alias("metric"), F.lit(True).alias("own"))
-    others = required.select("metric_id", F.explode(F.array_distinct("evidence_ids")).alias("metric"), F.lit(False).alias("own"))
-    rows = evidence.join(F.broadcast(own.unionByName(others)), "metric").select(*by, "_ord", "source_citation", "value_num", "tier_rank", "computed_confidence")
-    rows = stored(rows, "required")
+    links = F.broadcast(sources_of(required))
+    here = facts.where(F.col("kind") == "value").join(links, "metric")
     num = F.col("value_num").isNotNull()
-    rank = F.struct(F.col("tier_rank"), -F.col("value_num"), F.col("_ord"))
-    sums = rows.groupBy(*by).agg(
-        F.countDistinct("source_citation").alias("n_sources"), F.count("value_num").alias("n_with_value"),
-        F.min(F.when(num, F.struct(rank.alias("r"), "value_num", "source_citation"))).alias("best"), F.min(F.struct("_ord", "source_citation")).alias("first"),
-        F.min("value_num").alias("range_min"), F.max("value_num").alias("range_max"),
-        F.max(F.col("own") & (F.col("computed_confidence") == "high")).alias("high"), F.max(num & (F.col("tier_rank") == 0)).alias("gold"),
+    n_sources = facts.where(F.col("kind") == "source").join(links, "metric").groupBy(*by).agg(F.countDistinct("source_citation").alias("n_sources"))
+    rank = F.struct(F.col("best.tier_rank"), -F.col("value_num"), F.col("best._ord"))
+    sums = here.groupBy(*by).agg(
+        F.coalesce(F.sum(F.when(num, F.col("n"))), F.lit(0)).alias("n_with_value"),
+        F.min(F.when(num, F.struct(rank.alias("r"), "value_num", F.col("best.source_citation")))).alias("best"), F.min("first").alias("first"),
+        F.min("value_num").alias("range_min"), F.max("value_num").alias("range_max"), F.max(F.col("own") & F.col("high")).alias("high"), F.max(num & F.col("gold")).alias("gold"),
     )
-    counts = stored(rows.where(num).groupBy(*by, "value_num").agg(F.count("*").alias("n")), "counts")
-    both = sums.join(agreement(counts, by, "value_num", "n", agreement_pct), by, "left")
+    counts = here.where(num).select(*by, "value_num", "n")
+    agreed = agreement(counts, by, "value_num", "n", agreement_pct, most=facts.count())  # a group has each fact once at most
+    both = sums.join(F.broadcast(n_sources), by).join(F.broadcast(agreed), by, "left")  # a row for each required metric and kind of id
     fields = [c for c in both.columns if c not in by]
     chosen = both.groupBy("metric_id").agg(F.max_by(F.struct(*fields), F.col("own")).alias("s")).select("metric_id", "s.*")
     out = F.broadcast(required).join(chosen, "metric_id", "left")

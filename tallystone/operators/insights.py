@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 
 
-def insights(evidence: DataFrame, card: DataFrame | None = None) -> DataFrame:
-    """Per metric: values, tiers, first and last year, whether the scorecard has no source for it, and a sentence."""
+def insights(evidence: DataFrame, card: DataFrame | None = None, n_values: str | None = None) -> DataFrame:
+    """Per metric: values, tiers, first and last year, whether the scorecard has no source for it, and a sentence. n_values names the count where values are counted already."""
     y = X.strict_year("year_or_range")
     out = evidence.groupBy("metric").agg(
-        F.count("value").alias("n_values"), F.array_join(F.array_sort(F.collect_set(X.key("source_tier"))), ", ").alias("tiers"), F.min(y).cast("long").alias("min_year"), F.max(y).cast("long").alias("max_year")
+        (F.sum(n_values) if n_values else F.count("value")).alias("n_values"), F.array_join(F.array_sort(F.collect_set(X.key("source_tier"))), ", ").alias("tiers"), F.min(y).cast("long").alias("min_year"), F.max(y).cast("long").alias("max_year")
     )
     gaps = card.where(F.col("validation_status") == "No source").select(F.col("metric_id").alias("metric"), F.lit(True).alias("_gap")) if card is not None else None
     out = out.join(F.broadcast(gaps), "metric", "left").withColumn("has_gap", F.coalesce("_gap", F.lit(False))).drop("_gap") if gaps is not None else out.withColumn("has_gap", F.lit(False))

@@ -128,7 +128,8 @@ def reconciliation(spark, sf):
 
 @query
 def insights_summary(spark, sf):
-    return insights.insights(raw(spark, sf), card(spark, sf))
+    facts = evaluate.facts(enriched(spark, sf), years=["metric", "source_tier", "year_or_range"])
+    return insights.insights(facts.where(F.col("kind") == "years"), evaluate.scorecard_of(facts, required(spark)), "n_values")
 
 
 @query
@@ -371,9 +372,9 @@ def white_space_report(spark, sf):
 
 @query
 def report_lines(spark, sf):
-    rows = enriched(spark, sf)
-    counts = stored(rows.groupBy("source_citation", "computed_confidence").agg(F.count("*").alias("n_rows")), "mix")
-    return report.evidence_summary(evaluate.scorecard(rows, required(spark)), insights.distribution(counts, "computed_confidence", "n_rows"), insights.top_sources(counts, n_rows="n_rows"))
+    facts = evaluate.facts(enriched(spark, sf), mix=["source_citation", "computed_confidence"])
+    counts = facts.where(F.col("kind") == "mix")
+    return report.evidence_summary(evaluate.scorecard_of(facts, required(spark)), insights.distribution(counts, "computed_confidence", "n"), insights.top_sources(counts, n_rows="n"))
 
 
 @query

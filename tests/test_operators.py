@@ -105,6 +105,25 @@ def test_scorecard(spark):
 def test_upper_median(spark, numbers):
     counts = spark.createDataFrame([("g", float(x)) for x in numbers], "g string, v double").groupBy("g", "v").agg(F.count("*").alias("n"))
     assert evaluate.upper_median(counts, ["g"], "v", "n", buckets=7).first().median == sorted(numbers)[len(numbers) // 2]
+    assert evaluate.upper_median(counts, ["g"], "v", "n", most=len(numbers)).first().median == sorted(numbers)[len(numbers) // 2]
+
+
+def test_facts(spark):
+    """Nulls are groups of their own, repeated rows are counted, and an empty table gives no facts."""
+    rows = evidence(spark, [("m", "5", "B", "gold", "high"), ("m", "5", "A", "gold", "low"), ("m", "5", "A", "gold", "low"), ("m", None, None, "silver", "low"), (None, "9", "A", "bronze", "low")])
+    got = evaluate.facts(rows, mix=["source_citation", "computed_confidence"]).collect()
+    values = {(r.metric, r.value_num): r for r in got if r.kind == "value"}
+    assert {k: (r.n, r.n_values) for k, r in values.items()} == {("m", 5.0): (3, 3), ("m", None): (1, 0), (None, 9.0): (1, 1)}
+    assert values["m", 5.0].best.source_citation == values["m", 5.0]["first"].source_citation == "B" and values["m", 5.0].high and values["m", 5.0].gold
+    assert {(r.metric, r.source_citation): r.n for r in got if r.kind == "source"} == {("m", "A"): 2, ("m", "B"): 1, ("m", None): 1, (None, "A"): 1}
+    assert sum(r.n for r in got if r.kind == "mix") == 5
+    assert evaluate.facts(rows.limit(0)).count() == 0
+
+
+def test_scorecard_counts_a_source_of_two_evidence_ids_once(spark):
+    rows = evidence(spark, [("a", "4", "S", "gold", "low"), ("b", "4", "S", "gold", "low"), ("b", "40", "T", "bronze", "low")])
+    [r] = evaluate.scorecard(rows, dim(spark, ("named", ["a", "b", "b"]))).collect()
+    assert (r.n_sources, r.n_with_value, r.best_value, r.best_source, r.agreement_flag) == (2, 3, 4.0, "S", "2 of 3 agree; 1 outlier(s)")
 
 
 def test_conflicts(spark):

@@ -6,6 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from tallystone.operators import evaluate
 from tallystone.plans import catalogue
 
 ROWS_ONLY: set[str] = set()
@@ -86,3 +87,13 @@ def test_evidence_is_read_once(spark, sf_dir, name):
     """What these queries read several times is stored: the star join is planned once at most in the end."""
     plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [l_orderkey") <= 1
+
+
+@pytest.mark.parametrize("name", ["kpi_scorecard", "report_lines", "insights_summary"])
+def test_evidence_is_read_once_over_all_steps(spark, sf_dir, name, monkeypatch):
+    """Counts the star join in what is stored on the way, too, and not in the last plan alone."""
+    plan_of = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    steps, stored = [], evaluate.stored
+    monkeypatch.setattr(evaluate, "stored", lambda df, what: (steps.append(plan_of(df)), stored(df, what))[1])
+    steps.append(plan_of(catalogue.QUERIES[name](spark, sf_dir)))
+    assert sum(p.count("Relation [l_orderkey") for p in steps) == 1
