@@ -299,6 +299,27 @@ def test_pipeline(spark, sf_dir, tmp_path):
         result.close()
 
 
+def exchanges_above(df, scanned):
+    """How many shuffles the rows of a scan go through: the exchanges among its ancestors in the plan."""
+    above, lines = [], df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].splitlines()
+    for line in lines:
+        depth = len(line) - len(line.lstrip(" :+-"))
+        above = [(d, n) for d, n in above if d < depth] + [(depth, line)]
+        if "FileScan" in line and scanned in line:
+            return sum(" Exchange " in f" {n.lstrip(' :+-')}" for _, n in above)
+    raise AssertionError(f"no scan of {scanned}")
+
+
+def test_star_join_shuffles_lines_once_for_a_large_table_of_orders(spark, sf_dir):
+    """Where nothing is broadcast: by order, part, supplier and nation, and neither for their customers nor to be dealt out."""
+    given = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert exchanges_above(E.from_star(spark, sf_dir), "l_orderkey") == 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", given)
+
+
 def test_strict_pipeline_stops_on_errors(spark, sf_dir):
     rows = E.from_star(spark, sf_dir)
     pipeline.run(spark, rows, pipeline.Config(2001, [("a", "A", True, [])], strict=True)).close()
