@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +20,33 @@ def write_table(df: DataFrame, path: str, run_keys: list[str] | None = None, fmt
     (w.option("header", True) if fmt == "csv" else w).save(path)
 
 
-def write_by_metric(df: DataFrame, path: str) -> None:
+def write_by_metric(df: DataFrame, path: str, compression: str = "none") -> None:
     """CSV files ordered by metric over all of them: a range sort, without pulling everything into one task."""
-    df.orderBy("metric", "_ord").write.mode("overwrite").option("header", True).csv(path)
+    df.orderBy("metric", "_ord").write.mode("overwrite").option("header", True).option("compression", compression).csv(path)
+
+
+def out_of_order(rows: DataFrame, file: str, key: list[str]) -> DataFrame:
+    """The rows' first key column, and wrong: whether a row's key is less than that of the row before it in its file.
+
+    Rows must come as their files are read, each file by one task, as compressed files are; so nothing is shuffled. Keys are texts,
+    compared by bytes; a null counts as the empty text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # the zero byte ends a column's text, so that texts compare column by column
+            joined = pc.binary_join_element_wise(*[batch.column(i + 1).fill_null("") for i in range(len(key))], "\x00")
+            now = pa.table({"f": batch.column(0), "k": joined})
+            both = pa.concat_tables([now.slice(0, 1) if last is None else last, now]).combine_chunks()
+            before, after = both.slice(0, batch.num_rows), both.slice(1)
+            wrong = pc.and_(pc.equal(before["f"], after["f"]), pc.greater(before["k"], after["k"])).combine_chunks()
+            last = now.slice(batch.num_rows - 1)
+            yield pa.RecordBatch.from_arrays([batch.column(1), wrong], names=[key[0], "wrong"])
+
+    return rows.select(file, *key).mapInArrow(run, f"{key[0]} string, wrong boolean")
 
 
 def manifest(tables: dict[str, DataFrame]) -> DataFrame:
