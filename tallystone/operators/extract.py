@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..functions.spans import with_matches
 from ..session import stored
-from .pages import closed
+from .pages import closed, slices
 
 NUMBER = r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?"
 
@@ -171,7 +171,7 @@ def page_blocks(pages: DataFrame, id_col: str = "page_id", html: str = "html", l
     kind = dict(pages.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             out: list[list] = [[], [], [], [], []]
             for key, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 parser = Blocks()

@@ -294,6 +294,14 @@ def test_order_of_sorted_files_is_checked_without_a_shuffle(spark, tmp_path):
     assert not list((tmp_path / "out").glob("*.csv")) and spark.read.csv(str(tmp_path / "out"), header=True).count() == 9
 
 
+def test_pages_are_parsed_in_parts(monkeypatch):
+    """However many pages a batch holds, few bytes of them are parsed before their rows are sent on; no page is lost or cut."""
+    made = [pa.record_batch([pa.array(range(7)), pa.array(["x" * 400, None, "y" * 5000, "", "z" * 400, "z" * 400, "z" * 400])], names=["id", "html"])]
+    parts = [p.column(0).to_pylist() for p in pages.slices(made[0], 1, 1000)]
+    assert parts == [[0, 1], [2], [3, 4, 5], [6]]
+    assert list(pages.slices(made[0].slice(0, 0), 1)) == []
+
+
 def test_partitioned_sink_keeps_other_runs(spark, tmp_path):
     df = lambda i, n: spark.createDataFrame([(i, n)], "run string, n int")
     for i, n in (("a", 1), ("ab", 2), ("a", 3)):
