@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..functions.spans import with_matches
 from ..session import stored
-from .pages import closed, slices
+from .pages import closed, joined, slices, whole_references
 
 NUMBER = r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?"
 
@@ -117,7 +117,7 @@ class Blocks(HTMLParser):
         return end + 1 if end >= 0 else len(self.rawdata)
 
     def flush(self, tag: str = "") -> None:
-        text = " ".join("".join(self.text).split())
+        text = joined(self.text)
         self.text = []
         if not text:
             return
@@ -175,7 +175,7 @@ def page_blocks(pages: DataFrame, id_col: str = "page_id", html: str = "html", l
             out: list[list] = [[], [], [], [], []]
             for key, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 parser = Blocks()
-                parser.feed(closed(page or ""))
+                parser.feed(closed(whole_references(page or "")))
                 parser.close()
                 found = [("block", b, "") for b in parser.blocks if len(b) > least] + [("row", r, c) for r, c in parser.rows]
                 for pos, (what, text, context) in enumerate(found):

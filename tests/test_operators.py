@@ -431,6 +431,20 @@ def test_elements_by_rule(spark):
     assert set(got) == {0, 1, 2, 3, 4, 5, 9, 100}
 
 
+def test_references_need_their_semicolons(spark):
+    """A heading cut within a reference keeps what is left of it; a cut `&amp` is an ampersand. Whole references count anywhere."""
+    ends = {"&quot;": '"', "&quot": "&quot", "&copy": "&copy", "&middot": "&middot", "&amp": "&", "&am": "&am", "&": "&", "&amp;": "&", "&#39;": "'", "&#x27;": "'", "&#39": "&#39", "&eacute;": "é", "&nope;": "&nope;", "&ampx;": "&ampx;"}
+    rows = page_rows(spark, [f"<h1>{LONG} {end}</h1><p>{LONG} {end}<b> on</b>, {end}" for end in ends])
+    got = {}
+    for r in pages.page_elements(rows, {}).orderBy("id", "pos").collect():
+        got.setdefault(r.id, []).append(r.text)
+    inside = {"&amp": "&amp"}
+    expected = [[f"{LONG} {text}", f"{LONG} {inside.get(end, text)} on, {text}"] for end, text in ends.items()]
+    assert [got[i] for i in range(len(ends))] == expected
+    blocks = [r.text for r in extract.page_blocks(rows).orderBy("id", "pos").collect()]
+    assert blocks == [t for ts in expected for t in ts]
+
+
 def test_tables(spark):
     texts = [
         '<table id=t><tr><th rowspan=2>Y<th colspan=2>A</tr><tr><th>1<th>2</tr><tr><td>2001<td rowspan=2>5 %<td>-</tr><tr><td>2002<td>7</tr></table>',

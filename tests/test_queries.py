@@ -43,6 +43,22 @@ def test_query(spark, duck, sf_dir, name):
     assert table(rows, df.columns) == table(found.fetchall(), columns)
 
 
+@pytest.mark.parametrize("name", ["page_elements", "element_datapoints", "page_datapoints"])
+def test_pages_with_headings_cut_within_references(spark, tmp_path, name):
+    """Headings are cut after so many characters, wherever that is; `&quot` in place of a quote makes one long enough to be a block."""
+    text = "The rate of things, and the thing at hand was 45 or 12 %"
+    heads = [("x" * n + f" {ref}")[:end] for ref in ("a &quot;", "a &copy;", "a &middot;", "a &amp;") for n in (14, 24, 34) for end in range(n + 3, n + 12)]
+    rows = [(i, f"http://{('a.example.org/de', 'a.example.org', 'a.example.net', 'a.example.com')[(i + i // len(heads)) % 4]}/{i}", f"<body><h1>{h}</h1><p>{text} &quot;{i}&quot;</p></body>") for i, h in enumerate(heads * 4)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    df = catalogue.QUERIES[name](spark, str(tmp_path))
+    found = con.execute(catalogue.ORACLES[name])
+    columns = [d[0] for d in found.description]
+    expected = table(found.fetchall(), columns)
+    assert expected and table(df.collect(), df.columns) == expected
+
+
 def test_registry_rows_of_all_customers(spark, duck, sf_dir):
     """Odd keys divisible by 3 have no usable cell; all others give a row."""
     rows = duck.execute("SELECT c_mktsegment, c_custkey FROM customer").fetchall()
